@@ -49,8 +49,8 @@ def audit_rows(decisions: DataFrame, recorded_at: Column, metadata: Column) -> D
     return full.select(*AUDIT_COLUMNS)
 
 
-def append_audit(rows: DataFrame, path: str) -> int:
-    """Append records not yet in the log, and return how many were new."""
+def append_audit(rows: DataFrame, path: str) -> None:
+    """Append the records that are not yet in the log."""
     spark = rows.sparkSession
     rows = rows.dropDuplicates(["record_id"])
     try:
@@ -61,8 +61,6 @@ def append_audit(rows: DataFrame, path: str) -> int:
         seen = None
     fresh = rows if seen is None else rows.join(seen, "record_id", "left_anti")
     fresh.write.mode("append").parquet(path)
-    total = spark.read.parquet(path).count()
-    return total
 
 
 def recent_audit(audit: DataFrame, limit: int = 10_000) -> DataFrame:
