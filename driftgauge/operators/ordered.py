@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from driftgauge.session import fold_chunk_rows, settled, single_task_rows
 
@@ -212,3 +213,38 @@ def ordered_fold(
         todo = settled(want.where(F.col("_start") != F.col("_from")).select(*keys, "_chunk", "_start"))
         if todo.isEmpty():
             return done.select(*names)
+
+
+def bounded_windows(
+    df: DataFrame,
+    keys: Sequence[str],
+    step: str,
+    reach: int,
+    columns: Callable[[WindowSpec], Mapping[str, Column]],
+    rows: int | None = None,
+    ahead: int = 0,
+) -> DataFrame:
+    """Window columns whose frame reaches at most `reach` rows back and `ahead` rows forward.
+
+    `step` numbers the rows of a key without gaps. Keys too long for one task are cut into chunks, and
+    each chunk also gets the neighbouring rows its frames can see.
+    """
+    keys = list(keys)
+    if _fits(df, keys, rows):
+        over = Window.partitionBy(*keys).orderBy(step)
+        return df.select("*", *[c.alias(n) for n, c in columns(over).items()])
+    size = max(single_task_rows(df.sparkSession), 4 * (reach + ahead + 1))
+    s = F.col(step)
+    seen = F.array_distinct(F.array(
+        F.floor(F.greatest(s - ahead, F.lit(0)) / size), F.floor(s / size), F.floor((s + reach) / size)))
+    spread = df.withColumn("_chunk", F.explode(seen))
+    over = Window.partitionBy(*keys, "_chunk").orderBy(step)
+    out = spread.select("*", *[c.alias(n) for n, c in columns(over).items()])
+    return out.where(F.col("_chunk") == F.floor(s / size)).drop("_chunk")
+
+
+def islands(df: DataFrame, keys: Sequence[str], step: str, flag: Column, rows: int | None = None) -> DataFrame:
+    """Rows where `flag` holds, with `island`, equal for rows of one unbroken run."""
+    quiet = running_totals(df.withColumn("_on", flag), keys, [F.col(step)],
+                           {"island": (~F.col("_on")).cast("long")}, rows)
+    return quiet.where(F.col("_on")).drop("_on")

@@ -34,6 +34,8 @@ def event_scores(spark: SparkSession, folder: str) -> DataFrame:
 def line_scores(spark: SparkSession, folder: str) -> DataFrame:
     t = table(spark, folder, "lineitem")
     p = S.linear_score(LINE_WEIGHTS, [F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")], LINE_BIAS)
+    # Rounded, so that scores equal by arithmetic are equal in every engine.
+    p = F.round(p, 9)
     return t.select(
         F.col("l_linestatus").alias("stream_id"), *LINE_ORDER, p.alias("p"),
         (F.col("l_returnflag") == "R").cast("int").alias("y"),
@@ -93,7 +95,7 @@ EVENT_SCORES_SQL = """scores AS (
 
 LINE_SCORES_SQL = f"""scores AS (
   SELECT l_linestatus AS stream_id, {', '.join(LINE_ORDER)},
-         1/(1+exp(-({LINE_BIAS}+0.05*l_quantity+10.0*l_discount-10.0*l_tax))) AS p,
+         round(1/(1+exp(-({LINE_BIAS}+0.05*l_quantity+10.0*l_discount-10.0*l_tax))),9) AS p,
          CAST(l_returnflag='R' AS INTEGER) AS y, CAST(year(l_shipdate) AS VARCHAR) AS regime FROM lineitem)"""
 
 
