@@ -156,12 +156,12 @@ def risk_capital(signals: DataFrame, keep: Sequence[str] = (), rows: int | None
     return ordered_fold(need, ["stream_id"], "step", [1.0], _capital_block, fields, rows, keep)
 
 
-def drift_surface(stats: DataFrame, width: int, rows: int | None = None) -> DataFrame:
+def drift_surface(stats: DataFrame, width: int, rows: int | None = None, ready: bool = False) -> DataFrame:
     """Batch statistics to shift signals with p- and e-values, before any ordered state.
 
-    The batch rows are written once here: reference, signals and p-values all read them, and none
-    of these may go back to the event rows.
+    The batch rows are written once here, unless they are `ready`: reference, signals and p-values all
+    read them, and none of these may go back to the event rows.
     """
-    stats = settled(stats)
+    stats = stats if ready else settled(stats)
     reference = reference_profile(reference_window(stats), width)
     return tail_counts(shift_signals(stats, reference, width), rows)

@@ -165,7 +165,7 @@ def trended(spark, folder):
     """
     rows = C.step_bound(spark, folder, "events")
     stats = settled(C.event_stats(spark, folder))
-    signals = R.drift_surface(stats, len(C.EVENT_FEATURES), rows)
+    signals = R.drift_surface(stats, len(C.EVENT_FEATURES), rows, ready=True)
     recent = L.recent_reveals(stats, DELAY, JITTER, rows=rows).select(
         "stream_id", "step", "recent_accuracy", "revealed_accuracy", "revealed_rate")
     t = W.trend_columns(signals, rows).join(recent, ["stream_id", "step"])
