@@ -8,12 +8,12 @@ budget use, calibration parameters) is one ordered fold per stream and strategy.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,8 @@ class Rules:
     use_saturation: bool = False
     retrain_interval: int = 6
     cooldown: int = 2
+    # Further strategies by name: f(row, capital, risky, state) -> (action, reason).
+    policies: Mapping[str, Callable] = field(default_factory=dict)
 
 
 # ---- columns ---------------------------------------------------------------------------------
@@ -224,6 +226,8 @@ _START = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
 
 def _propose(strategy: str, r, c: float, risky: bool, st: np.ndarray, rules: Rules) -> tuple[str, str]:
     """What the strategy asks for; cooldowns and counters are updated in the state."""
+    if strategy in rules.policies:
+        return rules.policies[strategy](r, c, risky, st)
     if strategy == "frozen":
         return "none", "frozen_baseline"
     if strategy == "naive":
@@ -438,6 +442,23 @@ def decide(inputs: DataFrame, strategies: Sequence[str] = STRATEGIES, rules: Rul
     )
 
 
+# ---- the action table ------------------------------------------------------------------------
+
+def action_table(spark: SparkSession, custom: Sequence[tuple[str, str]] = ()) -> DataFrame:
+    """Known actions with their risk tier, and further ones; a name may appear once only."""
+    rows = [(a, "low") for a in BASE_ACTIONS] + [(a, "high") for a in HIGH_RISK] + list(custom)
+    names = [a for a, _ in rows]
+    if len(set(names)) != len(names):
+        raise ValueError("an action is registered twice")
+    if {t for _, t in rows} - {"low", "medium", "high"}:
+        raise ValueError("tiers are low, medium and high")
+    return spark.createDataFrame(rows, "action string, tier string")
+
+
+def with_tier(decisions: DataFrame, actions: DataFrame, column: str = "recommended_action") -> DataFrame:
+    return decisions.join(actions.withColumnRenamed("action", column), column, "left")
+
+
 # ---- approvals and parameter versions --------------------------------------------------------
 
 def approved(decisions: DataFrame, approvals: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -485,3 +485,10 @@ def latest_parameters(spark, folder):
     d = decision_table(spark, folder, strategies=["multi_action"])
     p = D.latest_parameters(d.select("stream_id", F.col("step").alias("version"), "temperature", "bias"))
     return p.select("stream_id", "version", r6("temperature"), r6("bias"))
+
+
+@query("action_tiers", decision_sql() + """SELECT strategy, CASE WHEN recommended_action IN ('adapt','reset','abstain') THEN 'high' ELSE 'low' END AS tier, count(*) AS n FROM dec GROUP BY 1,2""")
+def action_tiers(spark, folder):
+    """Recommendations by risk tier of the action table."""
+    d = D.with_tier(decision_table(spark, folder), D.action_table(spark, [("notify_owner", "medium")]))
+    return d.groupBy("strategy", "tier").agg(F.count(F.lit(1)).alias("n"))
