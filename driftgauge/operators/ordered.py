@@ -170,6 +170,8 @@ def ordered_fold(
     schema = T.StructType([*base, *fields])
     names = [f.name for f in schema]
     origin = np.asarray(start, dtype=np.float64)
+    if not np.isfinite(origin).all():
+        raise ValueError("a fold state must be finite: chunks are compared by their states")
 
     def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(step, kind="stable").reset_index(drop=True)
@@ -191,6 +193,8 @@ def ordered_fold(
         pdf = pdf.sort_values(step, kind="stable").reset_index(drop=True)
         begin = np.asarray(pdf["_start"].iloc[0], dtype=np.float64)
         state, out = block(begin.copy(), pdf)
+        if not np.isfinite(state).all():
+            raise ValueError("a fold state must be finite: chunks are compared by their states")
         out = pd.concat([pdf[[*keys, step, *keep]], out.reset_index(drop=True)], axis=1)
         out["_chunk"] = pdf["_chunk"]
         marks = [None] * (len(out) - 1)

@@ -263,9 +263,7 @@ def temporal_context(rows_df: DataFrame, key: str, time: str, features: Sequence
 
     def block(state, pdf):
         x = pdf[list(features)].to_numpy(float)
-        fresh = np.isnan(state[0])
-        first = x[0] if fresh else None
-        short0, long0 = (first, first) if fresh else (state[:k], state[k:])
+        short0, long0 = (state[1:1 + k], state[1 + k:]) if state[0] else (x[0], x[0])
         after = [np.column_stack([ewm(x[:, j], d, s[j]) for j in range(k)])
                  for d, s in ((0.85, short0), (0.97, long0))]
         before = [np.vstack([s, a[:-1]]) for s, a in zip((short0, long0), after)]
@@ -273,11 +271,11 @@ def temporal_context(rows_df: DataFrame, key: str, time: str, features: Sequence
         out = pd.DataFrame({
             "short_abs": np.abs(ds).mean(axis=1), "long_abs": np.abs(dl).mean(axis=1),
             "short_rms": np.sqrt((ds ** 2).mean(axis=1)), "trend": (before[0] - before[1]).mean(axis=1)})
-        return np.concatenate([after[0][-1], after[1][-1]]), out
+        return np.concatenate([[1.0], after[0][-1], after[1][-1]]), out
 
     fields = [T.StructField(n, DOUBLE) for n in ("short_abs", "long_abs", "short_rms", "trend")]
     need = base.select(key, "idx", *features)
-    ctx = ordered_fold(need, [key], "idx", [float("nan")] * (2 * k), block, fields, rows)
+    ctx = ordered_fold(need, [key], "idx", [0.0] * (1 + 2 * k), block, fields, rows)
     joined = base.join(mid, key, "left").join(ctx, [key, "idx"])
     mean = sum((F.col(f) for f in features), F.lit(0.0)) / k
     var = sum(((F.col(f) - mean) * (F.col(f) - mean) for f in features), F.lit(0.0)) / k

@@ -65,3 +65,29 @@ def test_chunked_fold_equals_sequential(spread):
     got = O.ordered_fold(df, ["k"], "step", [1.0], block, fields).orderBy("step").toPandas()
     want = block(np.array([1.0]), pdf)[1]
     assert got["c"].tolist() == want["c"].tolist()
+
+
+def test_chunked_context_equals_sequential(spread):
+    """Running means over rows need several rounds until they forget a wrong start."""
+    from driftgauge.operators.windows import temporal_context
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"k": "hot", "id": range(900), "t": np.cumsum(rng.integers(0, 3, 900)).astype(float),
+                        "a": rng.random(900), "b": rng.random(900)})
+    df = spread.createDataFrame(pdf)
+    order = [F.col("t"), F.col("id")]
+    spread.conf.set("spark.driftgauge.foldChunkRows", "450")
+    a = temporal_context(df, "k", "t", ["a", "b"], order).orderBy("id").toPandas()
+    spread.conf.unset("spark.driftgauge.foldChunkRows")
+    spread.conf.unset("spark.driftgauge.singleTaskRows")
+    b = temporal_context(df, "k", "t", ["a", "b"], order, rows=900).orderBy("id").toPandas()
+    pd.testing.assert_frame_equal(a, b, rtol=1e-12)
+
+
+def test_fold_state_must_be_finite(spark):
+    df = spark.createDataFrame([("a", 0)], "k string, step long")
+    try:
+        O.ordered_fold(df, ["k"], "step", [float("nan")], None, [], rows=1)
+    except ValueError:
+        return
+    raise AssertionError("a state that is not finite was accepted")
