@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm import mixing, sharding
+from driftgauge.llm import bpe, mixing, sharding, simhash
 
+#: The public tokenizer file; the package that holds it is installed on every executor.
+VOCABULARY = "word_bpe_49k.json"
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,6 +18,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), vocabulary(), with_ids=False).drop("text")
+
+
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, with_text=False).select("doc_id", "fingerprint", "component_id")
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return sharding.shard(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))).select(
@@ -50,5 +67,5 @@ SELECT doc_id, size, source_size, target,
        ELSE least(size, floor((need - upto + tied) * size / tied)) END AS BIGINT) AS taken
 FROM x"""
 
-QUERIES: dict[str, Query] = {"op8_sharding": op8_sharding, "op9_mixing": op9_mixing}
+QUERIES: dict[str, Query] = {"op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing}
 ORACLES: dict[str, str] = {"op9_mixing": OP9_SQL}
