@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm import bpe, mixing, sharding, simhash
+from driftgauge.llm import bpe, mixing, sharding, simhash, suffix
 
 #: The public tokenizer file; the package that holds it is installed on every executor.
 VOCABULARY = "word_bpe_49k.json"
@@ -18,6 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_suffix(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.dedup(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -67,5 +72,5 @@ SELECT doc_id, size, source_size, target,
        ELSE least(size, floor((need - upto + tied) * size / tied)) END AS BIGINT) AS taken
 FROM x"""
 
-QUERIES: dict[str, Query] = {"op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing}
+QUERIES: dict[str, Query] = {"op1_suffix": op1_suffix, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing}
 ORACLES: dict[str, str] = {"op9_mixing": OP9_SQL}
