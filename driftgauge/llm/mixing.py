@@ -63,11 +63,11 @@ def _spread(docs: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, epochs: float = 2.0,
         seed: int = 9, whole: bool = False) -> DataFrame:
-    """Every document with mix_size, mix_source_size, mix_target and mix_taken (words taken, repetitions counted).
+    """Every document with mix_size, mix_source_size, mix_target, mix_taken (words taken, repetitions counted) and mix_copies (how often it appears).
 
     whole: the document at the target is taken as a whole or not, whichever is nearer, so mix_taken is a multiple of mix_size.
     """
-    docs = docs.drop("mix_source_size", "mix_target", "mix_taken")
+    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_copies")
     keyed = docs.withColumns({"mix_source": F.col("source"), "mix_key": digest(seed)})
     sums = settled(keyed.select("mix_source", bucket(F.col("mix_key")).alias("mix_bucket"), words("text").alias("mix_size"))
                    .groupBy("mix_source", "mix_bucket").agg(F.sum("mix_size").alias("words")))
@@ -100,5 +100,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     part = F.when(F.lit(whole), F.when(2 * F.col("at_left") >= F.col("at_tied"), F.col("mix_size")).otherwise(0)) \
         .otherwise(F.least(F.col("mix_size"), F.floor(F.col("at_left") * F.col("mix_size") / F.col("at_tied"))))
     extra = F.when(F.col("mix_key") < F.col("at_key"), F.col("mix_size")).when(F.col("mix_key") == F.col("at_key"), part).otherwise(0)
-    return rows.withColumn("mix_taken", (F.col("mix_times") * F.col("mix_size") + extra).cast("long")) \
-        .select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_taken")
+    once_more = F.when((F.col("mix_key") < F.col("at_key")) | ((F.col("mix_key") == F.col("at_key")) & (part > 0)), 1).otherwise(0)
+    return rows.withColumns({"mix_taken": (F.col("mix_times") * F.col("mix_size") + extra).cast("long"),
+                             "mix_copies": (F.col("mix_times") + once_more).cast("int")}) \
+        .select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_copies")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm import bpe, mixing, sharding, simhash, suffix
+from driftgauge.llm import bpe, mixing, sharding, simhash, suffix, toxicity
 
 #: The public tokenizer file; the package that holds it is installed on every executor.
 VOCABULARY = "word_bpe_49k.json"
@@ -19,7 +19,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def op1_suffix(spark: SparkSession, folder: str) -> DataFrame:
-    return suffix.dedup(table(spark, folder, "documents").select("doc_id", "text")).select(
+    return suffix.dedup(table(spark, folder, "documents").select("doc_id", "text"), keep="none").select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -38,6 +38,12 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(docs, with_text=False).select("doc_id", "fingerprint", "component_id")
 
 
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    chain = toxicity.train(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, chain).drop("text")
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return sharding.shard(docs.withColumn("text_crc32", F.crc32(F.coalesce("text", F.lit(""))))).select(
@@ -72,5 +78,5 @@ SELECT doc_id, size, source_size, target,
        ELSE least(size, floor((need - upto + tied) * size / tied)) END AS BIGINT) AS taken
 FROM x"""
 
-QUERIES: dict[str, Query] = {"op1_suffix": op1_suffix, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing}
+QUERIES: dict[str, Query] = {"op1_suffix": op1_suffix, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing}
 ORACLES: dict[str, str] = {"op9_mixing": OP9_SQL}

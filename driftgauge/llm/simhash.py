@@ -145,14 +145,21 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = 4, with_text: bool = True) -> DataFrame:
-    """docs with fingerprint (16 hex digits) and component_id, the smallest doc_id reachable over links; texts are hashed once."""
-    docs = docs.drop("fingerprint", "component_id")
-    marked = with_fingerprints(docs, words, seed)
+    """docs with fingerprint (16 hex digits), component_id (the smallest doc_id reachable over links) and keeper (true for one row of each component).
+
+    Texts are hashed once: fingerprints are written, with the text only if it is wanted.
+    """
+    docs = docs.drop("fingerprint", "component_id", "keeper")
+    marked = with_fingerprints(docs, words, seed).withColumn("row_", F.monotonically_increasing_id())
     marked = written(marked if with_text else marked.drop("text"))
-    vertices = settled(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    # Null ids come last; the row tells rows with one doc_id apart.
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_")
+    vertices = settled(marked.groupBy("fp").agg(F.min(first).alias("least")))
     found = components(links(vertices.select("fp"), radius))
     # The smallest doc_id of a component is not that of its smallest fingerprint.
     grouped = vertices.join(found.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("component_id", "fp"))
-    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = settled(grouped.select("fp", "root").join(smallest, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").withColumn("fingerprint", F.lower(F.lpad(F.hex("fp"), 16, "0"))).drop("fp")
+    smallest = grouped.groupBy("root").agg(F.min("least").alias("first_"))
+    named = settled(grouped.select("fp", "root").join(smallest, "root")
+                    .select("fp", F.col("first_.doc_id").alias("component_id"), F.col("first_.row_").alias("keeper_row_")))
+    return marked.join(named, "fp").withColumns({
+        "fingerprint": F.lower(F.lpad(F.hex("fp"), 16, "0")), "keeper": F.col("row_") == F.col("keeper_row_")}).drop("fp", "row_", "keeper_row_")

@@ -12,15 +12,14 @@ different runs (a passage with many surroundings) is cut into narrower blocks of
 need no order at all; no run is left out.
 
 Defined cases: a null text is empty; texts shorter than `length` keep all bytes; a text that occurs in two rows is
-removed whole if it has `length` bytes; a null doc_id is a document like any other; bytes that are kept are decoded as UTF-8 only on demand, as
-a cut may fall inside a character; extra columns pass through.
+removed whole if it has `length` bytes; a null doc_id is a document like any other; kept text, unlike kept bytes, leaves out pieces of characters
+that a cut has split; extra columns pass through.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -31,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgauge.llm.common import flat, steps, written
+from driftgauge.llm.rolling import Rolling, mix
 from driftgauge.llm.suffixsort import suffix_arrays
 from driftgauge.session import checkpoint_folder, settled
 
@@ -42,35 +42,12 @@ CORE_RUNS = 128
 NARROWER = (8, 1)
 #: Symbols that one suffix sort takes at once.
 SORT_SYMBOLS = 600_000
-BASE = 0x2127599BF4325C37 | 1
 CORE = 256
 PLACE_BITS = 31
 #: Bytes of text whose runs are worked out at once.
 RUN_BYTES = 1_000_000
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = h * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
-
-
-def _powers(n: int, base: int) -> np.ndarray:
-    out = np.ones(n, np.uint64)
-    done = 1
-    while done < n:
-        more = min(done, n - done)
-        out[done:done + more] = out[:more] * np.uint64(pow(base, done, 1 << 64))
-        done += more
-    return out
-
-
-@lru_cache(maxsize=2)
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(n, BASE), _powers(n, pow(BASE, -1, 1 << 64))
-
-
 def blocks(length: int) -> int:
     return -(-(length - GRAM + 1) // BLOCK_MOST)
 
@@ -89,13 +66,11 @@ class Runs:
             self.start = self.end = self.doc = self.core_at = np.empty(0, np.int64)
             self.core = np.empty(0, np.uint64)
             return
-        power, inverse = _tables(1 << int(n).bit_length())
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
+        hashes = Rolling(data)
         grams = n - GRAM + 1
         bits, last = np.uint64(PLACE_BITS), np.uint64((1 << PLACE_BITS) - 1)
         # hash above, place below: the smallest hash, the rightmost place; the same for every buffer, as anchors must not depend on it
-        least = (_mix((sums[GRAM:] - sums[:-GRAM]) * inverse[:grams]) >> bits << bits) | (last - np.arange(grams, dtype=np.uint64))
+        least = (hashes.grams(GRAM) >> bits << bits) | (last - np.arange(grams, dtype=np.uint64))
         span = 1
         while span * 2 <= spread:
             least = np.minimum(least[:-span], least[span:])
@@ -115,8 +90,7 @@ class Runs:
         at = anchor[self.start]
         block = (at - self.start) // width
         self.doc, self.core_at = doc[self.start], at - block * width
-        core_end = self.core_at + self.core_size
-        self.core = _mix((sums[core_end] - sums[self.core_at]) * inverse[self.core_at] + block.astype(np.uint64))
+        self.core = mix(hashes.raw(self.core_at, self.core_at + self.core_size) + block.astype(np.uint64))
 
 
 def _with_cores(length: int, schema: T.StructType, at: int):
@@ -305,11 +279,13 @@ def _masks(runs: DataFrame, width: int, core_runs: int, narrower: tuple[int, ...
 
 
 RESULT = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
-          T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.BinaryType())]
+          T.StructField("kept_sha256", T.StringType())]
+KEPT = {"none": [], "bytes": [T.StructField("kept", T.BinaryType())], "text": [T.StructField("kept", T.StringType())]}
 
 
-def _cut(length: int):
+def _cut(length: int, keep: str):
     """Removes what the marked windows cover."""
+    names = ["digest", *(f.name for f in RESULT + KEPT[keep])]
 
     def one(text: bytes, copies: int, digest: bytes, marks: list[dict] | None) -> tuple:
         if copies > 1 and len(text) >= length:
@@ -333,10 +309,13 @@ def _cut(length: int):
                 part = batch.slice(i, j - i)
                 texts = [(x or "").encode("utf-8") for x in part.column(1).to_pylist()]
                 rows = [one(t, n, d, m) for t, n, d, m in zip(texts, *(part.column(k).to_pylist() for k in (2, 0, 3)))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)),
-                     pa.array([sha256(r[3]).hexdigest() for r in rows]), pa.array([r[3] for r in rows], pa.binary())],
-                    ["digest", *(f.name for f in RESULT)])
+                columns = [part.column(0), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3)),
+                           pa.array([sha256(r[3]).hexdigest() for r in rows], pa.string())]
+                if keep == "bytes":
+                    columns.append(pa.array([r[3] for r in rows], pa.binary()))
+                elif keep == "text":  # pieces of characters that a cut has left are dropped
+                    columns.append(pa.array([r[3].decode("utf-8", "ignore") for r in rows], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
@@ -350,11 +329,12 @@ def _bucketed(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
-def dedup(docs: DataFrame, length: int = 200, core_runs: int = CORE_RUNS) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes)."""
+def dedup(docs: DataFrame, length: int = 200, core_runs: int = CORE_RUNS, keep: str = "bytes") -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept, what remains (keep: "bytes", "text" or "none")."""
+    fields = RESULT + KEPT[keep]
     width = block_width(length)
     digest = F.substring(F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)), 1, 16)
-    docs = docs.drop(*[f.name for f in RESULT])
+    docs = docs.drop(*[f.name for f in RESULT], "kept", "digest", "digest_")
     keyed = docs.withColumn("digest_", digest)
     texts = keyed.groupBy(F.col("digest_").alias("digest")).agg(F.first(F.coalesce("text", F.lit(""))).alias("text"), F.count("*").alias("copies"))
     cored = T.StructType([*texts.schema.fields, T.StructField("cores", T.ArrayType(T.LongType()))])
@@ -370,5 +350,5 @@ def dedup(docs: DataFrame, length: int = 200, core_runs: int = CORE_RUNS) -> Dat
     marked = members.select("digest", "first", "run").join(marks, "run") \
         .groupBy("digest").agg(F.collect_list(F.struct("digest", "first", "mask")).alias("marks"))
     result = table.select("digest", "text", "copies").join(marked.hint("shuffle_hash"), "digest", "left") \
-        .select("digest", "text", "copies", "marks").mapInArrow(_cut(length), T.StructType([T.StructField("digest", T.BinaryType()), *RESULT]))
+        .select("digest", "text", "copies", "marks").mapInArrow(_cut(length, keep), T.StructType([T.StructField("digest", T.BinaryType()), *fields]))
     return keyed.join(result, keyed["digest_"] == result["digest"]).drop("digest", "digest_")
