@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm import bpe, mixing, sharding, simhash, suffix, toxicity
+from driftgauge.llm import bpe, mixing, quality, sharding, simhash, suffix, toxicity
+from driftgauge.llm.training import fold
 
 #: The public tokenizer file; the package that holds it is installed on every executor.
 VOCABULARY = "word_bpe_49k.json"
@@ -38,6 +39,12 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(docs, with_text=False).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    field = quality.train(docs, table(spark, folder, "labels"))
+    return quality.score(docs, field).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     chain = toxicity.train(docs, table(spark, folder, "labels"))
@@ -78,5 +85,5 @@ SELECT doc_id, size, source_size, target,
        ELSE least(size, floor((need - upto + tied) * size / tied)) END AS BIGINT) AS taken
 FROM x"""
 
-QUERIES: dict[str, Query] = {"op1_suffix": op1_suffix, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing}
+QUERIES: dict[str, Query] = {"op1_suffix": op1_suffix, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing}
 ORACLES: dict[str, str] = {"op9_mixing": OP9_SQL}
