@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm import bpe, mixing, quality, sharding, simhash, suffix, toxicity
+from driftgauge.llm import bpe, covertree, mixing, quality, sharding, simhash, suffix, toxicity
 from driftgauge.llm.training import fold
 
 #: The public tokenizer file; the package that holds it is installed on every executor.
@@ -24,6 +24,24 @@ def op1_suffix(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_covertree(spark: SparkSession, folder: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, folder, "embeddings").select("vec_id", "embedding", "label")) \
+        .select("vec_id", "n_links", "component_id", "kept")
+
+
+#: Cosines of all pairs of one label; components as the closure of the links.
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND list_sum(list_transform(e, lambda x: x * x)) > 0),
+l AS MATERIALIZED (SELECT a.r AS ar, b.r AS br, b.vec_id AS bv FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+        WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e)) / sqrt(list_dot_product(b.e, b.e)) >= 0.93),
+c AS (SELECT ar, br, bv FROM l UNION SELECT c.ar, l.br, l.bv FROM c JOIN l ON c.br = l.ar)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(m.m, v.vec_id)) AS component_id,
+       v.vec_id = least(v.vec_id, coalesce(m.m, v.vec_id)) AS kept
+FROM v LEFT JOIN (SELECT ar, count(*) AS n FROM l GROUP BY ar) n ON n.ar = v.r LEFT JOIN (SELECT ar, min(bv) AS m FROM c GROUP BY ar) m ON m.ar = v.r"""
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
@@ -85,5 +103,5 @@ SELECT doc_id, size, source_size, target,
        ELSE least(size, floor((need - upto + tied) * size / tied)) END AS BIGINT) AS taken
 FROM x"""
 
-QUERIES: dict[str, Query] = {"op1_suffix": op1_suffix, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing}
-ORACLES: dict[str, str] = {"op9_mixing": OP9_SQL}
+QUERIES: dict[str, Query] = {"op1_suffix": op1_suffix, "op2_covertree": op2_covertree, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing}
+ORACLES: dict[str, str] = {"op2_covertree": OP2_SQL, "op9_mixing": OP9_SQL}
