@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm import bpe, covertree, mixing, quality, sharding, simhash, suffix, toxicity
+from driftgauge.llm import bpe, covertree, mixing, quality, search, sharding, simhash, suffix, tokencounts, toxicity
 from driftgauge.llm.training import fold
 
 #: The public tokenizer file; the package that holds it is installed on every executor.
@@ -57,6 +57,17 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(docs, with_text=False).select("doc_id", "fingerprint", "component_id")
 
 
+#: Ids 0 to 50255 are tokens; the next one is free.
+FLAT_VOCABULARY, SEPARATOR = "byte_bpe_50k.tiktoken", 50_256
+
+
+def op5_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return tokencounts.document_counts(docs, public_tokenizers.path(FLAT_VOCABULARY), SEPARATOR)
+
+
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     field = quality.train(docs, table(spark, folder, "labels"))
@@ -103,5 +114,23 @@ SELECT doc_id, size, source_size, target,
        ELSE least(size, floor((need - upto + tied) * size / tied)) END AS BIGINT) AS taken
 FROM x"""
 
-QUERIES: dict[str, Query] = {"op1_suffix": op1_suffix, "op2_covertree": op2_covertree, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing}
-ORACLES: dict[str, str] = {"op2_covertree": OP2_SQL, "op9_mixing": OP9_SQL}
+def op10_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries: every turn of a conversation whose id is divisible by 20, whole; against all turns of all conversations."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    return search.top_k(turns, F.col("conv_id") % 20 == 0, ["conv_id", "turn"]).withColumn("score", F.round("score", 6))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, conv_id, turn,
+             regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM conversations),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+m AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM d),
+s AS (SELECT q.r AS q, b.r AS r, round(sum(q.tf * ln(1 + (m.n - f.df + 0.5) / (f.df + 0.5)) * b.tf * 2.2 / (b.tf + 1.2 * (0.25 + 0.75 * len(d.w) / m.mean))), 9) AS score
+      FROM p q JOIN d dq ON dq.r = q.r AND dq.conv_id % 20 = 0 JOIN f ON f.t = q.t JOIN p b ON b.t = q.t JOIN d ON d.r = b.r CROSS JOIN m
+      GROUP BY q.r, b.r),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d.conv_id NULLS LAST, d.turn NULLS LAST, s.r) AS rank FROM s JOIN d USING (r))
+SELECT dq.conv_id AS q_conv_id, dq.turn AS q_turn, k.rank, k.conv_id, k.turn, round(k.score, 6) AS score FROM k JOIN d dq ON dq.r = k.q WHERE k.rank <= 10"""
+
+QUERIES: dict[str, Query] = {"op1_suffix": op1_suffix, "op2_covertree": op2_covertree, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op10_search": op10_search}
+ORACLES: dict[str, str] = {"op2_covertree": OP2_SQL, "op9_mixing": OP9_SQL, "op10_search": OP10_SQL}
