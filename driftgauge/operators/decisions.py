@@ -221,10 +221,11 @@ def decision_inputs(signals: DataFrame, profile: Column, rules: Rules = Rules())
 # ---- the fold --------------------------------------------------------------------------------
 # Layout of the numeric state of one stream under one strategy.
 _CAPITAL, _COOL, _SEVERE_RUN, _SINCE_RESET, _TICKS, _TEMP, _BIAS, _REFRACTORY, _ACTED, _RESETS, _BLOCKS = range(11)
-_START = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+# The last three are whole numbers of any size, so a budget window may have any length.
+_START = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0, 0, 0]
 
 
-def _propose(strategy: str, r, c: float, risky: bool, st: np.ndarray, rules: Rules) -> tuple[str, str]:
+def _propose(strategy: str, r, c: float, risky: bool, st: list, rules: Rules) -> tuple[str, str]:
     """What the strategy asks for; cooldowns and counters are updated in the state."""
     if strategy in rules.policies:
         return rules.policies[strategy](r, c, risky, st)
@@ -285,7 +286,7 @@ def _propose(strategy: str, r, c: float, risky: bool, st: np.ndarray, rules: Rul
     raise ValueError(f"unknown strategy {strategy}")
 
 
-def _overridden(action: str, reason: str, r, st: np.ndarray) -> tuple[str, str]:
+def _overridden(action: str, reason: str, r, st: list) -> tuple[str, str]:
     """Profile, maintenance, concentration, uncertainty and proactive overrides, in this order."""
     first = action
     if (r.profile == "sensor" and r.signature == "covariate_drift" and not r.saturated and r.opportunity >= 0.35
@@ -317,7 +318,7 @@ def _overridden(action: str, reason: str, r, st: np.ndarray) -> tuple[str, str]:
     return action, reason
 
 
-def _calibrate(action: str, strategy: str, r, st: np.ndarray) -> None:
+def _calibrate(action: str, strategy: str, r, st: list) -> None:
     """Temperature and bias after the action that was really taken."""
     def toward(target_momentum, low, high):
         goal = min(max(1.0 - 1.4 * (r.ref_mean_conf - r.mean_conf), low), high)
@@ -335,8 +336,8 @@ def _calibrate(action: str, strategy: str, r, st: np.ndarray) -> None:
         st[_TEMP], st[_BIAS] = 1.0, 0.0
 
 
-def _count(mask: float) -> int:
-    return int(mask).bit_count()
+def _count(mask: int) -> int:
+    return mask.bit_count()
 
 
 _OUT = [("recommended_action", "string"), ("action_taken", "string"), ("reason", "string"),
@@ -354,12 +355,12 @@ _NEEDED = ["score", "feature_score", "output_score", "collapse_risk", "alert", "
 def _decide(rules: Rules):
     keep_bits = (1 << rules.window) - 1
 
-    def one(strategy: str, r, st: np.ndarray) -> tuple:
+    def one(strategy: str, r, st: list) -> tuple:
         c = min(MAX_CAPITAL, max(1.0, st[_CAPITAL] * DECAY * r.e_value))
         risky = c >= RISK_ALERT
         # Ages grow by one: bit a of each mask is an event a steps ago.
         for slot in (_ACTED, _RESETS, _BLOCKS):
-            st[slot] = (int(st[slot]) << 1) & keep_bits
+            st[slot] = (st[slot] << 1) & keep_bits
         asked, reason = _overridden(*_propose(strategy, r, c, risky, st, rules), r, st)
         mode, limited, why = rules.mode, False, None
         if rules.mode == "shadow":
@@ -376,7 +377,7 @@ def _decide(rules: Rules):
             elif taken == "reset" and 0 <= rules.max_resets <= _count(st[_RESETS]):
                 why = "max_resets_per_window"
             if why:
-                st[_BLOCKS] = int(st[_BLOCKS]) | 1
+                st[_BLOCKS] = st[_BLOCKS] | 1
                 word = "downgraded" if rules.downgrade else "blocked"
                 taken, note, limited = "none", f"bounded_auto_budget_{word}:{why}:{asked}", True
                 mode = "recommend" if rules.downgrade else mode
@@ -401,15 +402,15 @@ def _decide(rules: Rules):
                 asked in ("adapt", "reset") and taken in PASSIVE and (alert_now or r.severe))
         retrain = bool(retrain or r.drift_score >= 0.75)
         if taken not in ("none", "hold", "abstain"):
-            st[_ACTED] = int(st[_ACTED]) | 1
+            st[_ACTED] = st[_ACTED] | 1
             if taken == "reset":
-                st[_RESETS] = int(st[_RESETS]) | 1
+                st[_RESETS] = st[_RESETS] | 1
         st[_CAPITAL] = c
         drift = abs(st[_TEMP] - 1.0) + abs(st[_BIAS])
         return (asked, taken, f"{reason};{note}", mode, c, bool(alert_now), retrain, limited, why,
                 st[_TEMP], st[_BIAS], drift)
 
-    def block(state: np.ndarray, pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+    def block(state: list, pdf: pd.DataFrame) -> tuple[list, pd.DataFrame]:
         strategy = pdf["strategy"].iloc[0]
         recent = pdf["recent_accuracy"]
         pdf = pdf.assign(recent_accuracy=recent.astype(object).where(recent.notna(), None),
@@ -421,11 +422,11 @@ def _decide(rules: Rules):
 
 
 def decide(inputs: DataFrame, strategies: Sequence[str] = STRATEGIES, rules: Rules = Rules(),
-           keep: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+           keep: Sequence[str] = ()) -> DataFrame:
     """One decision per stream, strategy and batch; streams and strategies run side by side."""
     names = F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy")
     fold_in = inputs.select("stream_id", "step", *sorted({*_NEEDED, *keep}), names)
-    out = ordered_fold(fold_in, ["stream_id", "strategy"], "step", _START, _decide(rules), DECISION_FIELDS, rows,
+    out = ordered_fold(fold_in, ["stream_id", "strategy"], "step", lambda: list(_START), _decide(rules), DECISION_FIELDS,
                        [k for k in (*["score", "feature_score", "output_score", "collapse_risk", "alert", "severe",
                                       "profile", "signature"], *keep)])
     action = F.col("action_taken")

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgauge.functions import scalar as S
 from driftgauge.operators.batches import reference_profile, reference_window
-from driftgauge.operators.ordered import ordered_fold, running_totals
+from driftgauge.operators.ordered import clamped_scan, running_totals
 from driftgauge.session import settled
 
 # Fixed values of the shift and risk formulas.
@@ -140,20 +138,11 @@ def tail_counts(signals: DataFrame, rows: int | None = None, share: int = 4, lea
         "e_value", EPSILON * F.pow(F.col("p_value"), EPSILON - 1.0))
 
 
-def _capital_block(state: np.ndarray, pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
-    c = state[0]
-    out = np.empty(len(pdf))
-    for i, e in enumerate(pdf["e_value"].to_numpy()):
-        c = min(MAX_CAPITAL, max(1.0, c * DECAY * e))
-        out[i] = c
-    return np.array([c]), pd.DataFrame({"capital": out, "risk_alert": out >= RISK_ALERT})
-
-
-def risk_capital(signals: DataFrame, keep: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+def risk_capital(signals: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Capital after each batch: the previous one times the decayed e-value, kept in [1, 100]."""
-    fields = [T.StructField("capital", T.DoubleType()), T.StructField("risk_alert", T.BooleanType())]
     need = signals.select("stream_id", "step", "e_value", *[k for k in keep if k != "e_value"])
-    return ordered_fold(need, ["stream_id"], "step", [1.0], _capital_block, fields, rows, keep)
+    out = clamped_scan(need, ["stream_id"], "step", {"capital": (DECAY * F.col("e_value"), F.lit(0.0), 1.0, MAX_CAPITAL, 1.0)}, keep)
+    return out.withColumn("risk_alert", F.col("capital") >= RISK_ALERT)
 
 
 def drift_surface(stats: DataFrame, width: int, rows: int | None = None, ready: bool = False) -> DataFrame:

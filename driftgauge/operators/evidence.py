@@ -223,9 +223,9 @@ def driver_buckets(s: DataFrame) -> DataFrame:
               .when(F.col("correction_applied"), "correction_only").otherwise("passive"))
     return s.withColumn("bucket", bucket).groupBy(*KEY, "bucket").agg(
         F.count(F.lit(1)).alias("n"), F.count("revealed_accuracy").alias("revealed"),
-        F.avg("revealed_accuracy").alias("mean_accuracy"),
-        F.avg(F.when(F.col("revealed_accuracy").isNotNull(), F.col("utility"))).alias("mean_utility"),
-        F.avg("mean_abs_delta").alias("mean_delta"), F.avg("flipped").alias("mean_flips"))
+        steady(F.avg("revealed_accuracy")).alias("mean_accuracy"),
+        steady(F.avg(F.when(F.col("revealed_accuracy").isNotNull(), F.col("utility")))).alias("mean_utility"),
+        steady(F.avg("mean_abs_delta")).alias("mean_delta"), steady(F.avg("flipped")).alias("mean_flips"))
 
 
 def revealed_alerts(s: DataFrame, threshold: float, baseline: str = "frozen") -> DataFrame:

@@ -103,7 +103,7 @@ def calibration_path(batches: DataFrame, momentum: float = 0.25, low: float = 0.
 
     need = batches.select("stream_id", "step", "mean_conf", "ref_mean_conf", "mean_p", "ref_mean_p", "recalibrate", "shift_labels")
     fields = [T.StructField("temperature", DOUBLE), T.StructField("bias", DOUBLE)]
-    return ordered_fold(need, ["stream_id"], "step", [1.0, 0.0], block, fields, rows)
+    return ordered_fold(need, ["stream_id"], "step", [1.0, 0.0], block, fields)
 
 
 def running_statistics(batches: DataFrame, width: int, passes: int = 1, rows: int | None = None) -> DataFrame:
@@ -128,7 +128,7 @@ def running_statistics(batches: DataFrame, width: int, passes: int = 1, rows: in
     need = batches.select("stream_id", "step", "f_mean", "f_var", "ref_mean", "ref_var", "refresh")
     fields = [T.StructField("run_mean", T.ArrayType(DOUBLE)), T.StructField("run_std", T.ArrayType(DOUBLE)),
               T.StructField("strength", DOUBLE)]
-    return ordered_fold(need, ["stream_id"], "step", [0.0] * (2 + 2 * width), block, fields, rows)
+    return ordered_fold(need, ["stream_id"], "step", [0.0] * (2 + 2 * width), block, fields)
 
 
 def pseudo_label_step(rows: DataFrame, keys: Sequence[str], x: str, weight: float, bias: float, source_weight: float,
@@ -233,7 +233,7 @@ def residual_path(reveals: DataFrame, context: int, rank: int, prototypes: int =
               T.StructField("rank_weights", T.ArrayType(DOUBLE)), T.StructField("rank_bias", DOUBLE)]
     names = ["x", "mean_residual", "label_rate", "mean_p", "delay_weight", "prototype", "recurrence", "similarity", "reward",
              "gates", "rank_gradient", "rank_bias_gradient", "learn_ranks"]
-    return ordered_fold(reveals.select("stream_id", "step", *names), ["stream_id"], "step", [0.0] * int(sum(sizes)), block, fields, rows)
+    return ordered_fold(reveals.select("stream_id", "step", *names), ["stream_id"], "step", [0.0] * int(sum(sizes)), block, fields)
 
 
 # ---- models ----------------------------------------------------------------------------------

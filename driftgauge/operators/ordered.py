@@ -3,13 +3,14 @@
 Every operator here has two plans with the same result. When the largest key group is known to
 fit one task, a plain window per key is used. Otherwise rows are range-partitioned by
 (key, order), each partition is summed, and the sums of earlier partitions are added back.
-Folds with feedback cut a key into chunks, run all chunks at once from a guessed state, and
-rerun only chunks whose real starting state turned out different.
+Folds with feedback are one sorted pass with a carried state; states whose steps compose are an
+exact prefix over chunks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-from driftgauge.session import fold_chunk_rows, settled, single_task_rows
+from driftgauge.session import settled, single_task_rows
 
 SLOT = "_slot"
 ALL = "_all"
+#: Steps of a chunk in a composed scan.
+SCAN_ROWS = 8192
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -142,81 +145,105 @@ def exact_quantiles(
     ).drop(ALL)
 
 
-Block = Callable[[np.ndarray, pd.DataFrame], tuple[np.ndarray, pd.DataFrame]]
+State = Any
+Block = Callable[[State, pd.DataFrame], tuple[State, pd.DataFrame]]
 
 
 def ordered_fold(
     df: DataFrame,
     keys: Sequence[str],
     step: str,
-    start: Sequence[float],
+    start: Sequence[float] | Callable[[], State],
     block: Block,
     fields: Sequence[T.StructField],
-    rows: int | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Run `block(state, rows)` along the integer column `step` of each key.
+    """Run `block(state, rows)` along the column `step` of each key: one shuffle, one sorted pass, constant memory.
 
-    `block` gets the numeric state before its first row and the rows sorted by `step`, and returns
-    the state after its last row with one output row per input row. The result has the key, `step`,
-    `keep` and `fields` columns. `rows` bounds the largest key group; beyond the chunk size the
-    chunked plan is used, whose result is the sequential one exactly: it ends only when every chunk
-    was run from the state its predecessor really ended in.
+    `block` gets the state before its first row and the rows sorted by `step`, and returns the state after its last row
+    with one output row per input row. It is called once per key and Arrow batch, and the state is carried from batch to
+    batch, so a block must not depend on where a key is cut. `start` is a list of numbers or makes a fresh state. The result has the
+    key, `step`, `keep` and `fields` columns. States that can be composed are better served by `clamped_scan`.
     """
     keys, keep = list(keys), list(keep)
-    spark = df.sparkSession
-    chunk = fold_chunk_rows(spark)
-    base = [df.schema[c] for c in [*keys, step, *keep]]
-    schema = T.StructType([*base, *fields])
+    schema = T.StructType([*(df.schema[c] for c in [*keys, step, *keep]), *fields])
     names = [f.name for f in schema]
-    origin = np.asarray(start, dtype=np.float64)
-    if not np.isfinite(origin).all():
-        raise ValueError("a fold state must be finite: chunks are compared by their states")
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step, kind="stable").reset_index(drop=True)
-        _, out = block(origin.copy(), pdf)
-        return pd.concat([pdf[[*keys, step, *keep]], out.reset_index(drop=True)], axis=1)[names]
-
-    if rows is None:
-        df = settled(df)
-        rows = largest_group(df, keys)
-    if rows <= chunk:
-        return df.groupBy(*keys).applyInPandas(whole, schema)
-
-    ext = T.StructType([*schema.fields, T.StructField("_chunk", T.LongType()),
-                        T.StructField("_from", T.ArrayType(T.DoubleType())),
-                        T.StructField("_end", T.ArrayType(T.DoubleType()))])
-    ext_names = [f.name for f in ext]
-
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step, kind="stable").reset_index(drop=True)
-        begin = np.asarray(pdf["_start"].iloc[0], dtype=np.float64)
-        state, out = block(begin.copy(), pdf)
-        if not np.isfinite(state).all():
-            raise ValueError("a fold state must be finite: chunks are compared by their states")
-        out = pd.concat([pdf[[*keys, step, *keep]], out.reset_index(drop=True)], axis=1)
-        out["_chunk"] = pdf["_chunk"]
-        marks = [None] * (len(out) - 1)
-        out["_from"] = pd.Series([*marks, list(map(float, begin))], dtype=object)
-        out["_end"] = pd.Series([*marks, list(map(float, state))], dtype=object)
-        return out[ext_names]
-
-    work = settled(df.withColumn("_chunk", F.floor(F.col(step) / chunk).cast("long")))
-    first = F.array(*[F.lit(float(v)) for v in origin])
-    todo = work.select(*keys, "_chunk").distinct().withColumn("_start", first)
-    done: DataFrame | None = None
-    by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
-    while True:
-        ran = work.join(todo, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(part, ext)
-        if done is not None:
-            ran = done.join(todo, [*keys, "_chunk"], "left_anti").unionByName(ran)
-        done = settled(ran)
-        ends = done.where(F.col("_end").isNotNull()).select(*keys, "_chunk", "_from", "_end")
-        want = ends.withColumn("_start", F.coalesce(F.lag("_end").over(by_chunk), first))
-        todo = settled(want.where(F.col("_start") != F.col("_from")).select(*keys, "_chunk", "_start"))
-        if todo.isEmpty():
-            return done.select(*names)
+    fresh = start if callable(start) else lambda: np.array(start, dtype=np.float64)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            k = pdf[keys]
+            before = k.shift()
+            cut = ~((k == before) | (k.isna() & before.isna())).all(axis=1).to_numpy()
+            cut[0] = True
+            places = [*np.flatnonzero(cut), len(pdf)]
+            for a, b in zip(places, places[1:]):
+                part = pdf.iloc[a:b].reset_index(drop=True)
+                name = tuple(None if pd.isna(v) else v for v in part.loc[0, keys])
+                if name != now:
+                    now, state = name, fresh()
+                state, out = block(state, part)
+                yield pd.concat([part[[*keys, step, *keep]], out.reset_index(drop=True)], axis=1)[names]
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, step).mapInPandas(run, schema)
+
+
+def clamped_scan(
+    df: DataFrame,
+    keys: Sequence[str],
+    step: str,
+    maps: Mapping[str, tuple[Column, Column, float, float, float]],
+    keep: Sequence[str] = (),
+    chunk: int = SCAN_ROWS,
+) -> DataFrame:
+    """Running values `v = min(high, max(low, slope * v + shift))` along `step` of each key, for keys of any length.
+
+    maps: name -> (slope >= 0, shift, low, high, start). Such maps compose to one of their kind, so every chunk of steps is first
+    reduced to one map, the few chunk rows of a key give each chunk's exact start, and all chunks are then evaluated at once. Every row is read twice.
+    """
+    keys, keep, names = list(keys), list(keep), list(maps)
+    coefficients = [c for n in names for c in (f"_a_{n}", f"_b_{n}")]
+    bounds = [(float(maps[n][2]), float(maps[n][3])) for n in names]
+    base = df.select(*keys, step, *keep, *[c.cast("double").alias(f"_{k}_{n}") for n in names for k, c in zip("ab", maps[n][:2])],
+                     F.floor(F.col(step) / chunk).cast("long").alias("_chunk"))
+    composed = T.StructType([*(base.schema[c] for c in [*keys, "_chunk"]),
+                             *(T.StructField(f"_{x}_{n}", T.DoubleType()) for n in names for x in "abcd")])
+
+    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(step, kind="stable")
+        out = pdf[[*keys, "_chunk"]].iloc[:1].reset_index(drop=True)
+        for n, (low, high) in zip(names, bounds):
+            a, b, c, d = 1.0, 0.0, -np.inf, np.inf
+            for x, y in zip(pdf[f"_a_{n}"].to_numpy(), pdf[f"_b_{n}"].to_numpy()):
+                c, d = (min(high, max(low, (x * v if x else 0.0) + y)) for v in (c, d))
+                a, b = x * a, x * b + y
+            out[f"_a_{n}"], out[f"_b_{n}"], out[f"_c_{n}"], out[f"_d_{n}"] = a, b, c, d
+        return out[[f.name for f in composed]]
+
+    def follow(state: np.ndarray, pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
+        rows = []
+        for r in pdf[[f"_{x}_{n}" for n in names for x in "abcd"]].to_numpy().reshape(len(pdf), len(names), 4):
+            rows.append(state)
+            state = np.minimum(r[:, 3], np.maximum(r[:, 2], r[:, 0] * state + r[:, 1]))
+        return state, pd.DataFrame(np.array(rows), columns=[f"_s_{n}" for n in names])
+
+    starts = ordered_fold(base.groupBy(*keys, "_chunk").applyInPandas(reduce, composed), keys, "_chunk", [maps[n][4] for n in names], follow,
+                          [T.StructField(f"_s_{n}", T.DoubleType()) for n in names])
+    result = T.StructType([*(base.schema[c] for c in [*keys, step, *keep]), *(T.StructField(n, T.DoubleType()) for n in names)])
+
+    def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(step, kind="stable")
+        for n, (low, high) in zip(names, bounds):
+            v, out = float(pdf[f"_s_{n}"].iloc[0]), np.empty(len(pdf))
+            for i, (x, y) in enumerate(zip(pdf[f"_a_{n}"].to_numpy(), pdf[f"_b_{n}"].to_numpy())):
+                out[i] = v = min(high, max(low, x * v + y))
+            pdf[n] = out
+        return pdf[[f.name for f in result]]
+
+    return base.join(starts, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(evaluate, result)
 
 
 def bounded_windows(

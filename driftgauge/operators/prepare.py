@@ -125,9 +125,14 @@ def temporal_split(df: DataFrame, order: Sequence[Column], test_fraction: float,
 
 
 def hashed_split(df: DataFrame, keys: Sequence[str], test_fraction: float, seed: int = 0) -> DataFrame:
-    """Random split that does not depend on partitioning."""
-    bucket = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn("part", F.when(bucket < int(test_fraction * 1_000_000), "test").otherwise("train"))
+    """Random split that depends on a digest of the keys only, not on partitioning or engine."""
+    return df.withColumn("part", F.when(share(keys, seed) < test_fraction, "test").otherwise("train"))
+
+
+def share(keys: Sequence[str], seed: int) -> Column:
+    """A seeded number in [0, 1) from the first eight digits of the keys' digest."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def banded_split(df: DataFrame, order: Sequence[Column], train: float = 0.55, valid: float = 0.75,
@@ -190,7 +195,7 @@ def entity_folds(df: DataFrame, unit: str, folds: int, train_fraction: float = 0
     """Unit assignment of each fold: units in hash order, first share trains. A fold without a test unit is left out."""
     units = df.select(unit).distinct().select(
         unit, F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
-    units = units.withColumn("_h", F.xxhash64(unit, "fold", F.lit(seed)))
+    units = units.withColumn("_h", share([unit, "fold"], seed))
     out = row_index(units, ["fold"], [F.col("_h"), F.col(unit)], index="_i", total="_n")
     cut = F.greatest(F.lit(1), F.floor(F.col("_n") * train_fraction))
     out = out.where(F.col("_n") > cut)

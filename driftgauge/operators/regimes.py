@@ -117,7 +117,7 @@ def assign_regimes(batches: DataFrame, vector: str, width: int, limit: int = MAX
         return np.concatenate([[n], table.ravel()]), pd.DataFrame(out, columns=[f.name for f in _REGIME_FIELDS])
 
     need = batches.select("stream_id", "step", vector, *[c for c, ok in has.items() if ok])
-    return ordered_fold(need, ["stream_id"], "step", [0.0] * (1 + limit * size), block, _REGIME_FIELDS, rows)
+    return ordered_fold(need, ["stream_id"], "step", [0.0] * (1 + limit * size), block, _REGIME_FIELDS)
 
 
 def route_clusters(batches: DataFrame, vector: str, width: int, limit: int = CLUSTERS,
@@ -142,7 +142,7 @@ def route_clusters(batches: DataFrame, vector: str, width: int, limit: int = CLU
 
     fields = [T.StructField("cluster", T.IntegerType()), T.StructField("clusters", T.IntegerType())]
     start = [0.0] * (1 + limit + limit * width)
-    return ordered_fold(batches.select("stream_id", "step", vector), ["stream_id"], "step", start, block, fields, rows)
+    return ordered_fold(batches.select("stream_id", "step", vector), ["stream_id"], "step", start, block, fields)
 
 
 def regime_diagnostics(prototypes: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def diverse_support(rows_df: DataFrame, key: str, features: Sequence[str], label
         return np.concatenate([[n, first], kept.ravel()]), pd.DataFrame({"picked": picked})
 
     flags = ordered_fold(ranked.select(key, "rank", label, *features), [key], "rank", [0.0] * (2 + size * k), block,
-                         [T.StructField("picked", T.BooleanType())], rows)
+                         [T.StructField("picked", T.BooleanType())])
     out = ranked.join(flags, [key, "rank"])
     return top_k(out, [key], [F.desc("picked"), F.col("rank")], size)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgauge.operators.ordered import (bounded_windows, exact_quantiles, islands, ordered_fold, row_index)
+from driftgauge.operators.ordered import (bounded_windows, clamped_scan, exact_quantiles, islands, ordered_fold, row_index)
 
 DOUBLE = T.DoubleType()
 # Spans and decays of the three competing averages.
@@ -94,27 +94,20 @@ def ewm(values: np.ndarray, decay: float, start: float) -> np.ndarray:
     return s.ewm(alpha=1.0 - decay, adjust=False).mean().to_numpy()[1:]
 
 
-def ema_columns(df: DataFrame, inputs: Mapping[str, tuple[str, float, float]], rows: int | None = None,
+def ema_columns(df: DataFrame, inputs: Mapping[str, tuple[str, float, float]],
                 keys: Sequence[str] = ("stream_id",)) -> DataFrame:
     """Named exponential means: name -> (column, decay, start)."""
-    names = list(inputs)
-
-    def block(state, pdf):
-        out = {n: ewm(pdf[inputs[n][0]].to_numpy(float), inputs[n][1], state[i]) for i, n in enumerate(names)}
-        return np.array([out[n][-1] for n in names]), pd.DataFrame(out)
-
-    need = df.select(*keys, "step", *sorted({c for c, _, _ in inputs.values()}))
-    fields = [T.StructField(n, DOUBLE) for n in names]
-    return ordered_fold(need, keys, "step", [inputs[n][2] for n in names], block, fields, rows)
+    free = float("inf")
+    return clamped_scan(df, keys, "step", {n: (F.lit(d), F.lit(1.0 - d) * F.col(c), -free, free, s) for n, (c, d, s) in inputs.items()})
 
 
-def timescales(signals: DataFrame, rows: int | None = None) -> DataFrame:
+def timescales(signals: DataFrame) -> DataFrame:
     """Most urgent of three averages of shift and output; the first one wins ties."""
     inputs = {}
     for name, decay in EXPERTS:
         inputs[f"{name}_shift"] = ("score", decay, 0.0)
         inputs[f"{name}_output"] = ("output_score", decay, 0.0)
-    e = ema_columns(signals, inputs, rows)
+    e = ema_columns(signals, inputs)
     urgency = {n: 0.6 * F.col(f"{n}_shift") + 0.4 * F.col(f"{n}_output") for n, _ in EXPERTS}
     top = F.greatest(*urgency.values())
     expert = F.coalesce(*[F.when(u == top, F.lit(n)) for n, u in urgency.items()])
@@ -126,23 +119,13 @@ def timescales(signals: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def conformal_alpha(first_rows: DataFrame, coverage: float = 0.90, rate: float = 0.05, low: float = 0.02,
-                    high: float = 0.40, start: float = 0.10, rows: int | None = None) -> DataFrame:
+                    high: float = 0.40, start: float = 0.10) -> DataFrame:
     """Miscoverage level after each batch; `miss` is 1 when the batch's first row was predicted wrong."""
-    target = 1.0 - coverage
-
-    def block(state, pdf):
-        a, out = state[0], np.empty(len(pdf))
-        for i, m in enumerate(pdf["miss"].to_numpy(float)):
-            a = min(high, max(low, a + rate * (m - target)))
-            out[i] = a
-        return np.array([a]), pd.DataFrame({"alpha": out})
-
-    return ordered_fold(first_rows.select("stream_id", "step", "miss"), ["stream_id"], "step", [start], block,
-                        [T.StructField("alpha", DOUBLE)], rows)
+    shift = F.lit(rate) * (F.col("miss") - F.lit(1.0 - coverage))
+    return clamped_scan(first_rows, ["stream_id"], "step", {"alpha": (F.lit(1.0), shift, low, high, start)})
 
 
-def page_hinkley(df: DataFrame, value: str, least: int = 30, delta: float = 0.005, limit: float = 50.0,
-                 rows: int | None = None) -> DataFrame:
+def page_hinkley(df: DataFrame, value: str, least: int = 30, delta: float = 0.005, limit: float = 50.0) -> DataFrame:
     """Page-Hinkley test for a rising mean; it starts anew after an alarm."""
     def block(state, pdf):
         n, mean, total, low = state
@@ -159,10 +142,10 @@ def page_hinkley(df: DataFrame, value: str, least: int = 30, delta: float = 0.00
         return np.array([n, mean, total, low]), pd.DataFrame({"statistic": stat, "drift": alarm})
 
     fields = [T.StructField("statistic", DOUBLE), T.StructField("drift", T.BooleanType())]
-    return ordered_fold(df.select("stream_id", "step", value), ["stream_id"], "step", [0, 0, 0, 0], block, fields, rows)
+    return ordered_fold(df.select("stream_id", "step", value), ["stream_id"], "step", [0, 0, 0, 0], block, fields)
 
 
-def adaptive_window(df: DataFrame, value: str, delta: float = 0.002, rows: int | None = None) -> DataFrame:
+def adaptive_window(df: DataFrame, value: str, delta: float = 0.002) -> DataFrame:
     """Adaptive windowing: cut the window at the first split whose two means differ too much.
 
     The state is the window itself, which grows until a cut, as the method asks.
@@ -186,7 +169,7 @@ def adaptive_window(df: DataFrame, value: str, delta: float = 0.002, rows: int |
         return np.array(window), pd.DataFrame({"window_size": size, "drift": fired})
 
     fields = [T.StructField("window_size", T.LongType()), T.StructField("drift", T.BooleanType())]
-    return ordered_fold(df.select("stream_id", "step", value), ["stream_id"], "step", [], block, fields, rows)
+    return ordered_fold(df.select("stream_id", "step", value), ["stream_id"], "step", [], block, fields)
 
 
 def score_histograms(batched: DataFrame, value: str = "p", bins: int = 10) -> DataFrame:
@@ -196,8 +179,7 @@ def score_histograms(batched: DataFrame, value: str = "p", bins: int = 10) -> Da
     return got.select("stream_id", "step", F.array(*[f"_b{i}" for i in range(bins)]).alias("counts"))
 
 
-def rolling_psi(histograms: DataFrame, window: int = 5, limit: float = 0.2, bins: int = 10, floor: float = 1e-4,
-                rows: int | None = None) -> DataFrame:
+def rolling_psi(histograms: DataFrame, window: int = 5, limit: float = 0.2, bins: int = 10, floor: float = 1e-4) -> DataFrame:
     """Stability index of the last `window` batches against the first ones; it restarts after a firing."""
     def shares(counts):
         return np.maximum(counts / max(1.0, counts.sum()), floor)
@@ -226,7 +208,7 @@ def rolling_psi(histograms: DataFrame, window: int = 5, limit: float = 0.2, bins
 
     fields = [T.StructField("psi", DOUBLE), T.StructField("drift", T.BooleanType())]
     start = [0.0] * (2 + bins + window * bins)
-    return ordered_fold(histograms, ["stream_id"], "step", start, block, fields, rows)
+    return ordered_fold(histograms, ["stream_id"], "step", start, block, fields)
 
 
 def rolling_psi_open(histograms: DataFrame, window: int = 5, bins: int = 10, floor: float = 1e-4,
@@ -275,7 +257,7 @@ def temporal_context(rows_df: DataFrame, key: str, time: str, features: Sequence
 
     fields = [T.StructField(n, DOUBLE) for n in ("short_abs", "long_abs", "short_rms", "trend")]
     need = base.select(key, "idx", *features)
-    ctx = ordered_fold(need, [key], "idx", [0.0] * (1 + 2 * k), block, fields, rows)
+    ctx = ordered_fold(need, [key], "idx", [0.0] * (1 + 2 * k), block, fields)
     joined = base.join(mid, key, "left").join(ctx, [key, "idx"])
     mean = sum((F.col(f) for f in features), F.lit(0.0)) / k
     var = sum(((F.col(f) - mean) * (F.col(f) - mean) for f in features), F.lit(0.0)) / k

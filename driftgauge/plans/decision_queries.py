@@ -58,7 +58,7 @@ _GAIN = "least(1.0,greatest(0.0,CASE expert WHEN 'short' THEN 0.5*short_shift+0.
 
 @query("timescales", C.event_sql(TIMESCALE_SQL) + f"SELECT stream_id, step, expert, round({_GAIN},6) AS gain FROM tx")
 def timescales(spark, folder):
-    t = W.timescales(C.event_signals(spark, folder), C.step_bound(spark, folder, "events"))
+    t = W.timescales(C.event_signals(spark, folder))
     return t.select("stream_id", "step", "expert", r6("gain"))
 
 
@@ -69,9 +69,9 @@ round(accuracy_ema-lag(accuracy_ema) OVER (PARTITION BY stream_id ORDER BY step)
 def running_averages(spark, folder):
     """Running means of shift, capital and accuracy, and the change of the last one."""
     rows = C.step_bound(spark, folder, "events")
-    risk = R.risk_capital(C.event_signals(spark, folder), ["score", "batch_accuracy"], rows)
+    risk = R.risk_capital(C.event_signals(spark, folder), ["score", "batch_accuracy"])
     e = W.ema_columns(risk, {"shift_ema": ("score", 0.84, 0.0), "capital_ema": ("capital", 0.84, 0.0),
-                             "accuracy_ema": ("batch_accuracy", 0.84, 0.5)}, rows)
+                             "accuracy_ema": ("batch_accuracy", 0.84, 0.5)})
     from driftgauge.operators.ordered import bounded_windows
     e = bounded_windows(e, ["stream_id"], "step", 1, lambda w: {
         "accuracy_trend": F.col("accuracy_ema") - F.lag("accuracy_ema", 1).over(w)}, rows)
@@ -88,7 +88,7 @@ def conformal_alpha(spark, folder):
     b = C.event_batches(spark, folder)
     miss = ((F.col("p") >= 0.5).cast("int") != F.col("y")).cast("double")
     first = b.groupBy("stream_id", "step").agg(F.min_by(miss, "idx").alias("miss"))
-    return W.conformal_alpha(first, rows=C.step_bound(spark, folder, "events")).select(
+    return W.conformal_alpha(first).select(
         "stream_id", "step", r6("alpha"))
 
 
@@ -103,20 +103,20 @@ _PH = """ph(stream_id, step, n, mean, total, low, stat, drift) AS (
 @query("page_hinkley", C.event_sql(_PH, upto="stats") + "SELECT stream_id, step, round(stat,6) AS statistic, drift FROM ph WHERE step>=0")
 def page_hinkley(spark, folder):
     s = C.event_stats(spark, folder).withColumn("error", 1 - F.col("batch_accuracy"))
-    p = W.page_hinkley(s, "error", 8, 0.005, 0.4, C.step_bound(spark, folder, "events"))
+    p = W.page_hinkley(s, "error", 8, 0.005, 0.4)
     return p.select("stream_id", "step", r6("statistic"), "drift")
 
 
 @query("adaptive_window")
 def adaptive_window(spark, folder):
     s = C.line_stats(spark, folder).withColumn("error", 1 - F.col("batch_accuracy"))
-    return W.adaptive_window(s, "error", rows=C.step_bound(spark, folder, "lineitem"))
+    return W.adaptive_window(s, "error")
 
 
 @query("rolling_stability")
 def rolling_stability(spark, folder):
     h = W.score_histograms(C.event_batches(spark, folder))
-    return W.rolling_psi(h, rows=C.step_bound(spark, folder, "events")).withColumn("psi", F.round("psi", 6))
+    return W.rolling_psi(h).withColumn("psi", F.round("psi", 6))
 
 
 _H = ", ".join(f"count(*) FILTER (WHERE least(floor(p*10),9)={i}) AS b{i}" for i in range(10))
@@ -205,7 +205,7 @@ uncertainty, round(opportunity,6) AS opportunity FROM ru""")
 def decision_columns(spark, folder):
     """Signature, saturation, uncertainty and opportunity under four controller profiles."""
     t = trended(spark, folder)
-    gain = W.timescales(t, C.step_bound(spark, folder, "events")).select("stream_id", "step", "gain")
+    gain = W.timescales(t).select("stream_id", "step", "gain")
     d = D.decision_inputs(t.join(gain, ["stream_id", "step"]), _profile())
     return d.select("stream_id", "step", "profile", "signature", "saturated", "uncertainty", r6("opportunity"))
 
@@ -227,7 +227,7 @@ THEN ['none','hold'] ELSE {_allowed_sql('profile', 'signature')} END, ',') AS al
 def allowed_actions(spark, folder):
     """Base actions cut by profile, signature, stand-down and the benign gate."""
     t = trended(spark, folder)
-    gain = W.timescales(t, C.step_bound(spark, folder, "events")).select("stream_id", "step", "gain")
+    gain = W.timescales(t).select("stream_id", "step", "gain")
     d = D.decision_inputs(t.join(gain, ["stream_id", "step"]), _profile())
     return d.select("stream_id", "step", F.array_join("allowed", ",").alias("allowed"))
 
@@ -351,7 +351,7 @@ def decision_sql(*extra: str) -> str:
 def decision_table(spark, folder, rules=D.Rules(), strategies=D.STRATEGIES):
     """Decisions of every strategy over every event stream, written once: it is a small table."""
     inputs = D.decision_inputs(trended(spark, folder).withColumn("gain", F.lit(0.0)), F.lit("general"), rules)
-    out = D.decide(inputs, strategies, rules, ["n_steps", "batch_accuracy"], C.step_bound(spark, folder, "events"))
+    out = D.decide(inputs, strategies, rules, ["n_steps", "batch_accuracy"])
     return settled(out)
 
 

@@ -18,7 +18,7 @@ def surface(spark, folder, name="events", batch=C.BATCH):
     """Per stream and batch: signals, p-value, risk capital and both alerts."""
     signals = (C.event_signals if name == "events" else C.line_signals)(spark, folder, batch)
     keep = [*SURFACE, "alert", "severe", "p_value"]
-    return D.risk_capital(signals, keep, C.step_bound(spark, folder, name, batch))
+    return D.risk_capital(signals, keep)
 
 
 def _surface_out(df):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from driftgauge.operators import batches as B
@@ -185,8 +186,8 @@ def _revealed(spark, folder):
 
 @query("driver_buckets", decision_sql(SURFACE_SQL, _REV) + """SELECT stream_id, strategy, CASE WHEN explicit_action THEN 'explicit_action'
 WHEN correction_applied THEN 'correction_only' ELSE 'passive' END AS bucket, count(*) AS n, count(revealed_accuracy) AS revealed,
-round(avg(revealed_accuracy),6) AS mean_accuracy, round(avg(utility) FILTER (WHERE revealed_accuracy IS NOT NULL),6) AS mean_utility,
-round(avg(mean_abs_delta),6) AS mean_delta, round(avg(flipped),6) AS mean_flips FROM rev GROUP BY 1,2,3""")
+round(round(avg(revealed_accuracy),12),6) AS mean_accuracy, round(round(avg(utility) FILTER (WHERE revealed_accuracy IS NOT NULL),12),6) AS mean_utility,
+round(round(avg(mean_abs_delta),12),6) AS mean_delta, round(round(avg(flipped),12),6) AS mean_flips FROM rev GROUP BY 1,2,3""")
 def driver_buckets(spark, folder):
     b = E.driver_buckets(_revealed(spark, folder))
     return b.select(*E.KEY, "bucket", "n", "revealed", *[r6(c) for c in ("mean_accuracy", "mean_utility", "mean_delta", "mean_flips")])
@@ -385,13 +386,14 @@ def event_worthy(spark, folder):
     return P.event_worthy(decision_table(spark, folder)).select(*E.KEY, "step")
 
 
-@query("interesting_events", decision_sql() + f"""SELECT strategy, step, action_taken, recommended_action FROM dec WHERE stream_id='click' AND strategy='multi_action' AND (action_taken NOT IN {QUIET}
-OR recommended_action NOT IN {QUIET} OR risk_alert OR retrain_recommended OR budget_limited) ORDER BY step LIMIT 8""")
+@query("interesting_events", decision_sql() + f"""SELECT stream_id, strategy, step, action_taken, recommended_action FROM dec WHERE action_taken NOT IN {QUIET}
+OR recommended_action NOT IN {QUIET} OR risk_alert OR retrain_recommended OR budget_limited
+QUALIFY row_number() OVER (PARTITION BY stream_id, strategy ORDER BY step)<=8""")
 def interesting_events(spark, folder):
-    """First eight eventful batches of one timeline, as the report shows them."""
-    d = decision_table(spark, folder, strategies=["multi_action"])
-    return P.event_worthy(d.where(F.col("stream_id") == "click")).orderBy("step").limit(8).select(
-        "strategy", "step", "action_taken", "recommended_action")
+    """First eight eventful batches of every timeline, as the report shows them."""
+    first = Window.partitionBy(*E.KEY).orderBy("step")
+    return P.event_worthy(decision_table(spark, folder)).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= 8).select(
+        *E.KEY, "step", "action_taken", "recommended_action")
 
 
 @query("budget_use", decision_sql() + """SELECT stream_id, strategy, step, CAST(coalesce(sum(CASE WHEN action_taken NOT IN ('none','hold','abstain') THEN 1 ELSE 0 END) OVER w,0) AS BIGINT) AS actions_in_window,

@@ -288,7 +288,7 @@ def residual_learning(spark, folder):
     rows = C.step_bound(spark, folder, "events")
     stats = settled(C.event_stats(spark, folder))
     sig = R.drift_surface(stats, 2, rows, ready=True)
-    risk = R.risk_capital(sig, rows=rows)
+    risk = R.risk_capital(sig)
     j = sig.join(risk, ["stream_id", "step"]).withColumn("x", M.bandit_context())
     reg = regimes(spark, folder).select("stream_id", "step", "prototype", "similarity", "novelty",
                                         F.col("confidence").alias("recurrence"), F.col("prototype_reward").alias("reward"))

@@ -175,7 +175,8 @@ def rebalanced_rows(spark, folder):
     return P.rebalanced(o, _time(), "y", 6000).select("o_orderkey", "y")
 
 
-@query("hashed_split")
+@query("hashed_split", """SELECT o_orderkey, CASE WHEN CAST('0x'||substr(md5('7:'||o_orderkey),1,8) AS BIGINT)/4294967296.0<0.3 THEN 'test' ELSE 'train' END AS part
+FROM orders""")
 def hashed_split(spark, folder):
     return P.hashed_split(table(spark, folder, "orders").select("o_orderkey"), ["o_orderkey"], 0.3, 7)
 
@@ -189,7 +190,10 @@ def entity_split(spark, folder):
         F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("entity_folds")
+@query("entity_folds", """WITH u AS (SELECT DISTINCT l_suppkey, fold FROM lineitem, range(4) r(fold)),
+h AS (SELECT l_suppkey, fold, count(*) OVER (PARTITION BY fold) AS n,
+  row_number() OVER (PARTITION BY fold ORDER BY CAST('0x'||substr(md5('3:'||l_suppkey||':'||fold),1,8) AS BIGINT), l_suppkey)-1 AS i FROM u)
+SELECT CAST(fold AS INTEGER) AS fold, l_suppkey, CASE WHEN i<greatest(1,floor(n*0.6)) THEN 'train' ELSE 'test' END AS part FROM h WHERE n>greatest(1,floor(n*0.6))""")
 def entity_folds(spark, folder):
     return P.entity_folds(table(spark, folder, "lineitem"), "l_suppkey", 4, seed=3)
 

@@ -7,9 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 SINGLE_TASK_ROWS = "spark.driftgauge.singleTaskRows"
-FOLD_CHUNK_ROWS = "spark.driftgauge.foldChunkRows"
 DEFAULT_SINGLE_TASK_ROWS = 2_000_000
-DEFAULT_FOLD_CHUNK_ROWS = 50_000
 
 
 def local_session(cores: str = "*", app: str = "driftgauge") -> SparkSession:
@@ -34,11 +32,6 @@ def single_task_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(SINGLE_TASK_ROWS, str(DEFAULT_SINGLE_TASK_ROWS)))
 
 
-def fold_chunk_rows(spark: SparkSession) -> int:
-    """Most batch rows of one key that one fold call may read."""
-    return int(spark.conf.get(FOLD_CHUNK_ROWS, str(DEFAULT_FOLD_CHUNK_ROWS)))
-
-
 def checkpoint_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; local sessions without one get a fresh temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

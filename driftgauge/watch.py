@@ -42,11 +42,11 @@ class Watch:
         signals = W.trend_columns(drift_surface(stats, len(self.features), rows, ready=True), rows)
         recent = L.recent_reveals(stats, self.delay, self.jitter, rows=rows).select(
             "stream_id", "step", "recent_accuracy", "revealed_accuracy", "revealed_rate")
-        gain = W.timescales(signals, rows).select("stream_id", "step", "gain")
+        gain = W.timescales(signals).select("stream_id", "step", "gain")
         full = signals.join(recent, ["stream_id", "step"]).join(gain, ["stream_id", "step"])
         level = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
         inputs = D.decision_inputs(full.withColumn("alpha", level), F.lit(self.profile), self.rules)
-        return D.decide(inputs, self.strategies, self.rules, ["n_steps", "batch_accuracy"], rows)
+        return D.decide(inputs, self.strategies, self.rules, ["n_steps", "batch_accuracy"])
 
     def reveal(self, decisions: DataFrame, batched: DataFrame) -> DataFrame:
         """Decisions with the outcome of their batch."""

@@ -23,4 +23,3 @@ def spread(spark):
     spark.conf.set("spark.driftgauge.singleTaskRows", "20")
     yield spark
     spark.conf.unset("spark.driftgauge.singleTaskRows")
-    spark.conf.unset("spark.driftgauge.foldChunkRows")

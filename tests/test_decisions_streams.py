@@ -29,7 +29,7 @@ def inputs(spark, n, **change):
 
 
 def run(spark, df, strategy, rules=D.Rules()):
-    return D.decide(df, [strategy], rules, rows=100).orderBy("step").toPandas()
+    return D.decide(df, [strategy], rules).orderBy("step").toPandas()
 
 
 def test_budget_blocks_and_downgrades(spark):
@@ -42,6 +42,11 @@ def test_budget_blocks_and_downgrades(spark):
     assert got[got["action_taken"] == "bn_refresh"]["step"].tolist() == [0, 2, 4, 24, 26, 28]
 
 
+def test_budget_window_longer_than_a_float_holds(spark):
+    got = run(spark, inputs(spark, 130, score=1.3, feature_score=1.2, alert=True), "multi_action", D.Rules(max_actions=2, window=100))
+    assert got[got["action_taken"] == "bn_refresh"]["step"].tolist() == [0, 2, 100, 102]
+
+
 @pytest.mark.parametrize("mode", ["shadow", "recommend"])
 def test_quiet_modes_take_nothing(spark, mode):
     got = run(spark, inputs(spark, 6, score=1.3, feature_score=1.2, alert=True), "multi_action", D.Rules(mode=mode))
@@ -72,7 +77,7 @@ def test_actions_are_named_once(spark):
 def test_adaptive_window_finds_a_jump(spark):
     v = [0.1] * 200 + [0.9] * 200
     df = spark.createDataFrame([("s", i, x) for i, x in enumerate(v)], "stream_id string, step long, e double")
-    got = W.adaptive_window(df, "e", rows=400).toPandas()
+    got = W.adaptive_window(df, "e").toPandas()
     first = got[got["drift"]]["step"].min()
     assert 200 <= first < 240 and not got[got["step"] < 200]["drift"].any()
 
@@ -80,7 +85,7 @@ def test_adaptive_window_finds_a_jump(spark):
 def test_rolling_index_restarts(spark):
     h = [[48.0] + [0.0] * 9] * 5 + [[0.0] * 9 + [48.0]] * 12
     df = spark.createDataFrame([("s", i, x) for i, x in enumerate(h)], "stream_id string, step long, counts array<double>")
-    got = W.rolling_psi(df, rows=20).toPandas()
+    got = W.rolling_psi(df).toPandas()
     assert got[got["drift"]]["step"].tolist() == [9, 14]
 
 

@@ -48,9 +48,14 @@ def test_bounded_windows(spread):
     pd.testing.assert_frame_equal(a, b)
 
 
-def test_chunked_fold_equals_sequential(spread):
-    """The chunk plan reruns chunks until every start is the real one."""
+def test_fold_carries_state_over_batches(spark):
+    """Many Arrow batches per key, one call per batch and key, every row read once."""
+    calls = spark.sparkContext.accumulator(0)
+    read = spark.sparkContext.accumulator(0)
+
     def block(state, pdf):
+        calls.add(1)
+        read.add(len(pdf))
         c, out = state[0], []
         for x in pdf["x"]:
             c = min(50.0, max(1.0, c * x))
@@ -58,36 +63,45 @@ def test_chunked_fold_equals_sequential(spread):
         return np.array([c]), pd.DataFrame({"c": out})
 
     rng = np.random.default_rng(1)
-    pdf = pd.DataFrame({"k": "hot", "step": range(300), "x": rng.uniform(0.5, 1.9, 300)})
-    fields = [T.StructField("c", T.DoubleType())]
-    spread.conf.set("spark.driftgauge.foldChunkRows", "60")
-    df = spread.createDataFrame(pdf)
-    got = O.ordered_fold(df, ["k"], "step", [1.0], block, fields).orderBy("step").toPandas()
-    want = block(np.array([1.0]), pdf)[1]
-    assert got["c"].tolist() == want["c"].tolist()
-
-
-def test_chunked_context_equals_sequential(spread):
-    """Running means over rows need several rounds until they forget a wrong start."""
+    pdf = pd.concat([pd.DataFrame({"k": k, "step": range(n), "x": rng.uniform(0.5, 1.9, n)}) for k, n in (("hot", 400), ("b", 3), (None, 25))])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    got = O.ordered_fold(spark.createDataFrame(pdf.sample(frac=1, random_state=1)), ["k"], "step", [1.0], block,
+                         [T.StructField("c", T.DoubleType())]).toPandas()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, part in pdf.groupby("k", dropna=False):
+        c, want = 1.0, []
+        for x in part["x"]:
+            c = min(50.0, max(1.0, c * x))
+            want.append(c)
+        mine = got[got["k"].isna() if pd.isna(k) else got["k"] == k].sort_values("step")
+        assert mine["c"].tolist() == want
+    assert read.value == 428 and 43 <= calls.value <= 60
+
+
+def test_clamped_scan_over_forty_chunks(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"k": "hot", "step": range(400), "x": rng.uniform(0.5, 1.9, 400)})
+    free = float("inf")
+    got = O.clamped_scan(spark.createDataFrame(pdf), ["k"], "step", {
+        "c": (F.col("x"), F.lit(0.0), 1.0, 50.0, 1.0), "m": (F.lit(0.9), 0.1 * F.col("x"), -free, free, 0.5),
+        "a": (F.lit(1.0), F.col("x") - 1.2, 0.0, 1.0, 0.3), "z": (F.lit(0.0), F.col("x"), -free, free, 0.0)}, chunk=10).orderBy("step").toPandas()
+    c, m, a, want = 1.0, 0.5, 0.3, []
+    for x in pdf["x"]:
+        c, m, a = min(50.0, max(1.0, c * x)), 0.9 * m + 0.1 * x, min(1.0, max(0.0, a + x - 1.2))
+        want.append((c, m, a, x))
+    assert np.allclose(got[["c", "m", "a", "z"]].to_numpy(), np.array(want), rtol=1e-12, atol=1e-12)
+
+
+def test_context_does_not_depend_on_batches(spark):
     from driftgauge.operators.windows import temporal_context
 
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"k": "hot", "id": range(900), "t": np.cumsum(rng.integers(0, 3, 900)).astype(float),
                         "a": rng.random(900), "b": rng.random(900)})
-    df = spread.createDataFrame(pdf)
+    df = spark.createDataFrame(pdf)
     order = [F.col("t"), F.col("id")]
-    spread.conf.set("spark.driftgauge.foldChunkRows", "450")
-    a = temporal_context(df, "k", "t", ["a", "b"], order).orderBy("id").toPandas()
-    spread.conf.unset("spark.driftgauge.foldChunkRows")
-    spread.conf.unset("spark.driftgauge.singleTaskRows")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    a = temporal_context(df, "k", "t", ["a", "b"], order, rows=900).orderBy("id").toPandas()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     b = temporal_context(df, "k", "t", ["a", "b"], order, rows=900).orderBy("id").toPandas()
     pd.testing.assert_frame_equal(a, b, rtol=1e-12)
-
-
-def test_fold_state_must_be_finite(spark):
-    df = spark.createDataFrame([("a", 0)], "k string, step long")
-    try:
-        O.ordered_fold(df, ["k"], "step", [float("nan")], None, [], rows=1)
-    except ValueError:
-        return
-    raise AssertionError("a state that is not finite was accepted")
