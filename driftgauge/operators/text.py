@@ -7,18 +7,17 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgauge.operators.ordered import row_index
 from driftgauge.operators.prepare import StandardScale
 
-GRAM_WIDTH = 2_000
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
 
 def terms(texts: DataFrame, key: str, text: str, stop_words: Sequence[str] = (), pairs: bool = True) -> DataFrame:
-    """Words of two and more characters without stop words, and pairs of neighbours: one row per key and term."""
+    """(key, terms): words of two and more characters without stop words, and pairs of neighbours."""
     words = F.filter(F.split(F.lower(F.col(text)), WORD_BREAK), lambda w: F.length(w) >= 2)
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(*stop_words))
@@ -29,39 +28,42 @@ def terms(texts: DataFrame, key: str, text: str, stop_words: Sequence[str] = (),
         after = F.slice("_w", 2, F.greatest(n - 1, F.lit(0)))
         before = F.slice("_w", 1, F.greatest(n - 1, F.lit(0)))
         both = F.concat("_w", F.zip_with(before, after, lambda a, b: F.concat_ws(" ", a, b)))
-    return out.select(key, F.explode(both).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return out.select(key, both.alias("terms"))
 
 
-def vocabulary(counts: DataFrame, documents: int, least_df: int = 2, most: int = 4000) -> DataFrame:
-    """The most frequent terms found in enough texts, with smoothed inverse frequency and a dense index."""
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= least_df)
+def vocabulary(found: DataFrame, documents: int, least_df: int = 2, most: int = 4000) -> DataFrame:
+    """The most frequent terms found in enough texts, with smoothed inverse frequency and a dense index.
+
+    Occurrences and texts of a term are summed in one shuffle by term, after partial sums.
+    """
+    marks = F.concat(
+        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("occurs"), F.lit(0).alias("holds"))),
+        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("occurs"), F.lit(1).alias("holds"))))
+    df = found.select(F.explode(marks).alias("m")).groupBy("m.term").agg(
+        F.sum("m.holds").alias("df"), F.sum("m.occurs").alias("total")).where(F.col("df") >= least_df)
     top = df.orderBy(F.desc("total"), "term").limit(most)
     top = row_index(top, [], [F.col("term")], most, index="term_id")
     return top.withColumn("idf", F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0)
 
 
-def weighted_terms(counts: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """tf * idf at unit length per text."""
-    w = counts.join(vocab.select("term", "term_id", "idf"), "term").withColumn("_x", F.col("tf") * F.col("idf"))
-    size = w.groupBy(key).agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_z"))
-    return w.join(size, key).select(key, "term", "term_id", (F.col("_x") / F.col("_z")).alias("weight"))
+def weighted_terms(found: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
+    """tf * idf at unit length per text. Terms outside the vocabulary go before anything is shuffled by text."""
+    known = found.select(key, F.explode("terms").alias("term")).join(vocab.select("term", "term_id", "idf"), "term")
+    w = known.groupBy(key, "term", "term_id", "idf").agg(F.count(F.lit(1)).alias("tf")).withColumn("_x", F.col("tf") * F.col("idf"))
+    size = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
+    return w.select(key, "term", "term_id", (F.col("_x") / size).alias("weight"))
 
 
 def reduced(weights: DataFrame, key: str, width: int, dims: int) -> DataFrame:
     """Truncated singular value decomposition of the weights, then scaling to unit deviation.
 
-    A text has at most `width` weights, so its row of the matrix is bounded. The axes come from the
-    `width` by `width` product matrix, summed in one pass; wide vocabularies use the iterative solver.
+    A text has at most `width` weights, so its row of the matrix is bounded. One iterative solver serves every width.
     """
     rows = weights.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("v"))
     vectors = rows.rdd.map(lambda r: Vectors.sparse(width, [(int(x[0]), float(x[1])) for x in r["v"]]))
-    if width <= GRAM_WIDTH:
-        values, axes = np.linalg.eigh(RowMatrix(vectors).computeGramianMatrix().toArray())
-        axes = axes[:, np.argsort(values)[::-1][:dims]]
-    else:
-        vectors = vectors.cache()
-        axes = RowMatrix(vectors).computeSVD(dims).V.toArray()
-        vectors.unpersist()
+    vectors = vectors.cache()
+    axes = RowMatrix(vectors).computeSVD(dims).V.toArray()
+    vectors.unpersist()
     # An axis may point either way; its largest entry is made positive.
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])])
     basis = weights.sparkSession.createDataFrame(

@@ -171,8 +171,8 @@ def event_sql(*extra: str, upto: str = "signals", batch: int = BATCH) -> str:
     return _with([EVENT_SCORES_SQL, batched_sql(EVENT_ORDER_SQL, batch)], EVENT_FEATURES, upto, extra)
 
 
-def line_sql(*extra: str, upto: str = "signals", batch: int = BATCH) -> str:
-    return _with([LINE_SCORES_SQL, batched_sql(LINE_ORDER_SQL, batch)], LINE_FEATURES, upto, extra)
+def line_sql(*extra: str, upto: str = "signals", batch: int = BATCH, tail: bool = False) -> str:
+    return _with([LINE_SCORES_SQL, batched_sql(LINE_ORDER_SQL, batch, tail)], LINE_FEATURES, upto, extra)
 
 
 def _with(head: list[str], features: list[str], upto: str, extra: tuple[str, ...]) -> str:

@@ -342,12 +342,12 @@ def detector_scoreboard(spark, folder):
 
 
 @query("served_accuracy", C.line_sql("""o AS (SELECT regime, y, step%9=4 AS abstained, strategy, CAST(p>=t AS INTEGER) AS yhat FROM batched, (SELECT unnest(['frozen','cautious']) AS strategy, unnest([0.5,0.35]) AS t))""",
-    upto="batched") + """SELECT strategy, coalesce(regime,'*') AS regime, count(*) AS n, round(avg(CASE WHEN yhat=y AND NOT abstained THEN 1.0 ELSE 0.0 END),6) AS accuracy,
+    upto="batched", tail=True) + """SELECT strategy, coalesce(regime,'*') AS regime, count(*) AS n, round(avg(CASE WHEN yhat=y AND NOT abstained THEN 1.0 ELSE 0.0 END),6) AS accuracy,
 round(count(*) FILTER (WHERE yhat=y AND NOT abstained)/greatest(1.0,count(*) FILTER (WHERE NOT abstained)),6) AS served_accuracy, round(avg(CASE WHEN abstained THEN 0.0 ELSE 1.0 END),6) AS coverage
 FROM o GROUP BY GROUPING SETS ((strategy, regime), (strategy))""")
 def served_accuracy(spark, folder):
     from driftgauge.operators.metrics import outcomes_by_strategy
-    b = C.line_batches(spark, folder)
+    b = C.line_batches(spark, folder, keep_tail=True)
     o = outcomes_by_strategy(b, {"frozen": (F.col("p"), 0.5), "cautious": (F.col("p"), 0.35)}, ["step", "regime"])
     s = E.served_accuracy(o.withColumn("abstained", F.col("step") % 9 == 4))
     return s.select("strategy", "regime", "n", r6("accuracy"), r6("served_accuracy"), r6("coverage"))

@@ -139,9 +139,9 @@ def delayed_rewards(spark, folder):
 # ---- quality of scored rows ------------------------------------------------------------------
 
 def outcomes(spark, folder, name="lineitem"):
-    """Rows of every stream under three scoring strategies."""
+    """All rows of every stream, those of a partial last batch too, under three scoring strategies."""
     # The position inside the stream is a unique row id.
-    b = (C.line_batches if name == "lineitem" else C.event_batches)(spark, folder).withColumn("rid", F.col("idx"))
+    b = (C.line_batches if name == "lineitem" else C.event_batches)(spark, folder, keep_tail=True).withColumn("rid", F.col("idx"))
     p = F.col("p")
     variants = {"frozen": (p, 0.5), "cautious": (p, 0.35),
                 "calibrated": (F.round(S.calibrated(p, F.lit(1.25), F.lit(-0.2)), 9), 0.5)}
@@ -172,7 +172,7 @@ def rank_sql(keys: str, source: str = "outcomes") -> str:
   JOIN (SELECT {keys}, sum(y) AS np, sum(1-y) AS nn FROM {source} GROUP BY {keys}) t ON {on} GROUP BY {', '.join('g.' + k.strip() for k in keys.split(','))}"""
 
 
-@query("classification_metrics", C.line_sql(OUTCOMES_SQL, f"m AS ({class_sql('stream_id, strategy')})", upto="batched") + """
+@query("classification_metrics", C.line_sql(OUTCOMES_SQL, f"m AS ({class_sql('stream_id, strategy')})", upto="batched", tail=True) + """
 SELECT stream_id, strategy, n, tp, fp, fn, tn, round((tp+fn)/n,6) AS positive_rate, round((tp+tn)/n,6) AS accuracy,
 round(balanced_accuracy,6) AS balanced_accuracy, round(precision,6) AS precision, round(recall,6) AS recall,
 round(CASE WHEN precision+recall>0 THEN 2*precision*recall/(precision+recall) ELSE 0.0 END,6) AS f1,
@@ -185,7 +185,7 @@ def classification_metrics(spark, folder):
     return m.select(*KEY, *counts, *[r6(c) for c in m.columns if c not in {*KEY, *counts}])
 
 
-@query("ranking_metrics", C.line_sql(OUTCOMES_SQL, f"m AS ({rank_sql('stream_id, strategy')})", upto="batched") + """
+@query("ranking_metrics", C.line_sql(OUTCOMES_SQL, f"m AS ({rank_sql('stream_id, strategy')})", upto="batched", tail=True) + """
 SELECT stream_id, strategy, CAST(n_pos AS BIGINT) AS n_pos, CAST(n_neg AS BIGINT) AS n_neg, round(roc_auc,6) AS roc_auc, round(pr_auc,6) AS pr_auc FROM m""")
 def ranking_metrics(spark, folder):
     rows = C.stream_rows(spark, folder, "lineitem")
@@ -204,7 +204,7 @@ best AS (SELECT w.stream_id, w.strategy, max(tp) AS tp FROM wk w LEFT JOIN stp O
 tot AS (SELECT stream_id, strategy, sum(y) AS np, sum(1-y) AS nn FROM outcomes GROUP BY 1,2)"""
 
 
-@query("recall_at_precision", C.line_sql(OUTCOMES_SQL, RECALL_SQL.replace("{t}", "0.36"), upto="batched") + """
+@query("recall_at_precision", C.line_sql(OUTCOMES_SQL, RECALL_SQL.replace("{t}", "0.36"), upto="batched", tail=True) + """
 SELECT t.stream_id, t.strategy, CASE WHEN np>0 AND nn>0 THEN round(coalesce(tp/np,0.0),6) END AS recall_at_precision FROM tot t
 LEFT JOIN best b ON t.stream_id=b.stream_id AND t.strategy=b.strategy""")
 def recall_at_precision(spark, folder):
@@ -223,7 +223,7 @@ hd AS (SELECT c.stream_id, c.strategy, max(recall) FILTER (WHERE c.half='first')
  FROM hc c JOIN hr r ON c.stream_id=r.stream_id AND c.strategy=r.strategy AND c.half=r.half GROUP BY 1,2)"""
 
 
-@query("half_deltas", C.line_sql(OUTCOMES_SQL, HALF_SQL, upto="batched") + """SELECT stream_id, strategy,
+@query("half_deltas", C.line_sql(OUTCOMES_SQL, HALF_SQL, upto="batched", tail=True) + """SELECT stream_id, strategy,
 round(first_recall,6) AS first_recall, round(second_recall,6) AS second_recall, round(recall_delta,6) AS recall_delta,
 round(balanced_accuracy_delta,6) AS balanced_accuracy_delta, round(pr_auc_delta,6) AS pr_auc_delta FROM hd""")
 def half_deltas(spark, folder):
@@ -253,21 +253,21 @@ hr2 AS (SELECT stream_id, concat_ws('; ', CASE WHEN positive_rate<0.001 THEN 'ex
  CASE WHEN second_recall>=first_recall-0.01 THEN 'no_late_degradation' END) AS reasons FROM qs WHERE strategy='frozen')"""
 
 
-@query("metric_spreads", C.line_sql(OUTCOMES_SQL, HALF_SQL, _SUMMARY_SQL, SPREAD_SQL, upto="batched") +
+@query("metric_spreads", C.line_sql(OUTCOMES_SQL, HALF_SQL, _SUMMARY_SQL, SPREAD_SQL, upto="batched", tail=True) +
        "SELECT stream_id, metric, round(spread,6) AS spread, coalesce(spread>=0.005,false) AS rankable FROM sp")
 def metric_spreads(spark, folder):
     s = M.metric_spreads(quality_summary(spark, folder), ["stream_id"], SPREAD_METRICS)
     return s.select("stream_id", "metric", r6("spread"), "rankable")
 
 
-@query("headroom", C.line_sql(OUTCOMES_SQL, HALF_SQL, _SUMMARY_SQL, SPREAD_SQL, upto="batched") +
+@query("headroom", C.line_sql(OUTCOMES_SQL, HALF_SQL, _SUMMARY_SQL, SPREAD_SQL, upto="batched", tail=True) +
        "SELECT stream_id, reasons, reasons='' AS has_headroom FROM hr2")
 def headroom(spark, folder):
     s = quality_summary(spark, folder).where(F.col("strategy") == "frozen")
     return M.headroom(s).select("stream_id", "reasons", "has_headroom")
 
 
-@query("rankable_sources", C.line_sql(OUTCOMES_SQL, HALF_SQL, _SUMMARY_SQL, SPREAD_SQL, upto="batched") + """SELECT count(*) AS n_sources,
+@query("rankable_sources", C.line_sql(OUTCOMES_SQL, HALF_SQL, _SUMMARY_SQL, SPREAD_SQL, upto="batched", tail=True) + """SELECT count(*) AS n_sources,
 count(*) FILTER (WHERE k>=2) AS with_rankable_metrics, count(*) FILTER (WHERE reasons='' AND k>=2) AS rankable FROM (SELECT stream_id, count(*) FILTER
  (WHERE spread>=0.005) AS k FROM sp GROUP BY 1) a JOIN hr2 USING (stream_id)""")
 def rankable_sources(spark, folder):

@@ -131,10 +131,10 @@ def registry_pull(spark, folder):
 
 
 @query("support_scores", C.line_sql("""mm AS (SELECT regime AS mr, avg(l_quantity) AS mq, avg(l_discount) AS md FROM batched GROUP BY 1),
-sc AS (SELECT b.*, p+0.15*sqrt((l_quantity-mq)*(l_quantity-mq)+(l_discount-md)*(l_discount-md)) AS s FROM batched b JOIN mm ON mr=regime)""", upto="batched") + """
+sc AS (SELECT b.*, p+0.15*sqrt((l_quantity-mq)*(l_quantity-mq)+(l_discount-md)*(l_discount-md)) AS s FROM batched b JOIN mm ON mr=regime)""", upto="batched", tail=True) + """
 SELECT regime, stream_id, idx, round(s,6) AS support_score FROM sc QUALIFY row_number() OVER (PARTITION BY regime ORDER BY round(s,9) DESC, stream_id, idx)<=96""")
 def support_scores(spark, folder):
-    b = C.line_batches(spark, folder)
+    b = C.line_batches(spark, folder, keep_tail=True)
     s = G.support_scores(b, "regime", ["l_quantity", "l_discount"], F.col("p"))
     best = G.top_k(s, ["regime"], [F.round("support_score", 9).desc(), F.col("stream_id"), F.col("idx")], 96)
     return best.select("regime", "stream_id", "idx", r6("support_score"))
@@ -142,7 +142,7 @@ def support_scores(spark, folder):
 
 @query("diverse_support")
 def diverse_support(spark, folder):
-    b = C.line_batches(spark, folder).withColumn("id", F.concat_ws("-", "stream_id", F.col("idx").cast("string")))
+    b = C.line_batches(spark, folder, keep_tail=True).withColumn("id", F.concat_ws("-", "stream_id", F.col("idx").cast("string")))
     return G.diverse_support(b, "regime", ["l_quantity", "l_discount"], "y", F.col("p"), "id",
                              rows=2 * C.stream_rows(spark, folder, "lineitem")).select("regime", "rank", "id", "picked")
 
@@ -320,16 +320,19 @@ _STOPSQL = "(" + ",".join(f"'{w}'" for w in STOP) + ")"
 _TF = f"""w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: length(x)>=2 AND x NOT IN {_STOPSQL}) AS ws FROM documents),
 tk AS (SELECT doc_id, unnest(ws) AS term FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i]||' '||ws[i+1])) FROM w),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tk GROUP BY 1,2),
-vo AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*)>=2 ORDER BY total DESC, term LIMIT 300),
+vo AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1 HAVING count(*)>=2 ORDER BY total DESC, term LIMIT 4000),
 vi AS (SELECT *, ln((1.0+(SELECT count(*) FROM documents))/(1.0+df))+1.0 AS idf FROM vo),
 wt AS (SELECT doc_id, term, tf*idf AS x, sqrt(sum(tf*idf*tf*idf) OVER (PARTITION BY doc_id)) AS z FROM tf JOIN vi USING (term))"""
 
 
-def text_weights(spark, folder, most=300):
+VOCABULARY = 4000
+
+
+def text_weights(spark, folder):
     d = table(spark, folder, "documents").select("doc_id", "text")
-    counts = settled(X.terms(d, "doc_id", "text", STOP))
-    vocab = settled(X.vocabulary(counts, d.count(), 2, most))
-    return X.weighted_terms(counts, vocab, "doc_id"), vocab
+    found = X.terms(d, "doc_id", "text", STOP)
+    vocab = settled(X.vocabulary(found, d.count(), 2, VOCABULARY))
+    return X.weighted_terms(found, vocab, "doc_id"), vocab
 
 
 @query("term_vocabulary", f"WITH {_TF} SELECT term, df, CAST(total AS BIGINT) AS total, round(idf,6) AS idf FROM vi")
@@ -345,13 +348,13 @@ def term_weights(spark, folder):
 @query("text_dimensions")
 def text_dimensions(spark, folder):
     w, _ = text_weights(spark, folder)
-    return X.reduced(settled(w), "doc_id", 300, 8).select("doc_id", *[F.round(f"d{i}", 6).alias(f"d{i}") for i in range(8)])
+    return X.reduced(settled(w), "doc_id", VOCABULARY, 8).select("doc_id", *[F.round(f"d{i}", 6).alias(f"d{i}") for i in range(8)])
 
 
 @query("logistic_scores")
 def logistic_scores(spark, folder):
     """A balanced logistic baseline fitted on the first half of each stream and applied to the rest."""
-    b = C.line_batches(spark, folder)
+    b = C.line_batches(spark, folder, keep_tail=True)
     early = b.where(F.col("step") < F.floor(F.col("n_steps") / 2)).select(*C.LINE_FEATURES, "y")
     late = b.where(F.col("step") >= F.floor(F.col("n_steps") / 2)).drop("p")
     model = M.logistic_baseline(early, C.LINE_FEATURES)

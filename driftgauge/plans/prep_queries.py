@@ -410,12 +410,12 @@ _RANKW = [0.05, -0.04, 0.03, -0.02, 0.06, -0.10, 0.01, 0.02, 0.03, -0.01, -0.02,
     "d AS (SELECT *, least(greatest((" + "+".join(f"{w}*z{i}" for i, w in enumerate(_RANKW[:4]))
     + f"+{_RANKW[4]}*lg+{_RANKW[5]}*greatest(p,1-p)+[" + ",".join(map(str, _RANKW[6:]))
     + "][segment+1]+0.01)*least(greatest(0.55+0.25*0.5+0.20*0.9,0.40),1.10),-0.5),0.5) AS row_delta FROM g)",
-    upto="ref") + """SELECT stream_id, segment, count(*) AS n, round(sum(row_delta),4) AS delta,
+    upto="ref", tail=True) + """SELECT stream_id, segment, count(*) AS n, round(sum(row_delta),4) AS delta,
 round(sum(1/(1+exp(-(lg+0.1+row_delta)))),4) AS corrected, round(sum(1/(1+exp(-((lg-0.2)/1.25)))),4) AS calibrated
 FROM d GROUP BY 1,2""")
 def segments_and_corrections(spark, folder):
     """Risk segment, rank vector, row delta, corrected and calibrated score of every row."""
-    b = C.line_batches(spark, folder)
+    b = C.line_batches(spark, folder, keep_tail=True)
     ref = B.reference_profile(B.reference_window(B.batch_stats(b, C.LINE_FEATURES)), 4)
     j = b.join(ref.select("stream_id", "ref_mean", "ref_var"), "stream_id")
     p, lit = F.col("p"), F.lit
