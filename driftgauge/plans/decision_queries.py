@@ -113,7 +113,19 @@ def adaptive_window(spark, folder):
     return W.adaptive_window(s, "error")
 
 
-@query("rolling_stability")
+_PSI = "+".join(f"(greatest(c{i}/240.0,1e-4)-r{i})*ln(greatest(c{i}/240.0,1e-4)/r{i})" for i in range(10))
+_HIST = ", ".join(f"count(*) FILTER (WHERE least(floor(p*10),9)={i}) AS b{i}" for i in range(10))
+
+
+@query("rolling_stability", C.event_sql(
+    f"h AS (SELECT stream_id, step, {_HIST} FROM batched GROUP BY 1,2)",
+    f"ro AS (SELECT stream_id AS rs, {', '.join(f'greatest(sum(b{i})/240.0,1e-4) AS r{i}' for i in range(10))} FROM h WHERE step<5 GROUP BY 1)",
+    f"hw AS (SELECT stream_id, step, {', '.join(f'sum(b{i}) OVER w AS c{i}' for i in range(10))} FROM h WINDOW w AS (PARTITION BY stream_id ORDER BY step ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))",
+    f"pv AS (SELECT stream_id, step, {_PSI} AS v FROM hw JOIN ro ON rs=stream_id)",
+    """rp(stream_id, step, since, psi, drift) AS (SELECT stream_id, step, 0, NULL::DOUBLE, false FROM pv WHERE step=0
+ UNION ALL SELECT stream_id, step, CASE WHEN n>=5 AND v>=0.2 THEN 0 ELSE n END, CASE WHEN n>=5 THEN v END, n>=5 AND v>=0.2
+ FROM (SELECT p.stream_id, p.step, p.v, CASE WHEN p.step<5 THEN 0 ELSE r.since+1 END AS n FROM rp r JOIN pv p ON p.stream_id=r.stream_id AND p.step=r.step+1))""",
+    upto="batched") + "SELECT stream_id, step, round(psi,6) AS psi, drift FROM rp")
 def rolling_stability(spark, folder):
     h = W.score_histograms(C.event_batches(spark, folder))
     return W.rolling_psi(h).withColumn("psi", F.round("psi", 6))
@@ -343,9 +355,12 @@ dec AS (SELECT i.stream_id, i.strategy, i.step, n_steps, score AS shift_score, f
   FROM run u JOIN inp i ON i.stream_id=u.stream_id AND i.strategy=u.strategy AND i.step=u.step)"""
 
 
-def decision_sql(*extra: str) -> str:
-    """WITH clause up to the table `dec` of decisions over events."""
-    return C.event_sql(TREND_SQL, VISIBLE_SQL, RECENT_SQL, DECISION_INPUT_SQL, DECISION_SQL, *extra)
+def decision_sql(*extra: str, mode: str = "bounded_auto") -> str:
+    """WITH clause up to the table `dec` of decisions over events; the other modes take no action."""
+    run = DECISION_SQL
+    if mode != "bounded_auto":
+        run = run.replace("CASE WHEN list_contains(allowed, ask9) THEN ask9 ELSE 'none' END AS act0", "'none' AS act0").replace("'bounded_auto'", f"'{mode}'")
+    return C.event_sql(TREND_SQL, VISIBLE_SQL, RECENT_SQL, DECISION_INPUT_SQL, run, *extra)
 
 
 def decision_table(spark, folder, rules=D.Rules(), strategies=D.STRATEGIES):

@@ -242,7 +242,14 @@ def acceptance_checks(spark, folder):
                                     F.concat_ws(";", "failed").alias("failed"))
 
 
-@query("dual_mode")
+def _mode_kpis_sql(mode: str) -> str:
+    return decision_sql(SURFACE_SQL, mode=mode) + f"""SELECT stream_id, strategy, round(avg(utility-0.08*CAST(retrain_recommended AS INTEGER)),6) AS score,
+round({_mean('risk_alert')},6) AS alert_rate, round({_mean('explicit_action')},6) AS intervention_rate FROM surf WHERE strategy IN ('frozen','multi_action') GROUP BY 1,2"""
+
+
+@query("dual_mode", f"""SELECT stream_id, strategy, a.score AS shadow_score, a.alert_rate AS shadow_alert_rate, a.intervention_rate AS shadow_intervention_rate,
+b.score AS bounded_auto_score, b.alert_rate AS bounded_auto_alert_rate, b.intervention_rate AS bounded_auto_intervention_rate
+FROM ({_mode_kpis_sql('shadow')}) a JOIN ({_mode_kpis_sql('bounded_auto')}) b USING (stream_id, strategy)""")
 def dual_mode(spark, folder):
     """Shadow and bounded runs of one controller side by side."""
     parts = []
@@ -445,7 +452,8 @@ def intervention_counter(spark, folder):
     return E.intervention_counter(decision_table(spark, folder))
 
 
-@query("report_artifacts")
+@query("report_artifacts", decision_sql() + """SELECT 'summary' AS part, count(DISTINCT (stream_id, strategy)) AS n FROM dec
+UNION ALL SELECT 'versus', count(DISTINCT (stream_id, strategy)) FROM dec WHERE strategy<>'frozen'""")
 def report_artifacts(spark, folder):
     """Report parts written as JSON and counted after reading them back."""
     versus, summary, _ = versus_table(spark, folder)
@@ -456,7 +464,8 @@ def report_artifacts(spark, folder):
     return counts[0].unionByName(counts[1])
 
 
-@query("approvals")
+@query("approvals", decision_sql(mode="recommend") + f"""SELECT stream_id, step, CASE WHEN recommended_action NOT IN {QUIET} THEN 'accepted' ELSE 'rejected' END AS outcome
+FROM dec WHERE strategy='multi_action' AND step%2=0""")
 def approvals(spark, folder):
     """Approvals of recommend-mode decisions; those without a pending recommendation are rejected."""
     d = decision_table(spark, folder, D.Rules(mode="recommend"), ["multi_action"])

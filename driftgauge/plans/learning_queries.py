@@ -264,11 +264,16 @@ def calibrated_rows(spark, folder):
     return j.groupBy("stream_id", "step").agg(r6(F.avg(q), "mean_q"))
 
 
-@query("running_statistics")
+@query("running_statistics", C.event_sql("""rn(stream_id, step, m, d, s) AS (
+ SELECT stream_id, -1::BIGINT, rm_f0, greatest(sqrt(rv_f0),1e-3), 0.0::DOUBLE FROM signals WHERE step=0
+ UNION ALL SELECT g.stream_id, g.step, CASE WHEN feature_score>0.3 THEN 0.7*m+0.3*m_f0 ELSE m END,
+  CASE WHEN feature_score>0.3 THEN greatest(0.7*d+0.3*greatest(sqrt(v_f0),1e-3),1e-3) ELSE d END,
+  CASE WHEN feature_score>0.3 THEN least(0.85,s+0.18) ELSE s END FROM rn r JOIN signals g ON g.stream_id=r.stream_id AND g.step=r.step+1)""") +
+       "SELECT stream_id, step, round(round(m,9),6) AS mean_f0, round(round(d,9),6) AS std_f0, round(s,6) AS strength FROM rn WHERE step>=0")
 def running_statistics(spark, folder):
     r = M.running_statistics(_flagged(spark, folder), 2, rows=C.step_bound(spark, folder, "events"))
     at = F.element_at
-    return r.select("stream_id", "step", r6(at("run_mean", 1), "mean_f0"), r6(at("run_std", 1), "std_f0"), r6("strength"))
+    return r.select("stream_id", "step", r6(F.round(at("run_mean", 1), 9), "mean_f0"), r6(F.round(at("run_std", 1), 9), "std_f0"), r6("strength"))
 
 
 @query("pseudo_label_step", C.event_sql("""g AS (SELECT stream_id, step, avg((p-CAST(p>=0.5 AS INTEGER))*f0) FILTER (WHERE greatest(p,1-p)>=0.7) AS gw,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from driftgauge.plans import canon as C
-from driftgauge.plans.decision_queries import decision_table
+from driftgauge.plans.decision_queries import decision_sql, decision_table
 from driftgauge.plans.registry import query, r6
 from driftgauge.plans.source_queries import batch_messages, event_messages
 from driftgauge.sources import payloads, sinks
@@ -125,7 +125,8 @@ def stream_batches(spark, folder):
     return spark.read.parquet(out).select("batch_id", "n", r6("mean_f0"), r6("mean_p"))
 
 
-@query("stream_fan_out")
+@query("stream_fan_out", decision_sql() + """SELECT strategy, count(*) AS audit_rows, count(*) AS json_rows, 1 AS failed_targets
+FROM dec WHERE strategy='multi_action' GROUP BY 1""")
 def stream_fan_out(spark, folder):
     """Decisions streamed to the audit log and a JSON target; a broken third target is recorded, not swallowed."""
     d = decision_table(spark, folder, strategies=["multi_action"]).withColumnRenamed("capital", "risk_capital")
