@@ -382,3 +382,31 @@ def governed_decisions(spark, folder):
                     "effective_mode", r6("capital"), "risk_alert", "retrain_recommended", "budget_limited",
                     "budget_reason", r6("temperature"), r6("bias"), "abstained", "trust_state", r6("reliability"),
                     "safety_ok")
+
+
+# The same run with a controller profile per stream and the gain of the competing averages.
+_PROFILE_INPUT_SQL = f"""inp AS (SELECT u.stream_id, u.step, g.strategy, n_steps, score, feature_score, output_score, collapse_risk, alert, severe, mean_p, mean_conf,
+  ref_mean_p, ref_mean_conf, e_value, conf68, conf80, conf90, drift_score, loss_slope>=0.08 AS loss_block, batch_accuracy, recent_accuracy, {_HALFW} AS half_width,
+  uncertainty, signature, profile, saturated, opportunity, CASE WHEN (profile='sensor_safe' AND (saturated OR opportunity<0.35)) OR (profile='sensor' AND (saturated OR opportunity<0.20)) OR {_BENIGN}
+  THEN ['none','hold'] ELSE {_allowed_sql('profile', 'signature')} END AS allowed
+  FROM ru u LEFT JOIN recent r ON r.stream_id=u.stream_id AND r.step=u.step CROSS JOIN (SELECT unnest({list(D.STRATEGIES)!r}) AS strategy) g)"""
+_PROFILE_RUN_SQL = DECISION_SQL.replace("""       CASE WHEN uncertainty='tighten_abstention' THEN
+          CASE WHEN ask0 IN ('adapt','reset','covariate_refresh') OR (ask0='bn_refresh' AND score<1.75) THEN 'hold'
+               WHEN ask0 IN ('none','hold') AND score<1.75 AND collapse_risk>=0.45 THEN 'abstain' ELSE ask0 END
+        WHEN uncertainty='relax_abstention' AND ask0 IN ('none','hold')""", """       CASE WHEN profile='sensor' AND signature='covariate_drift' AND NOT saturated AND opportunity>=0.35 AND ask0 IN ('bn_refresh','adapt') THEN 'covariate_refresh'
+        WHEN profile IN ('sensor','sensor_safe') AND signature IN ('covariate_drift','mixed_drift') AND ask0 IN ('adapt','bn_refresh') THEN 'latent_recenter' ELSE ask0 END AS askp,
+       CASE WHEN uncertainty='tighten_abstention' THEN
+          CASE WHEN askp IN ('adapt','reset','covariate_refresh') OR (askp='bn_refresh' AND score<1.75) THEN 'hold'
+               WHEN askp IN ('none','hold') AND score<1.75 AND collapse_risk>=0.45 THEN 'abstain' ELSE askp END
+        WHEN uncertainty='relax_abstention' AND askp IN ('none','hold')""").replace("THEN 'recalibrate' ELSE ask0 END AS ask1", "THEN 'recalibrate' ELSE askp END AS ask1")
+
+
+@query("governed_profiles", C.event_sql(TREND_SQL, TIMESCALE_SQL, RULES_SQL, VISIBLE_SQL, RECENT_SQL, _PROFILE_INPUT_SQL, _PROFILE_RUN_SQL) + """SELECT stream_id, strategy, step,
+signature, recommended_action, action_taken, round(capital,6) AS capital, risk_alert, retrain_recommended, budget_limited, round(temperature,6) AS temperature FROM dec""")
+def governed_profiles(spark, folder):
+    """The governed run with the profile of each stream and the timescale gain, so that profile and maintenance overrides take part."""
+    t = trended(spark, folder)
+    inputs = D.decision_inputs(t.join(W.timescales(t).select("stream_id", "step", "gain"), ["stream_id", "step"]), _profile(), D.Rules())
+    d = D.decide(inputs, D.STRATEGIES, D.Rules(), ["n_steps", "batch_accuracy"])
+    return d.select("stream_id", "strategy", "step", "signature", "recommended_action", "action_taken", r6("capital"), "risk_alert",
+                    "retrain_recommended", "budget_limited", r6("temperature"))
