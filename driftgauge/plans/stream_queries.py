@@ -106,7 +106,8 @@ def stream_messages(spark, folder):
     scored, labelled = live.routed(m, "labels")
     p = payloads.parse_events(scored.select("value"))
     one = p.select(F.when(p["error"].isNull(), "accepted").otherwise("refused").alias("kind"))
-    two = payloads.parse_labels(labelled.select("value")).select(F.lit("labels").alias("kind"))
+    q = payloads.parse_labels(labelled.select("value"))
+    two = q.select(F.when(q["error"].isNull(), "labels").otherwise("refused").alias("kind"))
     return finished(spark, one.unionByName(two), "routed").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -115,13 +116,15 @@ def stream_batches(spark, folder):
     """Batches made by the producer: one message each, aggregated by batch id."""
     path = sinks.scratch(spark, "batch-messages")
     batch_messages(spark, folder).select("value").write.text(path)
-    m = payloads.parse_batches(live.folder_messages(spark, path, "events").select("value"))
+    m = payloads.parse_batches(live.folder_messages(spark, path, "events").select("value")).where(F.col("error").isNull())
     rows = m.select("batch_id", F.col("features")[0].alias("f0"), F.col("label").alias("y"),
                     (1 - F.exp(-F.col("features")[0] / 50)).alias("p"))
-    agg = live.batch_aggregates(rows, ["batch_id"], ["f0"])
     out = sinks.scratch(spark, "batch-rows")
-    # Complete batches come in one message, so the whole table is the answer of each micro-batch.
-    live.run_batches(agg, lambda df, epoch: df.write.mode("overwrite").parquet(out), sinks.scratch(spark, "batch-checkpoint"), "complete")
+
+    def add(df, epoch):  # a batch is one message, so no state outlives its micro-batch; a repeated epoch replaces itself
+        live.batch_aggregates(df, ["batch_id"], ["f0"]).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    live.run_batches(rows, add, sinks.scratch(spark, "batch-checkpoint"))
     return spark.read.parquet(out).select("batch_id", "n", r6("mean_f0"), r6("mean_p"))
 
 

@@ -47,23 +47,26 @@ def parse_events(df: DataFrame, value: str = "value") -> DataFrame:
 
 
 def parse_batches(df: DataFrame, value: str = "value") -> DataFrame:
-    """Batch messages to one row per sample."""
+    """Batch messages to one row per sample; a malformed message is one row without a sample that carries its `error`."""
     o = _opened(df, value)
     key = F.coalesce("_m.batch_id", "_m.event_id")
-    ok = o.where(key.isNotNull() & F.col("_nested") & F.col("_matrix").isNotNull()
-                 & (F.col("_labels").isNull() | (F.size("_labels") == F.size("_matrix"))))
+    error = (F.when(F.col("_m").isNull() | (key.isNull() & F.col("_m.features").isNull()), "bad_message").when(key.isNull(), "missing_id")
+             .when(~F.coalesce("_nested", F.lit(False)) | F.col("_matrix").isNull(), "features_not_a_matrix")
+             .when(F.col("_labels").isNotNull() & (F.size("_labels") != F.size("_matrix")), "labels_length"))
     keep = [c for c in df.columns if c != value]
-    out = ok.select(*keep, key.alias("batch_id"), _regime().alias("regime_id"), "_labels",
-                    F.posexplode("_matrix").alias("row", "features"))
-    return out.select(*keep, "batch_id", "regime_id", "row", "features", F.get("_labels", F.col("row")).alias("label"))
+    out = o.select(*keep, key.alias("batch_id"), _regime().alias("regime_id"), "_labels", error.alias("error"), "_matrix").select(
+        *keep, "batch_id", "regime_id", "_labels", "error", F.posexplode_outer(F.when(F.col("error").isNull(), F.col("_matrix"))).alias("row", "features"))
+    label = F.when(F.col("error").isNull(), F.get("_labels", F.col("row")))
+    return out.select(*keep, "batch_id", "regime_id", "row", "features", label.alias("label"), "error")
 
 
 def parse_labels(df: DataFrame, value: str = "value") -> DataFrame:
-    """Label messages that name a batch and carry labels."""
+    """Label messages, with an `error` where no batch is named or no labels are carried."""
     o = _opened(df, value)
     key = F.coalesce("_m.batch_id", "_m.event_id")
-    return o.where(key.isNotNull() & F.col("_labels").isNotNull()).select(
-        *[c for c in df.columns if c != value], key.alias("batch_id"), F.col("_labels").alias("labels"))
+    error = (F.when(F.col("_m").isNull() | (key.isNull() & F.col("_labels").isNull()), "bad_message").when(key.isNull(), "missing_id")
+             .when(F.col("_labels").isNull(), "labels_not_array"))
+    return o.select(*[c for c in df.columns if c != value], key.alias("batch_id"), F.col("_labels").alias("labels"), error.alias("error"))
 
 
 def validated(df: DataFrame, value: str = "value", max_rows: int = 4096, max_width: int = 512) -> DataFrame:

@@ -90,3 +90,19 @@ def test_visible_at_is_the_queue(spark, delay, jitter):
 def test_infinite_and_missing_values(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (math.inf,), (math.nan,), (None,)], "x double")
     assert sorted(r["x"] for r in P.filled(df, ["x"], P.medians(df, ["x"])).collect()) == [1.0, 2.0, 2.0, 2.0, 3.0]
+
+
+def test_malformed_batch_messages_come_out_with_an_error(spark):
+    from driftgauge.sources import payloads
+
+    texts = ['{"batch_id":"a","features":[[1,2],[3,4]],"labels":[0,1]}', "not json", '{"features":[[1]]}', '{"batch_id":"b","features":[1,2]}',
+             '{"batch_id":"c","features":[[1],[2]],"labels":[1]}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n long, value string")
+    got = {}
+    for r in payloads.parse_batches(df).collect():
+        got.setdefault(r["n"], []).append((r["row"], r["label"], r["error"]))
+    assert sorted(got[0]) == [(0, 0, None), (1, 1, None)]
+    assert {n: [x[2] for x in v] for n, v in got.items() if n} == {
+        1: ["bad_message"], 2: ["missing_id"], 3: ["features_not_a_matrix"], 4: ["labels_length"]}
+    labels = {r["n"]: r["error"] for r in payloads.parse_labels(df).collect()}
+    assert labels == {0: None, 1: "bad_message", 2: "bad_message", 3: "labels_not_array", 4: None}
