@@ -20,7 +20,7 @@ STEP_BYTES = 4_000_000
 def written(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared checkpoint folder: cuts lineage, survives lost executors."""
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
