@@ -265,7 +265,8 @@ def _masks(runs: DataFrame, width: int, core_runs: int, narrower: tuple[int, ...
         found = settled(runs.groupBy("core").agg(F.count("*").alias("runs")).filter(F.col("runs") > core_runs).select("core"))
         crowded = None if found.isEmpty() else found
     plain = runs if crowded is None else runs.join(crowded, "core", "left_anti")
-    done = plain.select("core", "run", "left", "right", "n").repartition("core").sortWithinPartitions("core") \
+    # Dealt by an expression of its own: a plain repartition by core is dropped after a join by core, and a skewed join splits a core.
+    done = plain.select("core", "run", "left", "right", "n").repartition(F.xxhash64("core")).sortWithinPartitions("core") \
         .mapInArrow(_sorted_runs(width), "run binary, mask long")
     if crowded is None:
         return done
