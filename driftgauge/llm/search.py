@@ -34,8 +34,11 @@ K1, B = 1.2, 0.75
 SHARD = 32_768
 BLOCK = 128
 QUERIES = 4096
-#: Blocks that are scored before the threshold is looked at again.
+#: Blocks that are scored before the threshold is looked at; blocks at most so far apart are one stretch.
 STRIDE = 16
+GAP = 48
+#: A term in at least one of so many documents of a shard is frequent.
+DENSE = 12
 #: A term is a run of ASCII letters and digits and of other characters beyond ASCII, in lower case.
 TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 
@@ -69,59 +72,96 @@ def with_terms(rows: DataFrame) -> DataFrame:
 class Shard:
     def __init__(self, rows: pa.Table, mean: float):
         """rows: in key order, as it decides ties."""
-        self.id = rows.column("row").to_numpy()
+        n = rows.num_rows
         dl = rows.column("dl").to_numpy().astype(np.float64)
         size = pc.list_value_length(rows.column("terms")).to_numpy()
-        doc = np.repeat(np.arange(len(self.id)), size)
         term, tf = (pc.list_flatten(rows.column(c)).to_numpy() for c in ("terms", "tf"))
-        by = np.lexsort((doc, term))
-        term, tf, self.doc = term[by], tf[by].astype(np.float64), doc[by]
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[self.doc] / mean))
+        doc = np.repeat(np.arange(n), size)
+        names, at = np.unique(term, return_inverse=True)
+        df = np.bincount(at, minlength=len(names))
+        # Documents that share their most frequent term lie side by side, so that blocks of another kind have low bounds.
+        kind = np.full(n, -1)
+        np.maximum.at(kind, doc, df[at])
+        first = np.full(n, len(names))
+        common = df[at] == kind[doc]
+        np.minimum.at(first, doc[common], at[common])
+        self.rank = np.lexsort((np.arange(n), first, -kind))  # place -> key order
+        place = np.empty(n, np.int64)
+        place[self.rank] = np.arange(n)
+        self.id = rows.column("row").to_numpy()[self.rank]
+        by = np.lexsort((place[doc], at))
+        at, tf, self.doc = at[by], tf[by].astype(np.float64), place[doc][by]
+        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[self.rank][self.doc] / mean))
+        self.names, self.blocks = names, -(-n // BLOCK)
+        self.start = np.append(0, np.cumsum(df))
+        # Impacts of frequent terms stand in a row for all documents, of the others in lists.
+        self.dense = np.full(len(names), -1)
+        frequent = np.flatnonzero(df * DENSE >= n)
+        self.dense[frequent] = np.arange(len(frequent))
+        self.row = np.zeros((len(frequent), self.blocks * BLOCK))
+        inside = self.dense[at] >= 0
+        self.row[self.dense[at[inside]], self.doc[inside]] = self.impact[inside]
+        self.row_most = self.row.reshape(len(frequent), self.blocks, BLOCK).max(2) if len(frequent) else np.zeros((0, self.blocks))
         block = self.doc // BLOCK
-        cut = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.empty(0, np.int64)
-        self.start, self.end = cut, np.append(cut[1:], len(term)) if len(cut) else cut
+        cut = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (block[1:] != block[:-1]))) if len(at) else np.empty(0, np.int64)
         self.block, self.most = block[cut], np.maximum.reduceat(self.impact, cut) if len(cut) else np.empty(0)
-        self.terms, first = np.unique(term[cut], return_index=True)
-        self.first = np.append(first, len(cut))
-        self.blocks = -(-len(self.id) // BLOCK)
+        self.first = np.append(np.searchsorted(at[cut], np.arange(len(names))), len(cut))
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the k best documents."""
-        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
-        known = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        at = np.minimum(np.searchsorted(self.names, terms), max(0, len(self.names) - 1))
+        known = self.names[at] == terms if len(self.names) else np.zeros(len(terms), bool)
         at, weights = at[known], weights[known]
-        lo, hi = self.first[at], self.first[at + 1]
-        size = hi - lo
-        entries = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
-        weight = np.repeat(weights, size)
-        bound = np.bincount(self.block[entries], weights=weight * self.most[entries], minlength=self.blocks)
+        row = self.dense[at]
+        rows, row_weights = row[row >= 0], weights[row >= 0]
+        at, weights = at[row < 0], weights[row < 0]
+        entries, weight = _ranges(self.first[at], self.first[at + 1], weights)
+        bound = row_weights @ self.row_most[rows] + np.bincount(self.block[entries], weights=weight * self.most[entries], minlength=self.blocks)
+        postings, weight = _ranges(self.start[at], self.start[at + 1], weights)
+        score = np.bincount(self.doc[postings], weights=weight * self.impact[postings], minlength=self.blocks * BLOCK).astype(np.float64)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        best, score, floor, done = np.empty(0, np.int64), np.empty(0), -np.inf, 0
-        while done < len(order) and bound[order[done]] >= floor - 1e-8:
-            now = order[done:done + STRIDE]
-            now = now[bound[now] >= floor - 1e-8]
-            done += STRIDE
-            mine = np.zeros(self.blocks, bool)
-            mine[now] = True
-            e = np.flatnonzero(mine[self.block[entries]])
-            a, size = self.start[entries[e]], self.end[entries[e]] - self.start[entries[e]]
-            p = np.arange(size.sum()) + np.repeat(a - (np.cumsum(size) - size), size)
-            slot = np.full(self.blocks, -1)
-            slot[now] = np.arange(len(now))
-            cell = slot[self.doc[p] // BLOCK] * BLOCK + self.doc[p] % BLOCK
-            got = np.bincount(cell, weights=np.repeat(weight[e], size) * self.impact[p], minlength=len(now) * BLOCK)
-            hit = np.flatnonzero(got)
-            places, got = now[hit // BLOCK] * BLOCK + hit % BLOCK, np.round(got[hit], 9)
-            if len(got) > 4 * k:
-                keep = got >= max(floor, np.partition(got, len(got) - k)[len(got) - k])
-                places, got = places[keep], got[keep]
-            best, score = np.concatenate([best, places]), np.concatenate([score, got])
-            keep = np.lexsort((best, -score))[:k]
-            best, score = best[keep], score[keep]
-            if len(best) == k:
-                floor = score[-1]
-        return best, score
+        # First the blocks with the highest bounds, then all whose bound reaches the k-th best score so far.
+        best, found = self._scored(np.sort(order[:STRIDE]), score, rows, row_weights, -np.inf, k)
+        floor = found[-1] if len(found) == k else -np.inf
+        rest = order[STRIDE:]
+        more = self._scored(np.sort(rest[bound[rest] >= floor - 1e-8]), score, rows, row_weights, floor, k)
+        fresh = ~np.isin(more[0], best)  # a stretch may hold blocks of the first step
+        return self._best(np.concatenate([best, more[0][fresh]]), np.concatenate([found, more[1][fresh]]), k)
+
+    def _best(self, places: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        keep = np.lexsort((self.rank[places], -values))[:k]
+        return places[keep], values[keep]
+
+    def _scored(self, blocks: np.ndarray, score: np.ndarray, rows: np.ndarray, weights: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of some blocks, in ascending order. Few blocks are gathered; many are scored as stretches, small gaps included."""
+        places, values = [np.empty(0, np.int64)], [np.empty(0)]
+        if len(blocks) <= STRIDE:
+            cells = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            parts = [(cells, score[cells] + weights @ self.row[rows[:, None], cells])]
+        else:
+            parts = []
+            for run in np.split(blocks, np.flatnonzero(np.diff(blocks) > GAP) + 1):
+                a, b = run[0] * BLOCK, (run[-1] + 1) * BLOCK
+                part, room = score[a:b], np.empty(b - a)
+                for r, w in zip(rows.tolist(), weights.tolist()):
+                    np.multiply(self.row[r, a:b], w, out=room)
+                    part += room
+                parts.append((np.arange(a, b), part))
+        for cells, part in parts:
+            high = np.flatnonzero(part > max(0.0, floor - 1e-8))
+            if len(high) > 8 * k:
+                at = part[high]
+                high = high[at >= np.partition(at, len(at) - k)[len(at) - k] - 1e-8]
+            places.append(cells[high])
+            values.append(part[high])
+        return self._best(np.concatenate(places), np.round(np.concatenate(values), 9), k)
+
+
+def _ranges(start: np.ndarray, end: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges, and each one's weight."""
+    size = end - start
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size), np.repeat(weights, size)
 
 
 def _search(k: int, mean: float, keys: list[str]):
