@@ -188,7 +188,8 @@ def ordered_fold(
                 state, out = block(state, part)
                 yield pd.concat([part[[*keys, step, *keep]], out.reset_index(drop=True)], axis=1)[names]
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, step).mapInPandas(run, schema)
+    # Dealt by an expression of its own: a plain repartition is dropped after a join by the same keys, and a skewed join splits a key.
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, step).mapInPandas(run, schema)
 
 
 def clamped_scan(
