@@ -87,6 +87,21 @@ def test_suffix_dedup(spark, core_runs):
     assert [tuple(r)[1:] for r in rows] == removed(texts, 200)
 
 
+def test_suffix_dedup_after_skewed_joins(spark):
+    """Joins that split large partitions must not part the runs of a core."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        texts = corpus()
+        rows = sorted(suffix.dedup(frame(spark, texts), core_runs=4).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+        assert [tuple(r)[1:] for r in rows] == removed(texts, 200)
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+
+
 def test_suffix_dedup_keeps_valid_text(spark):
     text = "é" * 150  # a cut inside a character leaves no broken piece
     rows = suffix.dedup(frame(spark, ["a" + text, "b" + text, "short"]), keep="text").orderBy("doc_id").collect()
