@@ -33,7 +33,8 @@ from driftgauge.session import settled
 BLOCK = 2048
 #: A node with at most so many vectors is not divided further.
 LEAF = 24
-SLACK = 1e-9
+#: Two reaches of nearly equal vectors, each of which rounding of the dot product can make too small by 5e-8.
+SLACK = 2e-7
 
 
 class Node:
@@ -56,6 +57,8 @@ def build(points: np.ndarray) -> Node:
             return Node(int(centre), reach, None, members)
         while radius >= reach and radius > 1e-6:
             radius /= 2
+        if radius >= reach:  # the centre's radius holds every member, so no split would divide them
+            return Node(int(centre), reach, None, members)
         children, left = [], members
         while len(left):
             near = squared[left[0], left] <= radius * radius

@@ -71,6 +71,16 @@ def test_cover_tree_of_nothing(spark):
     assert covertree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+def test_cover_tree_of_scaled_copies(spark):
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=64)
+    scaled = [(one * s).astype(np.float32).tolist() for s in rng.uniform(0.1, 10, 100)]
+    far = [(-one).astype(np.float32).tolist()]
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(scaled + far)], "vec_id long, embedding array<float>, label int")
+    got = sorted(map(tuple, covertree.near_duplicates(df).select("vec_id", "n_links", "component_id").collect()))
+    assert got == [(i, 99, 0) for i in range(100)] + [(100, 0, 100)]
+
+
 def test_cover_tree_levels_are_nested():
     x = np.random.default_rng(2).normal(size=(300, 3))
     x /= np.linalg.norm(x, axis=1)[:, None]
