@@ -1,5 +1,7 @@
 """Metrics and graph measures against brute force, with copies and skew."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +82,17 @@ def test_graph_measures_with_copies(spark, monkeypatch):
     low = np.sort(np.linalg.eigvalsh(np.diag(deg) - adj))[1]
     s = G.spectra(v, pairs).first()
     assert np.isclose(s["spectral_gap"], e[0] - e[1]) and np.isclose(s["fiedler"], low)
+
+
+def test_iterated_spectra(spark):
+    rows = [(0, i, [math.cos(a), math.sin(a)]) for i, a in enumerate((0.0, 0.5, 1.0, 1.0, 1.6))] + [(1, 9, [1.0, 1.0])]
+    v = G.settled(G.vertices(G.unit_vectors(spark.createDataFrame(rows, "step long, id long, v array<double>"), "v", 2)))
+    near = v.alias("a").join(v.alias("b"), F.expr("a.step = b.step AND a.vid < b.vid AND aggregate(zip_with(a.u, b.u, (x, y) -> x * y), 0D, (x, y) -> x + y) > 0.7"))
+    pairs = G.settled(near.select("a.step", F.col("a.vid").alias("a"), F.col("b.vid").alias("b")))
+    with pytest.raises(RuntimeError, match="not converged after 2 rounds"):
+        G.spectra(v, pairs, G.SMALL_GRAPH + 1, rounds=2)
+    got = {(r["step"], r["vid"]): r for r in G.spectra(v, pairs, G.SMALL_GRAPH + 1).collect()}
+    want = {(r["step"], r["vid"]): r for r in G.spectra(v, pairs).collect()}
+    assert got.keys() == want.keys()
+    for k, r in got.items():
+        assert np.allclose(r[2:], want[k][2:], atol=1e-6)
