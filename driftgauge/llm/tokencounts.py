@@ -1,6 +1,7 @@
 """Token counts of documents in flat, unindexed token files, by a scan for the end-of-document id.
 
-A token file is a run of fixed-width little-endian ids; documents are told apart by nothing but the separator after each. Files are read as blocks of bounded size.
+A token file is a run of fixed-width little-endian ids; documents are told apart by nothing but the separator after each. Files are read as byte ranges of bounded size, by
+every executor on its own, from a folder that all of them reach through pyarrow.
 Each block is searched in one vectorised comparison; it yields how many separators it holds, the tokens before the first, between them,
 and after the last. A prefix scan over blocks stitches the rest: separators before a block give the number of its first
 document, and tokens left open before it are added to its first count. The scan is two-level, so that a file of any length is many tasks:
@@ -12,39 +13,60 @@ blocks; an empty file has no documents; files that hold half an id at the end ar
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgauge.llm.common import written
+from driftgauge.session import checkpoint_folder
 
 #: Ids in a block.
 BLOCK = 65_536
+#: Bytes of token files that one task reads, block by block.
+TASK_BYTES = 16_000_000
 #: Blocks in a stretch of the two-level scan.
 STRETCH = 1024
 SCAN = "file string, block long, seps long, size long, tail long, inner array<int>"
 
 
-def blocks_of_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """(file, block, ids) of the binary files of a folder."""
+def _store(uri: str):
+    """The file system of a URI or local path, and the path in it. Executors reach it without Spark."""
+    return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri))
+
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def blocks(files: DataFrame, width: int = 2, block: int = BLOCK) -> DataFrame:
+    """(file, block, ids) of files given as (file, length in bytes). Each task seeks the blocks dealt to it, so one file is many tasks and none is held whole."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = content.as_buffer()
-                if len(data) % width:
-                    raise ValueError(f"{name} holds a part of an id")
-                for k, at in enumerate(range(0, len(data), block * width)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([data[at:at + block * width].to_pybytes()], pa.binary())],
-                                                     ["file", "block", "ids"])
+            for name, k, size in zip(*(c.to_pylist() for c in batch.columns)):
+                store, path = _store(name)
+                with store.open_input_file(path) as f:
+                    data = f.read_at(size, k * block * width)
+                if len(data) != size or size % width:
+                    raise ValueError(f"{name} holds a part of an id" if size % width else f"{name} is shorter than it was")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([data], pa.binary())], ["file", "block", "ids"])
+
+    step = block * width
+    total = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    ranges = files.filter("length > 0").select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / step))).alias("block")) \
+        .select("file", "block", F.least(F.lit(step), F.col("length") - F.col("block") * step).alias("size"))
+    return ranges.repartition(tasks, "file", "block").mapInArrow(read, "file string, block long, ids binary")
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, block long, ids binary")
+def blocks_of_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
+    """(file, block, ids) of the binary files of a folder, whose lengths alone are listed by Spark."""
+    return blocks(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length"), width, block)
 
 
 def scan(blocks: DataFrame, separator: int, width: int = 2) -> DataFrame:
@@ -105,46 +127,41 @@ def _encoding(path: str):
     return tiktoken.Encoding("flat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def pack(docs: DataFrame, vocabulary: str, separator: int, block: int = BLOCK) -> DataFrame:
-    """One flat file of 16-bit ids per task, as (file, block, ids), and beside it the order of its documents, as (file, ordinal, doc_id)."""
+def pack(docs: DataFrame, vocabulary: str, separator: int, folder: str) -> DataFrame:
+    """Writes one flat file of 16-bit ids per task into `folder`. Returns the files, as (file, length), and the order of their documents, as (file, ordinal, doc_id).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding, name = _encoding(vocabulary), f"part-{TaskContext.get().partitionId():05d}"
-        held, n_held, next_block, ordinal = [], 0, 0, 0
-        names = ["file", "block", "ids", "ordinal", "doc_id"]
-
-        def blocks(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, n_held, next_block
-            data = np.concatenate(held) if held else np.empty(0, np.uint16)
-            to = len(data) if last else len(data) // block * block
-            raw = [data[at:min(at + block, to)].astype("<u2").tobytes() for at in range(0, to, block)]
-            for k, x in enumerate(raw):
-                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([next_block + k], pa.int64()), pa.array([x], pa.binary()), pa.array([None], pa.int64()),
-                                                  pa.array([None], pa.int64())], names)
-            held, n_held, next_block = [data[to:]], len(data) - to, next_block + len(raw)
+    A file's name holds the attempt that wrote it, and only attempts that Spark accepts return rows, so files of failed attempts are never read.
+    """
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for ids in encoding.encode_ordinary_batch([x or "" for x in part.column(1).to_pylist()], num_threads=1):
-                    held.append(np.array([*ids, separator], np.uint16))
-                    n_held += len(ids) + 1
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
-                                                  pa.array(np.arange(ordinal, ordinal + n)), part.column(0)], names)
-                ordinal += n
-                if n_held >= block:
-                    yield from blocks(False)
-        if n_held:
-            yield from blocks(True)
-
-    kinds = T.StructType.fromDDL("file string, block long, ids binary, ordinal long, doc_id long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoding, task = _encoding(vocabulary), TaskContext.get()
+        name = f"{folder}/part-{task.partitionId():05d}-{task.taskAttemptId()}.bin"
+        names, ordinal, length = ["file", "length", "ordinal", "doc_id"], 0, 0
+        store, path = _store(name)
+        with store.open_output_stream(path) as out:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    for ids in encoding.encode_ordinary_batch([x or "" for x in part.column(1).to_pylist()], num_threads=1):
+                        raw = np.array([*ids, separator], "<u2").tobytes()
+                        out.write(raw)
+                        length += len(raw)
+                    n = part.num_rows
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.nulls(n, pa.int64()), pa.array(np.arange(ordinal, ordinal + n)), part.column(0)], names)
+                    ordinal += n
+        if length:
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([length], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
+
+    store, path = _store(folder)
+    store.create_dir(path)
+    kinds = T.StructType.fromDDL("file string, length long, ordinal long, doc_id long")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kinds)
 
 
 def document_counts(docs: DataFrame, vocabulary: str, separator: int) -> DataFrame:
     """(doc_id, n_tokens): documents are written as flat token files, which are then read without any index; the order written beside them names the documents."""
-    files = written(pack(docs, vocabulary, separator))
-    found = counts(files.filter("ids IS NOT NULL"), separator)
-    order = files.filter("ids IS NULL").select("file", "ordinal", "doc_id")
+    folder = f"{checkpoint_folder(docs.sparkSession).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    files = written(pack(docs, vocabulary, separator, folder))
+    found = counts(blocks(files.filter("length IS NOT NULL").select("file", "length")), separator)
+    order = files.filter("length IS NULL").select("file", "ordinal", "doc_id")
     return order.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens")

@@ -125,6 +125,18 @@ def test_binary_files(spark, tmp_path):
     assert [(r["ordinal"], r["n_tokens"]) for r in got] == [(0, 2), (1, 0), (2, 1)]
 
 
+def test_token_files_are_flat_and_read_by_ranges(spark, tmp_path):
+    path, folder = public_tokenizers.path("byte_bpe_50k.tiktoken"), str(tmp_path / "flat")
+    df = spark.createDataFrame([(i, "x y " * 9000) for i in range(3)], "doc_id long, text string").coalesce(1)
+    tokencounts.pack(df, path, 50_256, folder).collect()
+    (name,) = tmp_path.glob("flat/*.bin")
+    ids = tokencounts._encoding(path).encode_ordinary("x y " * 9000)
+    assert name.read_bytes() == np.array([*ids, 50_256] * 3, "<u2").tobytes()
+    blocks = tokencounts.blocks_of_files(spark, folder, block=1000)
+    assert blocks.select(F.spark_partition_id()).distinct().count() > 1
+    assert [r["n_tokens"] for r in tokencounts.counts(blocks, 50_256, stretch=4).collect()] == [len(ids)] * 3
+
+
 def test_document_counts(spark):
     texts = ["", None, "Hello world", "a" * 3000, "x y " * 70_000, "Hello world"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(2, "Hello world")], "doc_id long, text string")
