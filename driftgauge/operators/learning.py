@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgauge.functions import scalar as S
-from driftgauge.operators.ordered import ordered_fold
+from driftgauge.operators.labels import delay_weight, pending_summary, with_reveal_step
+from driftgauge.operators.ordered import bounded_windows, clamped_scan, ordered_fold
+from driftgauge.session import settled
 
 CONTEXT = 9
 DOUBLE = T.DoubleType()
@@ -174,6 +176,27 @@ def rank_gradient(rows: DataFrame, keys: Sequence[str], vector: str, width: int,
     return got.select(*keys, F.array(*[f"_g{i}" for i in range(width)]).alias("rank_gradient"), "rank_bias_gradient")
 
 
+def reveal_inputs(batches: DataFrame, delay: int, jitter: int, decay: float = 0.82, rows: int | None = None) -> DataFrame:
+    """What the learner knows when the labels of each step come out, per stream and step.
+
+    `batches` has n_steps, score, capital, reliability and ref_mean_conf. Shift delta, running capital, queue and its stale share are those of the step of the
+    reveal; the running reliability starts at the reference's confidence and includes the step itself, as reveals keep the order of steps.
+    """
+    moved = bounded_windows(batches, ["stream_id"], "step", 1, lambda w: {"shift_delta": F.col("score") - F.coalesce(F.lag("score").over(w), F.lit(0.0))}, rows)
+    new = lambda c: (1 - decay) * c
+    state = clamped_scan(moved, ["stream_id"], "step", {
+        "capital_ema": (F.lit(decay), new(F.least("capital", F.lit(25.0)) / 25.0), 0.0, 1.0, 1 / 25),
+        "_reliability": (F.lit(decay), new(F.col("reliability")), 0.0, 1.0, 0.0)}, ["shift_delta", "ref_mean_conf"])
+    # The part of the start that is left; a scan starts every key alike.
+    state = settled(state.withColumn("reliability_ema", F.col("_reliability") + F.col("ref_mean_conf") * F.pow(F.lit(decay), F.col("step") + 1)))
+    own = with_reveal_step(batches.select("stream_id", "step", "n_steps"), delay, jitter).join(state.select("stream_id", "step", "reliability_ema"), ["stream_id", "step"])
+    then = state.select("stream_id", "step", "shift_delta", "capital_ema").join(pending_summary(batches, delay, jitter), ["stream_id", "step"]) \
+        .withColumnRenamed("step", "reveal_step")
+    return own.join(then, ["stream_id", "reveal_step"]).select(
+        "stream_id", "step", "shift_delta", "capital_ema", "reliability_ema", "stale_share",
+        delay_weight(F.col("reveal_step") - F.col("step"), F.col("pending"), F.col("stale_share")).alias("delay_weight"))
+
+
 def residual_path(reveals: DataFrame, context: int, rank: int, prototypes: int = 12, threshold_rate: float = 0.04,
                   rows: int | None = None) -> DataFrame:
     """Correction parameters after each reveal: delta, decision threshold and rank weights.

@@ -11,7 +11,8 @@ from driftgauge.operators import drift as R
 from driftgauge.operators import learning as M
 from driftgauge.operators import regimes as G
 from driftgauge.operators import text as X
-from driftgauge.operators.labels import utility, visible_at
+from driftgauge.operators.decisions import scalar_reliability
+from driftgauge.operators.labels import utility
 from driftgauge.plans import canon as C
 from driftgauge.plans.decision_queries import decision_sql
 from driftgauge.plans.evidence_queries import SURFACE_SQL, surface_table
@@ -307,12 +308,10 @@ def residual_learning(spark, folder):
     rate = F.col("ref_positive_rate")
     weight = S.clip((1 - rate) / F.greatest(rate, F.lit(1e-3)), 1, 12)
     grad = M.rank_gradient(rb, ["stream_id", "step"], "v", width, weight)
-    zero = F.lit(0.0)
     gates = M.expert_gates(F.col("prototype") >= 0, F.col("recurrence"), F.col("similarity"), F.col("novelty"), F.col("reward"),
-                           zero, F.least(F.col("capital"), F.lit(25.0)) / 25.0, F.lit(0.7), zero)
-    delay = visible_at(F.col("step"), DELAY, JITTER) - F.col("step")
-    full = (j.join(reg, ["stream_id", "step"]).join(grad, ["stream_id", "step"]).withColumn("gates", gates)
-            .withColumn("delay_weight", 1 / (1 + 0.06 * F.greatest(F.lit(0), delay - 1)))
+                           F.col("shift_delta"), F.col("capital_ema"), F.col("reliability_ema"), F.col("stale_share"))
+    known = M.reveal_inputs(j.withColumn("reliability", scalar_reliability()), DELAY, JITTER, rows=rows)
+    full = (j.join(reg, ["stream_id", "step"]).join(grad, ["stream_id", "step"]).join(known, ["stream_id", "step"]).withColumn("gates", gates)
             .withColumn("learn_ranks", F.col("ref_positive_rate") < 0.20))
     p = M.residual_path(full, 9, width, rows=rows)
     return p.select("stream_id", "step", r6("delta"), r6("threshold"), r6("rank_bias"), F.size("rank_weights").alias("n_ranks"))

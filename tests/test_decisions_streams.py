@@ -135,3 +135,27 @@ def test_unrevealed_decisions_come_out_after_the_watermark(spark, tmp_path):
 def test_topic_options():
     o = live.TopicSource("h:9092", "events", "labels", security={"security.protocol": "SASL_SSL"}).options()
     assert o["subscribe"] == "events,labels" and o["startingOffsets"] == "earliest" and o["kafka.security.protocol"] == "SASL_SSL"
+
+
+def test_inputs_of_residual_learning_are_those_of_the_reveal(spark):
+    from driftgauge.operators import learning as M
+
+    delay, jitter, n = 3, 1, 14
+    score, capital, rel = ([((7 * i + k) % 10) / m for i in range(n)] for k, m in ((1, 10), (4, 0.3), (6, 10)))
+    df = spark.createDataFrame([("s", i, n, score[i], capital[i], rel[i], 0.9) for i in range(n)],
+                               "stream_id string, step long, n_steps long, score double, capital double, reliability double, ref_mean_conf double")
+    got = {r["step"]: r for r in M.reveal_inputs(df, delay, jitter).collect()}
+    cap, running, out, top = 1 / 25, [], [], -1
+    for i in range(n):
+        cap = 0.82 * cap + 0.18 * min(capital[i], 25) / 25
+        running.append(cap)
+        top = max(top, i + max(0, delay + (7 * i + delay) % (2 * jitter + 1) - jitter))
+        out.append(min(top, n - 1))
+    known = 0.9
+    for i in range(n):
+        known, t = 0.82 * known + 0.18 * rel[i], out[i]
+        ages = [t - k for k in range(t) if out[k] >= t]
+        stale = sum(a >= max(4, 2 * delay) for a in ages) / len(ages) if ages else 0.0
+        weight = 1 / (1 + 0.06 * max(0, t - i - 1) + 0.03 * max(0, len(ages) - 1) + 0.35 * stale)
+        want = (score[t] - (score[t - 1] if t else 0), running[t], known, stale, weight)
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[i][2:], want)), (i, got[i], want)
