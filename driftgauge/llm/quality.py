@@ -174,14 +174,23 @@ def fit(x: np.ndarray, counts: np.ndarray, y: np.ndarray, rounds: int = 120, l2:
     return w[:-4], w[-4:].reshape(2, 2)
 
 
+def _sampled(place: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which lines are learned from, by place in a text of `count` lines: all of LINES lines, else LINES / CHAIN chains spread evenly over the whole text."""
+    # Chain k of a long text starts at the k-th even step between the first line and the last chain's start.
+    chains = LINES // CHAIN
+    room = np.maximum(count - CHAIN, 0)
+    starts = room[:, None] * np.arange(chains) // (chains - 1)
+    return (count <= LINES) | ((place[:, None] >= starts) & (place[:, None] < starts + CHAIN)).any(1)
+
+
 def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, y) -> (y, lines of the text, features and lengths of its first LINES lines)."""
+    """(text, y) -> (y, lines of the text, features and lengths of at most LINES of them)."""
     for batch in batches:
         data, offsets = flat(batch.column(0))
         for i, j in steps(offsets, STEP):
             x, length, counts = lines(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
             place = np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts)
-            keep = place < LINES
+            keep = _sampled(place, np.repeat(counts, counts))
             ends = np.concatenate([[0], np.cumsum(np.minimum(counts, LINES))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1).slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), pa.array(length[keep])),

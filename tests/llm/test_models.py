@@ -1,6 +1,7 @@
 """Quality field and toxicity chain: recursions against enumeration, held-out accuracy, defined cases; the pipeline against its stages."""
 
 import itertools
+import zlib
 
 import numpy as np
 import pytest
@@ -131,3 +132,17 @@ def test_pipeline_runs_whole_and_on_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, "/root/testdata/sf0.001")
         assert docs.count() == 0 or frame is odd
+
+
+def test_a_labelled_document_is_one_row_of_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1, 9)] + [(1, "text 1")] * 500 + [(2, "text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 9)], "doc_id long, quality int")
+    rows = sorted(map(tuple, labelled(docs, labels, "quality", 100).collect()))
+    want = {i for i in range(1, 9) if zlib.crc32(str(i).encode()) % 5}
+    assert rows == [(i, "text" if i == 2 else f"text {i}", 1) for i in sorted(want)]
+
+
+def test_lines_are_sampled_over_the_whole_document():
+    for count in (1, 255, 256, 257, 300, 10_000):
+        kept = np.flatnonzero(quality._sampled(np.arange(count), np.full(count, count)))
+        assert len(kept) == min(count, quality.LINES) and kept[0] == 0 and kept[-1] == count - 1
