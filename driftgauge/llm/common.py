@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 STEP_BYTES = 4_000_000
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """The name, lengthened until no column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared checkpoint folder: cuts lineage, survives lost executors."""
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm import bpe, covertree, mixing, quality, search, sharding, simhash, suffix, tokencounts, toxicity
+from driftgauge.llm import bpe, covertree, fim, mixing, nearest, quality, search, sharding, simhash, suffix, tokencounts, toxicity, whitening
 from driftgauge.llm.training import fold
 
 #: The public tokenizer file; the package that holds it is installed on every executor.
@@ -132,5 +132,48 @@ s AS (SELECT q.r AS q, b.r AS r, round(sum(q.tf * ln(1 + (m.n - f.df + 0.5) / (f
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, d.conv_id NULLS LAST, d.turn NULLS LAST, s.r) AS rank FROM s JOIN d USING (r))
 SELECT dq.conv_id AS q_conv_id, dq.turn AS q_turn, k.rank, k.conv_id, k.turn, round(k.score, 6) AS score FROM k JOIN d dq ON dq.r = k.q WHERE k.rank <= 10"""
 
-QUERIES: dict[str, Query] = {"op1_suffix": op1_suffix, "op2_covertree": op2_covertree, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_token_counts": op5_token_counts, "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op10_search": op10_search}
-ORACLES: dict[str, str] = {"op2_covertree": OP2_SQL, "op9_mixing": OP9_SQL, "op10_search": OP10_SQL}
+
+
+def op11_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """Queries: every vector whose id is divisible by 100; against all vectors."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return nearest.search(nearest.build_index(vectors), vectors.filter("vec_id % 100 = 0"))
+
+
+def op12_whitening(spark: SparkSession, folder: str, most: int = 8) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    explained = [None] * most if model is None else model.explained[:most]
+    error = None if model is None else whitening.identity_error(vectors, model, most)
+    rows = whitening.apply(vectors, model, most).select("vec_id", "n", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return rows.select("vec_id", (F.col("at") + 1).cast("int").alias("component"), "n", "deviation", "whitened",
+                       F.element_at(F.lit(explained).cast("array<double>"), F.col("at") + 1).alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
+def op13_fim(spark: SparkSession, folder: str) -> DataFrame:
+    cut = fim.restore(fim.transform(table(spark, folder, "documents").select("doc_id", "text")).drop("text"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2("restored", 256).alias("restored_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+             sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS x FROM documents),
+h AS (SELECT *, CAST(len(u) AS BIGINT) AS n, CAST(('0x' || substr(x, 1, 8)) AS UBIGINT) AS h1, CAST(('0x' || substr(x, 9, 8)) AS UBIGINT) AS h2,
+        CAST(('0x' || substr(x, 17, 8)) AS UBIGINT) AS h3, CAST(('0x' || substr(x, 25, 8)) AS UBIGINT) AS h4 FROM d),
+c AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+        WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+        CAST(least(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS a, CAST(greatest(h1 % (n + 1), h2 % (n + 1)) AS BIGINT) AS b FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p"""
+
+QUERIES: dict[str, Query] = {
+    "op1_suffix": op1_suffix, "op2_covertree": op2_covertree, "op3_bpe": op3_bpe, "op4_simhash": op4_simhash, "op5_token_counts": op5_token_counts,
+    "op6_quality": op6_quality, "op7_toxicity": op7_toxicity, "op8_sharding": op8_sharding, "op9_mixing": op9_mixing, "op10_search": op10_search,
+    "op11_nearest": op11_nearest, "op12_whitening": op12_whitening, "op13_fim": op13_fim}
+ORACLES: dict[str, str] = {"op2_covertree": OP2_SQL, "op9_mixing": OP9_SQL, "op10_search": OP10_SQL, "op13_fim": OP13_SQL}
