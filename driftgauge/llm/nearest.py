@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -181,7 +182,7 @@ def _answers(beam: int, k: int, key_type: pa.DataType):
                     shard.ready()
                 query, node, far = shard.answer(_matrix(rows.column("vector")))
                 keys = shard.keys.take(pa.array(node))
-                where = pa.compute.list_parent_indices(keys).to_numpy()
+                where = pc.list_parent_indices(keys).to_numpy()
                 yield pa.RecordBatch.from_pydict({"code": rows.column("code").take(pa.array(query[where])), "id": keys.flatten().cast(key_type),
                                                   "score": pa.array(far[where])})
 

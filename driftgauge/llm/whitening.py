@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,7 +58,7 @@ class Whitening:
 
 def _dense(column: pa.Array, dimensions: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Positions of usable vectors and their entries, one row each; dimensions None: positions and lengths only."""
-    lengths = np.array([-1 if v is None else v for v in pa.compute.list_value_length(column).to_pylist()])
+    lengths = np.array([-1 if v is None else v for v in pc.list_value_length(column).to_pylist()])
     values = column.flatten()
     ok = lengths > 0
     plain = values.to_numpy(zero_copy_only=False).astype(np.float64)  # null becomes NaN
