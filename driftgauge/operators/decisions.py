@@ -340,6 +340,16 @@ def _count(mask: int) -> int:
     return mask.bit_count()
 
 
+def fresh_state() -> list:
+    """State of a stream before its first step."""
+    return list(_START)
+
+
+def counters(state: list) -> tuple[float, int, int]:
+    """Cooldown that is left, actions and resets inside the budget window."""
+    return state[_COOL], _count(state[_ACTED]), _count(state[_RESETS])
+
+
 _OUT = [("recommended_action", "string"), ("action_taken", "string"), ("reason", "string"),
         ("effective_mode", "string"), ("capital", "double"), ("risk_alert", "boolean"),
         ("retrain_recommended", "boolean"), ("budget_limited", "boolean"), ("budget_reason", "string"),
@@ -352,7 +362,8 @@ _NEEDED = ["score", "feature_score", "output_score", "collapse_risk", "alert", "
            "drift_score", "loss_block", "allowed"]
 
 
-def _decide(rules: Rules):
+def decider(rules: Rules) -> Callable[[str, object, list], tuple]:
+    """One step of a run: (strategy, row, state) -> the fields of a decision; the state moves on in place."""
     keep_bits = (1 << rules.window) - 1
 
     def one(strategy: str, r, st: list) -> tuple:
@@ -410,6 +421,12 @@ def _decide(rules: Rules):
         return (asked, taken, f"{reason};{note}", mode, c, bool(alert_now), retrain, limited, why,
                 st[_TEMP], st[_BIAS], drift)
 
+    return one
+
+
+def _decide(rules: Rules):
+    one = decider(rules)
+
     def block(state: list, pdf: pd.DataFrame) -> tuple[list, pd.DataFrame]:
         strategy = pdf["strategy"].iloc[0]
         recent = pdf["recent_accuracy"]
@@ -426,7 +443,7 @@ def decide(inputs: DataFrame, strategies: Sequence[str] = STRATEGIES, rules: Rul
     """One decision per stream, strategy and batch; streams and strategies run side by side."""
     names = F.explode(F.array(*[F.lit(s) for s in strategies])).alias("strategy")
     fold_in = inputs.select("stream_id", "step", *sorted({*_NEEDED, *keep}), names)
-    out = ordered_fold(fold_in, ["stream_id", "strategy"], "step", lambda: list(_START), _decide(rules), DECISION_FIELDS,
+    out = ordered_fold(fold_in, ["stream_id", "strategy"], "step", fresh_state, _decide(rules), DECISION_FIELDS,
                        [k for k in (*["score", "feature_score", "output_score", "collapse_risk", "alert", "severe",
                                       "profile", "signature"], *keep)])
     action = F.col("action_taken")

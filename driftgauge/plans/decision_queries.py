@@ -15,18 +15,22 @@ from driftgauge.plans.label_queries import DELAY, JITTER, RECENT_SQL, VISIBLE_SQ
 from driftgauge.plans.registry import query, r6
 from driftgauge.session import settled
 
-TREND_SQL = """trend AS (SELECT *, CASE WHEN count(*) OVER w32>=8 THEN least(1.0,
+def trend_sql(source: str = "signals") -> str:
+    return f"""trend AS (SELECT *, CASE WHEN count(*) OVER w32>=8 THEN least(1.0,
    0.45*(stddev_pop(positive_rate) OVER w32+abs(positive_rate-quantile_cont(positive_rate,0.5) OVER w32))
    +0.30*abs(mean_conf-avg(mean_conf) OVER w32)
    +0.25*greatest(0.0,output_score-quantile_cont(output_score,0.25) OVER w32)) ELSE 0.0 END AS drift_score,
   CASE WHEN count(*) OVER w12>=4 THEN (score-first_value(score) OVER w12)/(count(*) OVER w12-1) ELSE 0.0 END AS shift_slope,
   CASE WHEN count(*) OVER w16>=4 THEN (score+collapse_risk-first_value(score+collapse_risk) OVER w16)/(count(*) OVER w16-1) ELSE 0.0 END AS loss_slope,
   score-lag(score) OVER (PARTITION BY stream_id ORDER BY step) AS shift_delta
-  FROM signals WINDOW w32 AS (PARTITION BY stream_id ORDER BY step ROWS BETWEEN 31 PRECEDING AND CURRENT ROW),
+  FROM {source} WINDOW w32 AS (PARTITION BY stream_id ORDER BY step ROWS BETWEEN 31 PRECEDING AND CURRENT ROW),
   w12 AS (PARTITION BY stream_id ORDER BY step ROWS BETWEEN 11 PRECEDING AND CURRENT ROW),
   w16 AS (PARTITION BY stream_id ORDER BY step ROWS BETWEEN 15 PRECEDING AND CURRENT ROW))"""
 
 
+TREND_SQL = trend_sql()
+
+
 @query("trend_detectors", C.event_sql(TREND_SQL) + """SELECT stream_id, step, round(drift_score,6) AS drift_score,
 round(shift_slope,6) AS shift_slope, round(loss_slope,6) AS loss_slope, round(shift_delta,6) AS shift_delta,
 shift_slope>=0.04 AS proactive_hold, loss_slope>=0.08 AS loss_block FROM trend""")
