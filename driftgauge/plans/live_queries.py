@@ -12,6 +12,7 @@ from driftgauge.session import settled
 from driftgauge.sources import sinks
 from driftgauge.streaming import governed as G
 from driftgauge.streaming import live
+from driftgauge.streaming import repair as P
 
 #: Later than every event: moves the watermark past all batches.
 FAR = "2100-01-01"
@@ -153,3 +154,20 @@ def stream_resumed(spark, folder):
     stream = in_files(shuffled(rest), spark, "other-steps").withWatermark("closed_at", LATE)
     two = finished(spark, G.governed(stream, limit=1_000_000, initial=G.load_state(spark, store)), "second-half")
     return _out(one.unionByName(two).where("status = 'decided'"))
+
+
+@query("repaired_outcomes", C.event_sql(upto="batched") + """SELECT stream_id, step, CAST(date_trunc('day', max(ts)) AS DATE) AS day, count(*) AS n, count(*) AS revealed,
+round(avg(CASE WHEN (p>=0.5)=(y=1) THEN 1.0 ELSE 0.0 END),6) AS batch_accuracy, round(avg(y),6) AS label_rate FROM batched GROUP BY 1,2""")
+def repaired_outcomes(spark, folder):
+    """Outcomes from the labels that the stream join saw, then repaired by the late ones: equal to the answer of all labels."""
+    rows = batch_rows(spark, folder).withColumn("day", F.to_date("closed_at"))
+    decided = settled(rows.select("day", "stream_id", "step", "event_id", "ts", "p", "y"))
+    delay = F.make_interval(hours=(F.col("event_id") % 30).cast("int"))
+    reveals = decided.select("event_id", F.col("y").alias("label"), (F.col("ts") + delay).alias("reveal_ts"))
+    stream = live.revealed(in_files([decided.select("event_id", "ts")], spark, "decided"), in_files([reveals], spark, "reveals"), ["event_id"], "24 HOURS", how="inner")
+    timely = finished(spark, stream, "timely").select("event_id", "label", "reveal_ts")
+    table, side = sinks.scratch(spark, "outcomes"), sinks.scratch(spark, "late-labels")
+    sinks.replace_partitions(P.outcomes(decided, timely), table, ["day"])
+    P.keep_late(live.late_reveals(decided, reveals, ["event_id"], "24 HOURS").select("event_id", "label", "reveal_ts"), decided, side, 0)
+    P.repair(decided, timely, spark.read.parquet(side), table)
+    return spark.read.parquet(table).select("stream_id", "step", "day", "n", "revealed", r6("batch_accuracy"), r6("label_rate"))

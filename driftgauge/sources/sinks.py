@@ -49,18 +49,35 @@ def audit_rows(decisions: DataFrame, recorded_at: Column, metadata: Column) -> D
     return full.select(*AUDIT_COLUMNS)
 
 
-def append_audit(rows: DataFrame, path: str) -> None:
-    """Append the records that are not yet in the log."""
-    spark = rows.sparkSession
-    rows = rows.dropDuplicates(["record_id"])
-    try:
-        seen = spark.read.parquet(path).select("record_id")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        seen = None
-    fresh = rows if seen is None else rows.join(seen, "record_id", "left_anti")
-    fresh.write.mode("append").parquet(path)
+def _folder(df: DataFrame, path: str, partitions: Sequence[str]) -> DataFrame:
+    """The partitioned table at `path` with the schema of df; made if it is not there yet."""
+    df.limit(0).write.partitionBy(*partitions).mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def replace_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> None:
+    """Replaces the partitions that df has rows of, and no other."""
+    df.write.partitionBy(*partitions).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def days_of(df: DataFrame, most: int = 10_000) -> list:
+    """The distinct days of a frame, for partition pruning; a calendar bounds them."""
+    days = [r[0] for r in df.select("day").distinct().limit(most + 1).collect()]
+    if len(days) > most:
+        raise ValueError(f"more than {most} days in one write")
+    return days
+
+
+def append_audit(rows: DataFrame, path: str, epoch: int = 0) -> None:
+    """Adds the records that the log does not have, in partitions (day of `recorded_at`, epoch).
+
+    `recorded_at` is the time of the decision, so a record always falls on the same day, and only the partitions of the days at
+    hand are read. A repeated epoch replaces its own partitions by the same records.
+    """
+    rows = rows.dropDuplicates(["record_id"]).withColumns({"day": F.to_date("recorded_at"), "epoch": F.lit(epoch).cast("long")})
+    log = _folder(rows, path, ["day", "epoch"])
+    seen = log.where(F.col("day").isin(days_of(rows)) & (F.col("epoch") != epoch)).select("day", "record_id")
+    replace_partitions(rows.join(seen, ["day", "record_id"], "left_anti").select(*rows.columns), path, ["day", "epoch"])
 
 
 def recent_audit(audit: DataFrame, limit: int = 10_000) -> DataFrame:

@@ -161,8 +161,8 @@ class FanOut:
 
 
 def audit_writer(path: str) -> Writer:
-    """Appends records by id, so that a repeated micro-batch changes nothing."""
-    return lambda df, epoch: sinks.append_audit(df, path)
+    """Appends records by id, so that a repeated micro-batch changes nothing and reads the days it has records of."""
+    return lambda df, epoch: sinks.append_audit(df, path, epoch)
 
 
 def json_writer(path: str, fields: Sequence[str]) -> Writer:
@@ -188,14 +188,3 @@ def run_batches(stream: DataFrame, write: Writer, checkpoint: str, mode: str = "
          .trigger(availableNow=True).start())
     q.awaitTermination()
     return q
-
-
-def pending_rows(q: StreamingQuery) -> int:
-    """Rows the query still holds in state, as its last progress reports them."""
-    p = q.lastProgress
-    return sum(int(s["numRowsTotal"]) for s in (p["stateOperators"] if p else []))
-
-
-def state_snapshot(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
-    """Keyed state of a checkpoint as a table."""
-    return spark.read.format("statestore").option("operatorId", operator).load(checkpoint)

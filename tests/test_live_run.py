@@ -113,3 +113,64 @@ def test_trends_match_the_windows(spark):
     for r in W.trend_columns(df).collect():
         past = [tuple(x[2:]) for x in rows[max(0, r["step"] - 31):r["step"] + 1]]
         assert np.allclose(G.trend_of(past), (r["drift_score"], r["shift_slope"], r["loss_slope"]))
+
+
+# ---- audit log and repairs -------------------------------------------------------------------
+
+def records(spark, ids, day):
+    names = "record_id stream_id step strategy".split()
+    return spark.createDataFrame([(f"r{i}", "s", i, "x", datetime(2024, 1, day, 12)) for i in ids], "record_id string, stream_id string, step long, strategy string, recorded_at timestamp") \
+        .select(*names, "recorded_at")
+
+
+def files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_a_repeated_micro_batch_changes_nothing(spark, tmp_path):
+    log = tmp_path / "log"
+    write = live.audit_writer(str(log))
+    write(records(spark, range(5), 1).unionByName(records(spark, [3], 1)), 0)
+    write(records(spark, range(3, 8), 1).unionByName(records(spark, [20], 2)), 1)
+    before = sorted(r["record_id"] for r in spark.read.parquet(str(log)).collect())
+    assert before == sorted([*(f"r{i}" for i in range(8)), "r20"])
+    kept = files(log)
+    write(records(spark, range(3, 8), 1).unionByName(records(spark, [20], 2)), 1)
+    assert sorted(r["record_id"] for r in spark.read.parquet(str(log)).collect()) == before
+    now = files(log)
+    assert {k: v for k, v in kept.items() if "epoch=0" in k} == {k: v for k, v in now.items() if "epoch=0" in k}
+
+
+def test_the_log_is_read_for_the_days_at_hand(spark, tmp_path, monkeypatch):
+    from driftgauge.sources import sinks
+
+    log, plans = tmp_path / "log", []
+    sinks.append_audit(records(spark, range(5), 1).unionByName(records(spark, range(50, 60), 2)), str(log), 0)
+    real = sinks.replace_partitions
+    monkeypatch.setattr(sinks, "replace_partitions", lambda df, path, parts: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, path, parts))[1])
+    sinks.append_audit(records(spark, range(50, 62), 2), str(log), 7)
+    assert "PartitionFilters" in plans[0] and "2024-01-02" in plans[0] and "2024-01-01" not in plans[0]
+    assert spark.read.parquet(str(log)).count() == 17
+
+
+def test_repair_rewrites_only_the_days_that_late_labels_touch(spark, tmp_path):
+    from driftgauge.streaming import repair
+
+    decided = spark.createDataFrame([(f"2024-01-0{1 + i // 10}", "s", i // 5, i, 0.9) for i in range(40)], "day string, stream_id string, step int, event_id int, p double") \
+        .withColumn("day", F.to_date("day"))
+    labels = spark.createDataFrame([(i, i % 2, datetime(2024, 1, 5)) for i in range(40)], "event_id int, label int, reveal_ts timestamp")
+    timely = labels.where("event_id % 10 < 7")
+    table, side = tmp_path / "table", tmp_path / "side"
+    from driftgauge.sources import sinks
+    sinks.replace_partitions(repair.outcomes(decided, timely), str(table), ["day"])
+    before = files(table)
+    late = labels.where("event_id % 10 >= 7 AND event_id BETWEEN 10 AND 29")
+    for _ in range(2):  # a repeated epoch and a repeated job change nothing
+        repair.keep_late(late, decided, str(side), 3)
+        assert len(repair.repair(decided, timely, spark.read.parquet(str(side)), str(table))) == 2
+    after = files(table)
+    same = {k for k in before if after.get(k) == before[k]}
+    assert {k.split("/")[0] for k in same} == {"day=2024-01-01", "day=2024-01-04"} and len(same) == len([k for k in before if k[:14] in ("day=2024-01-01", "day=2024-01-04")])
+    got = {r["step"]: (r["revealed"], r["batch_accuracy"]) for r in spark.read.parquet(str(table)).collect()}
+    assert got[2][0] == got[3][0] == got[4][0] == got[5][0] == 5 and got[1][0] == 2 and got[7][0] == 2
+    assert got[3][1] == 0.6 and got[0][1] == 0.4
