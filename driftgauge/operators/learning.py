@@ -197,66 +197,67 @@ def reveal_inputs(batches: DataFrame, delay: int, jitter: int, decay: float = 0.
         delay_weight(F.col("reveal_step") - F.col("step"), F.col("pending"), F.col("stale_share")).alias("delay_weight"))
 
 
+def residual_terms(reveals: DataFrame, threshold_rate: float = 0.04) -> DataFrame:
+    """What each reveal moves the parameters by, as far as no earlier reveal matters: rates, residual mixes, and the pull of the regime."""
+    c, one, zero = F.col, F.lit(1.0), F.lit(0.0)
+    weight = S.clip(c("delay_weight"), 0.35, 1)
+    gap = S.clip(c("label_rate") - c("mean_p"), -1, 1)
+    return reveals.withColumns({
+        "rate": 0.12 * weight, "threshold_rate": threshold_rate * weight,
+        "rank_rate": F.when(c("learn_ranks"), 0.035 * weight * S.clip(one - 0.25 * c("stale_share"), 0.6, 1)).otherwise(zero),
+        "rate_gap": gap, "short": S.clip(0.65 * c("mean_residual") + 0.35 * gap, -1, 1), "push": S.clip(-gap, -0.5, 0.5),
+        "local_rate": 0.12 * weight * S.clip(0.50 + 0.35 * c("recurrence") + 0.15 * c("similarity"), 0.40, 1.15),
+        "trust": S.clip(0.55 * c("recurrence") + 0.30 * c("similarity") + 0.15 * F.greatest(zero, c("reward") - 0.5), 0, 1),
+        # Experts with a gate of 0.05 or less do not learn.
+        "learning": F.transform("gates", lambda g: F.when(g > 0.05, g).otherwise(zero))})
+
+
 def residual_path(reveals: DataFrame, context: int, rank: int, prototypes: int = 12, threshold_rate: float = 0.04,
                   rows: int | None = None) -> DataFrame:
     """Correction parameters after each reveal: delta, decision threshold and rank weights.
 
-    `reveals` has, per stream and step in reveal order: x, mean_residual, label_rate, mean_p, delay_weight, prototype (-1 for none),
-    recurrence, similarity, reward, gates, rank_gradient, rank_bias_gradient and learn_ranks.
+    `reveals` has, per stream and step in reveal order: x, mean_residual, label_rate, mean_p, delay_weight, stale_share, prototype (-1 for none),
+    recurrence, similarity, reward, gates, rank_gradient, rank_bias_gradient and learn_ranks. `residual_terms` are columns; here they only add up.
     """
-    # Layout: global weights and three biases, experts (weights, bias, threshold), prototypes (weights and three biases), ranks.
-    e_size, p_size = context + 2, context + 3
-    sizes = [context + 3, 3 * e_size, prototypes * p_size, rank + 1]
-    cuts = np.cumsum(sizes)[:-1]
+    # One row of weights, bias, recent bias and threshold for all batches, each expert and each prototype.
+    owners, lines = 1 + len(EXPERTS) + prototypes, context + 3
+    bias, recent, threshold = context, context + 1, context + 2
+    bounds = np.full((owners, lines), 0.75)
+    bounds[0, :context], bounds[1:4, :context], bounds[4:, :context] = np.inf, 0.60, 0.50
+    bounds[:, threshold] = 0.15
+    rank_bound = np.append(np.full(rank, 0.45), 0.35)
 
     def block(state, pdf):
-        glob, exps, protos, ranks = (a.copy() for a in np.split(state, cuts))
-        exps, protos = exps.reshape(3, e_size), protos.reshape(prototypes, p_size)
+        table, ranks = state[:owners * lines].reshape(owners, lines).copy(), state[owners * lines:].copy()
         out = []
         for r in pdf.itertuples(index=False):
-            x, w = np.asarray(r.x, dtype=float), min(max(r.delay_weight, 0.35), 1.0)
-            gates = np.asarray(r.gates, dtype=float)
-            lr, tlr = 0.12 * w, threshold_rate * w
-            if r.learn_ranks:
-                step = 0.035 * w
-                ranks[:-1] = np.clip(ranks[:-1] + step * np.asarray(r.rank_gradient, dtype=float), -0.45, 0.45)
-                ranks[-1] = min(max(ranks[-1] + step * r.rank_bias_gradient, -0.35), 0.35)
-            rate_gap = min(max(r.label_rate - r.mean_p, -1.0), 1.0)
-            short = min(max(0.65 * r.mean_residual + 0.35 * rate_gap, -1.0), 1.0)
-            push = min(max(-rate_gap, -0.5), 0.5)
-            glob[:context] += lr * r.mean_residual * x
-            b = glob[context:]
-            b[0] = min(max(b[0] + lr * r.mean_residual, -0.75), 0.75)
-            b[1] = min(max(0.82 * b[1] + 0.18 * short, -0.75), 0.75)
-            b[2] = min(max(b[2] + tlr * push, -0.15), 0.15)
-            for e, g in zip(exps, gates):
-                if g > 0.05:
-                    e[:context] = np.clip(e[:context] + lr * g * short * x, -0.60, 0.60)
-                    e[context] = min(max(e[context] + lr * g * short, -0.75), 0.75)
-                    e[context + 1] = min(max(e[context + 1] + tlr * g * push, -0.15), 0.15)
-            local = extra = nudge = 0.0
-            if r.prototype >= 0:
-                p = protos[int(r.prototype)]
-                rate = lr * min(max(0.50 + 0.35 * r.recurrence + 0.15 * r.similarity, 0.40), 1.15)
-                p[:context] = np.clip(p[:context] + rate * short * x, -0.50, 0.50)
-                p[context] = min(max(p[context] + lr * rate_gap, -0.75), 0.75)
-                p[context + 1] = min(max(0.78 * p[context + 1] + 0.22 * short, -0.75), 0.75)
-                p[context + 2] = min(max(p[context + 2] + 1.15 * tlr * push, -0.15), 0.15)
-                trust = min(max(0.55 * r.recurrence + 0.30 * r.similarity + 0.15 * max(0.0, r.reward - 0.5), 0.0), 1.0)
-                local, extra, nudge = trust * (p[:context] @ x + p[context]), p[context + 1], p[context + 2]
-            experts = float(sum(g * (e[:context] @ x + e[context]) for e, g in zip(exps, gates)))
-            delta = glob[:context] @ x + b[0] + local + b[1] + extra + experts
-            shift = b[2] + nudge + float(gates @ exps[:, context + 1])
-            out.append((float(min(max(delta, -0.95), 0.95)),
-                        float(min(max(0.5 + min(max(shift, -0.20), 0.20), 0.05), 0.95)), list(ranks[:-1]), float(ranks[-1])))
-        end = np.concatenate([glob, exps.ravel(), protos.ravel(), ranks])
-        return end, pd.DataFrame(out, columns=["delta", "threshold", "rank_weights", "rank_bias"])
+            x, gates, learning = (np.asarray(v, dtype=float) for v in (r.x, r.gates, r.learning))
+            ranks = np.clip(ranks + r.rank_rate * np.append(r.rank_gradient, r.rank_bias_gradient), -rank_bound, rank_bound)
+            move = np.zeros((owners, lines))
+            move[0] = [*(r.rate * r.mean_residual * x), r.rate * r.mean_residual, 0.0, r.threshold_rate * r.push]
+            for e, g in enumerate(learning, 1):
+                move[e] = [*(r.rate * g * r.short * x), r.rate * g * r.short, 0.0, r.threshold_rate * g * r.push]
+            at = 4 + int(r.prototype) if r.prototype >= 0 else None
+            if at is not None:
+                move[at] = [*(r.local_rate * r.short * x), r.rate * r.rate_gap, 0.0, 1.15 * r.threshold_rate * r.push]
+                table[at, recent] = 0.78 * table[at, recent] + 0.22 * r.short
+            table[0, recent] = 0.82 * table[0, recent] + 0.18 * r.short
+            table = np.clip(table + move, -bounds, bounds)
+            own = table[:, :context] @ x + table[:, bias]
+            delta = own[0] + table[0, recent] + gates @ own[1:4]
+            shift = table[0, threshold] + gates @ table[1:4, threshold]
+            if at is not None:
+                delta += r.trust * own[at] + table[at, recent]
+                shift += table[at, threshold]
+            out.append((float(np.clip(delta, -0.95, 0.95)), float(np.clip(0.5 + np.clip(shift, -0.20, 0.20), 0.05, 0.95)), ranks[:-1].tolist(), float(ranks[-1])))
+        return np.concatenate([table.ravel(), ranks]), pd.DataFrame(out, columns=["delta", "threshold", "rank_weights", "rank_bias"])
 
     fields = [T.StructField("delta", DOUBLE), T.StructField("threshold", DOUBLE),
               T.StructField("rank_weights", T.ArrayType(DOUBLE)), T.StructField("rank_bias", DOUBLE)]
-    names = ["x", "mean_residual", "label_rate", "mean_p", "delay_weight", "prototype", "recurrence", "similarity", "reward",
-             "gates", "rank_gradient", "rank_bias_gradient", "learn_ranks"]
-    return ordered_fold(reveals.select("stream_id", "step", *names), ["stream_id"], "step", [0.0] * int(sum(sizes)), block, fields)
+    names = ["x", "mean_residual", "prototype", "gates", "learning", "rank_gradient", "rank_bias_gradient", "rate", "threshold_rate", "rank_rate", "rate_gap", "short",
+             "push", "local_rate", "trust"]
+    terms = residual_terms(reveals, threshold_rate).select("stream_id", "step", *names)
+    return ordered_fold(terms, ["stream_id"], "step", [0.0] * (owners * lines + rank + 1), block, fields)
 
 
 # ---- models ----------------------------------------------------------------------------------

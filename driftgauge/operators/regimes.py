@@ -33,91 +33,130 @@ def nearest(rows: DataFrame, prototypes: DataFrame, on: str, vector: str, centro
         "nearest", F.col("_b.n")).drop("_p", "_b")
 
 
-_SLOT_FIELDS = 6
-_COUNT, _REWARD, _CONF, _NOVEL, _SEEN, _RATE = range(_SLOT_FIELDS)
-
-
-def _recency(step: float, seen: float) -> float:
-    return max(0.0, 1.0 - max(0.0, step - seen) / HORIZON)
-
-
-def _unit(v: np.ndarray) -> np.ndarray:
-    n = float(np.linalg.norm(v))
-    return v if n <= 1e-8 else v / n
-
-
-def _described(e: np.ndarray, cents: np.ndarray, info: np.ndarray, step: float) -> dict:
-    if not len(cents):
-        return {"i": -1, "sim": 0.0, "conf": 0.0, "novel": 1.0, "reward": 0.5, "count": 0, "familiar": False, "reuse": False}
-    sims = cents @ e
-    i = int(np.argmax(sims))
-    p, sim = info[i], float(sims[i])
-    conf = float(np.clip(
-        0.60 * sim + 0.14 * min(1.0, p[_COUNT] / 4) + 0.10 * min(1.0, max(0.0, p[_REWARD] - 0.45) / 0.20)
-        + 0.10 * _recency(step, p[_SEEN]) + 0.06 * p[_CONF], 0, 1))
-    novel = float(np.clip(max(0.0, 1 - sim) + 0.18 * max(0.0, 0.60 - conf) + 0.12 * p[_NOVEL], 0, 1))
-    known = sim >= SIMILAR or conf >= FAMILIAR
-    return {"i": i, "sim": sim, "conf": conf, "novel": novel, "reward": float(p[_REWARD]), "count": int(p[_COUNT]),
-            "familiar": known, "reuse": known and conf >= REUSE and novel <= NOVEL}
-
-
 _REGIME_FIELDS = [T.StructField("prototype", T.IntegerType()), T.StructField("similarity", T.DoubleType()),
                   T.StructField("confidence", T.DoubleType()), T.StructField("novelty", T.DoubleType()),
                   T.StructField("familiar", T.BooleanType()), T.StructField("reuse_ready", T.BooleanType()),
                   T.StructField("prototype_reward", T.DoubleType()), T.StructField("prototype_count", T.IntegerType()),
-                  T.StructField("prototypes", T.IntegerType())]
+                  T.StructField("prototypes", T.IntegerType()), T.StructField("successful", T.BooleanType())]
+#: Decay of the running accuracy that a reveal is compared with, and its start.
+ACCURACY_DECAY, ACCURACY_START = 0.82, 0.5
+
+
+class _Prototypes:
+    """The prototypes of one stream as columns, the decisions that wait for their labels, and the running accuracy."""
+
+    def __init__(self, width: int, limit: int):
+        self.limit = limit
+        self.centres = np.zeros((0, width))
+        # Columns of facts: count, reward, confidence, novelty, last step, label rate.
+        self.facts = np.zeros((0, 6))
+        self.waiting: dict[int, tuple[int, float, float]] = {}
+        self.now, self.accuracy = 0, ACCURACY_START
+
+    def match(self, e: np.ndarray) -> tuple[int, float, float, float]:
+        """The most similar prototype, its similarity, the confidence that it came back, and the novelty; -1 if there is none."""
+        if not len(self.facts):
+            return -1, 0.0, 0.0, 1.0
+        similar = self.centres @ e
+        i = int(similar.argmax())
+        count, reward, trust, novel, seen, _ = self.facts[i]
+        terms = (0.60 * similar[i], 0.14 * min(1.0, count / 4), 0.10 * min(1.0, max(0.0, reward - 0.45) / 0.20),
+                 0.10 * max(0.0, 1 - (self.now - seen) / HORIZON), 0.06 * trust)
+        confidence = float(np.clip(sum(terms), 0, 1))
+        novelty = max(0.0, 1 - similar[i]) + 0.18 * max(0.0, 0.60 - confidence) + 0.12 * novel
+        return i, float(similar[i]), confidence, float(np.clip(novelty, 0, 1))
+
+    def decided(self, step: int, e: np.ndarray) -> tuple:
+        self.now = step
+        e = e / n if (n := np.linalg.norm(e)) > 1e-8 else e
+        i, similar, confidence, novelty = self.match(e)
+        if i < 0 or similar < CREATE:
+            fact = [1, max(0.45, self.facts[i, 1] if i >= 0 else 0.5), max(0.30, confidence), novelty, step, 0.5]
+            if len(self.facts) < self.limit:
+                self.centres, self.facts = np.vstack([self.centres, e]), np.vstack([self.facts, fact])
+            else:
+                count, reward, trust, novel, seen, _ = self.facts.T
+                worth = (reward + 0.18 * trust + 0.10 * np.minimum(1, count / 4) + 0.06 * np.maximum(0, 1 - (step - seen) / HORIZON) - 0.10 * novel)
+                weakest = int(worth.argmin())
+                self.centres[weakest], self.facts[weakest] = e, fact
+        else:
+            centre = (1 - UPDATE_RATE) * self.centres[i] + UPDATE_RATE * e
+            self.centres[i] = centre / np.linalg.norm(centre)
+            f = self.facts[i]
+            f[0], f[4] = f[0] + 1, step
+            f[[2, 3]] = EMA * f[[2, 3]] + (1 - EMA) * np.array([confidence, novelty])
+        i, similar, confidence, novelty = self.match(e)
+        self.waiting[step] = i, confidence, novelty
+        known = similar >= SIMILAR or confidence >= FAMILIAR
+        return (i, similar, confidence, novelty, known, known and confidence >= REUSE and novelty <= NOVEL, float(self.facts[i, 1]), int(self.facts[i, 0]),
+                len(self.facts), None)
+
+    def revealed(self, step: int, reward: float, accuracy: float, label_rate: float) -> tuple:
+        """The labels of a step reach the prototype that its decision named, with what was known then."""
+        i, confidence, novelty = self.waiting.pop(step)
+        self.accuracy = ACCURACY_DECAY * self.accuracy + (1 - ACCURACY_DECAY) * accuracy
+        good = accuracy >= self.accuracy
+        f = self.facts[i]
+        goal = np.array([reward, min(max(confidence + (0.10 if good else -0.04), 0), 1), min(max(novelty * (0.65 if good else 1.10), 0), 1)])
+        f[1:4] = EMA * f[1:4] + (1 - EMA) * goal
+        f[4] = self.now
+        f[5] = EMA * f[5] + (1 - EMA) * min(max(label_rate, 0), 1)
+        return (i, None, float(f[2]), float(f[3]), None, None, float(f[1]), int(f[0]), len(self.facts), bool(good))
+
+
+def feedback_events(batches: DataFrame, reveals: DataFrame, vector: str) -> DataFrame:
+    """Decisions and reveals of each stream as one ordered stream: by time, a step's decision before the reveals of that time, these by step.
+
+    reveals: stream_id, step, reveal_step, reward, batch_accuracy, label_rate. Steps without a reveal never come back.
+    """
+    none = F.lit(None).cast("double")
+    d = batches.select("stream_id", F.col("step").alias("time"), F.lit(0).alias("kind"), "step", F.col(vector).alias("vector"), none.alias("reward"),
+                       none.alias("accuracy"), none.alias("label_rate"))
+    r = reveals.select("stream_id", F.col("reveal_step").alias("time"), F.lit(1).alias("kind"), "step", F.lit(None).cast(batches.schema[vector].dataType).alias("vector"),
+                       "reward", F.col("batch_accuracy").alias("accuracy"), "label_rate")
+    # Steps are below 2^30, so one number holds the order.
+    return d.unionByName(r).withColumn("at", (2 * F.col("time") + F.col("kind")) * (1 << 30) + F.col("step"))
 
 
-def assign_regimes(batches: DataFrame, vector: str, width: int, limit: int = MAX_PROTOTYPES, rows: int | None = None
-                   ) -> DataFrame:
-    """Prototype of each batch; unlike batches found new ones, the weakest gives way when all are taken.
+def assign_regimes(events: DataFrame, width: int, limit: int = MAX_PROTOTYPES) -> DataFrame:
+    """One row per event of `feedback_events`: the prototype of each decision, and what each reveal made of it.
 
-    Optional columns `reward`, `successful` and `label_rate` reinforce the prototype of their batch.
+    A batch that is unlike all prototypes founds one; the weakest gives way when all are taken. A reveal is a success if its
+    accuracy is at least the running accuracy, itself included.
     """
-    size = width + _SLOT_FIELDS
-    has = {c: c in batches.columns for c in ("reward", "successful", "label_rate")}
+    def block(state, pdf):
+        rows = [state.decided(int(r.step), np.array(r.vector, dtype=float)) if r.kind == 0 else
+                state.revealed(int(r.step), r.reward, r.accuracy, r.label_rate) for r in pdf.itertuples(index=False)]
+        return state, pd.DataFrame(rows, columns=[f.name for f in _REGIME_FIELDS]).astype({"familiar": "boolean", "reuse_ready": "boolean", "successful": "boolean"})
 
-    def ema(old, new):
-        return EMA * old + (1 - EMA) * new
+    need = events.select("stream_id", "at", "kind", "step", "vector", "reward", "accuracy", "label_rate")
+    return ordered_fold(need, ["stream_id"], "at", lambda: _Prototypes(width, limit), block, _REGIME_FIELDS, ["kind", "step"]).drop("at")
+
+
+def last_prototypes(events: DataFrame, width: int, limit: int = MAX_PROTOTYPES) -> DataFrame:
+    """The prototypes of every stream after its last event: one row each with centroid, count, reward, confidence, novelty and last step."""
+    schema = "stream_id string, prototype int, centroid array<double>, count int, reward double, confidence double, novelty double, last_seen_step long, label_rate double"
+    fields = [T.StructField("rows", T.ArrayType(T.StructType([T.StructField("centroid", T.ArrayType(T.DoubleType())), *(T.StructField(n, T.DoubleType()) for n in (
+        "count", "reward", "confidence", "novelty", "last_seen_step", "label_rate"))])))]
 
     def block(state, pdf):
-        n = int(state[0])
-        table = state[1:].reshape(limit, size).copy()
-        out = []
         for r in pdf.itertuples(index=False):
-            e, step = _unit(np.asarray(getattr(r, vector), dtype=float)), float(r.step)
-            cents, info = table[:n, :width], table[:n, width:]
-            d = _described(e, cents, info, step)
-            if d["i"] < 0 or d["sim"] < CREATE:
-                if n < limit:
-                    slot, n = n, n + 1
-                else:
-                    worth = [p[_REWARD] + 0.18 * p[_CONF] + 0.10 * min(1.0, p[_COUNT] / 4)
-                             + 0.06 * _recency(step, p[_SEEN]) - 0.10 * p[_NOVEL] for p in info]
-                    slot = int(np.argmin(worth))
-                table[slot, :width] = e
-                table[slot, width:] = [1, max(0.45, d["reward"]), max(0.30, d["conf"]), d["novel"], step, 0.5]
+            if r.kind == 0:
+                state.decided(int(r.step), np.array(r.vector, dtype=float))
             else:
-                p = table[d["i"]]
-                p[:width] = _unit((1 - UPDATE_RATE) * p[:width] + UPDATE_RATE * e)
-                q = p[width:]
-                q[_COUNT] += 1
-                q[_CONF], q[_NOVEL], q[_SEEN] = ema(q[_CONF], d["conf"]), ema(q[_NOVEL], d["novel"]), step
-            d = _described(e, table[:n, :width], table[:n, width:], step)
-            if has["reward"] and not pd.isna(r.reward):
-                q = table[d["i"], width:]
-                good = bool(has["successful"] and r.successful)
-                q[_REWARD] = ema(q[_REWARD], r.reward)
-                q[_CONF] = ema(q[_CONF], float(np.clip(d["conf"] + (0.10 if good else -0.04), 0, 1)))
-                q[_NOVEL] = ema(q[_NOVEL], float(np.clip(d["novel"] * (0.65 if good else 1.10), 0, 1)))
-                q[_SEEN] = step
-                if has["label_rate"] and not pd.isna(r.label_rate):
-                    q[_RATE] = ema(q[_RATE], float(np.clip(r.label_rate, 0, 1)))
-            out.append((d["i"], d["sim"], d["conf"], d["novel"], d["familiar"], d["reuse"], d["reward"], d["count"], n))
-        return np.concatenate([[n], table.ravel()]), pd.DataFrame(out, columns=[f.name for f in _REGIME_FIELDS])
-
-    need = batches.select("stream_id", "step", vector, *[c for c, ok in has.items() if ok])
-    return ordered_fold(need, ["stream_id"], "step", [0.0] * (1 + limit * size), block, _REGIME_FIELDS)
+                state.revealed(int(r.step), r.reward, r.accuracy, r.label_rate)
+        # Only the last row of a stream carries the table.
+        table = [None] * len(pdf)
+        if pdf["last"].iloc[-1]:
+            table[-1] = [{"centroid": c.tolist(), **dict(zip(("count", "reward", "confidence", "novelty", "last_seen_step", "label_rate"), map(float, f)))}
+                         for c, f in zip(state.centres, state.facts)]
+        return state, pd.DataFrame({"rows": table})
+
+    top = events.groupBy("stream_id").agg(F.max("at").alias("_top"))
+    need = events.join(top, "stream_id").select("stream_id", "at", "kind", "step", "vector", "reward", "accuracy", "label_rate", (F.col("at") == F.col("_top")).alias("last"))
+    out = ordered_fold(need, ["stream_id"], "at", lambda: _Prototypes(width, limit), block, fields).where("rows IS NOT NULL")
+    each = out.select("stream_id", F.posexplode("rows").alias("prototype", "r")).select("stream_id", "prototype", "r.*")
+    return each.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in schema.split(", ")])
 
 
 def route_clusters(batches: DataFrame, vector: str, width: int, limit: int = CLUSTERS,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftgauge.functions import scalar as S
 from driftgauge.operators import batches as B
 from driftgauge.operators import drift as R
+from driftgauge.operators import labels as L
 from driftgauge.operators import learning as M
 from driftgauge.operators import regimes as G
 from driftgauge.operators import text as X
@@ -16,7 +17,7 @@ from driftgauge.operators.labels import utility
 from driftgauge.plans import canon as C
 from driftgauge.plans.decision_queries import decision_sql
 from driftgauge.plans.evidence_queries import SURFACE_SQL, surface_table
-from driftgauge.plans.label_queries import DELAY, JITTER
+from driftgauge.plans.label_queries import DELAY, JITTER, VISIBLE_SQL
 from driftgauge.plans.registry import query, r6, table
 from driftgauge.session import settled
 
@@ -78,24 +79,79 @@ def pooled_chunks(spark, folder):
     return e.select("vec_id", *[r6(F.col("q")[i], f"q{i}") for i in range(6)])
 
 
-def regimes(spark, folder):
+def _regime_events(spark, folder):
+    """All decisions and reveals of the event streams, in order."""
     e = _embedded(spark, folder)
-    u = utility(F.col("batch_accuracy"), F.lit(False), F.lit(0.0), F.lit(False), F.lit("none"))
-    e = e.withColumn("reward", F.when(F.col("step") % 3 == 0, u)).withColumn("successful", F.col("batch_accuracy") >= 0.5)
-    return settled(G.assign_regimes(e, "embedding", WIDTH, rows=C.step_bound(spark, folder, "events")))
+    sig = R.drift_surface(e, len(C.EVENT_FEATURES), C.step_bound(spark, folder, "events"), ready=True)
+    acc = F.col("batch_accuracy")
+    reward = L.retrospective_reward(utility(acc, F.col("alert"), F.lit(0.0), F.lit(False), F.lit("none")), acc, acc, acc, scalar_reliability(), F.lit(1.0))
+    reveals = L.with_reveal_step(sig, DELAY, JITTER).select("stream_id", "step", "reveal_step", reward.alias("reward"), "batch_accuracy", "label_rate")
+    return G.feedback_events(e, reveals, "embedding")
 
 
-@query("regime_assignment")
+def regimes(spark, folder):
+    return settled(G.assign_regimes(_regime_events(spark, folder), WIDTH))
+
+
+# Events in order, and the prototypes of a stream as a list that each event replaces one entry of.
+_SIM = "list_transform({p}, lambda x: list_dot_product(x.c, {e}))"
+_CONFIDENCE = """least(1.0,greatest(0.0,0.60*{m}+0.14*least(1.0,{q}.n/4)+0.10*least(1.0,greatest(0.0,{q}.w-0.45)/0.20)+0.10*greatest(0.0,1-(now-{q}.s)/16.0)+0.06*{q}.k))"""
+_NOVELTY = "least(1.0,greatest(0.0,greatest(0.0,1-{m})+0.18*greatest(0.0,0.60-{k})+0.12*{q}.v))"
+_EVENT_SQL = f"""evs AS (SELECT stream_id, step AS time, 0 AS kind, step, embedding AS vec, NULL::DOUBLE AS reward, NULL::DOUBLE AS acc, NULL::DOUBLE AS rate FROM em
+ UNION ALL SELECT v.stream_id, least(v.visible_at,v.n_steps-1), 1, v.step, [1.0,0,0,0,0,0,0,0], v.batch_accuracy-0.06*CAST(s.alert AS INTEGER)-0.18*abs(v.batch_accuracy-greatest(0.0,least(1.0,1-0.18*s.feature_score-0.22*s.output_score-0.35*s.collapse_risk))),
+  v.batch_accuracy, v.label_rate FROM vis v JOIN signals s ON s.stream_id=v.stream_id AND s.step=v.step),
+ev AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY time, kind, step) AS o FROM evs)"""
+_REGIME_SQL = f"""rg(stream_id, o, kind, step, now, ac, ps, wait, i, sim, conf, novel, good) AS (
+ SELECT stream_id, 0::BIGINT, 0, 0::BIGINT, 0::BIGINT, 0.5::DOUBLE, CAST([] AS STRUCT(c DOUBLE[], n DOUBLE, w DOUBLE, k DOUBLE, v DOUBLE, s BIGINT, q DOUBLE)[]),
+  CAST([] AS STRUCT(st BIGINT, i BIGINT, k DOUBLE, v DOUBLE)[]), 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, false FROM ev WHERE o=1
+ UNION ALL
+ SELECT stream_id, o, kind, step, now, ac1, ps1,
+  CASE WHEN kind=0 THEN list_append(wait, struct_pack(st:=step, i:=i1, k:=k1, v:=v1)) ELSE list_filter(wait, lambda x: x.st<>step) END, i1, m1,
+  CASE WHEN kind=0 THEN k1 ELSE ps1[i1].k END, CASE WHEN kind=0 THEN v1 ELSE ps1[i1].v END, good1
+ FROM (SELECT *, {_NOVELTY.format(m='m1', k='k1', q='q1')} AS v1
+ FROM (SELECT *, {_CONFIDENCE.format(m='m1', q='q1')} AS k1
+ FROM (SELECT *, CASE WHEN kind=0 THEN ps1[i1] END AS q1, CASE WHEN kind=0 THEN list_dot_product(ps1[i1].c, vec) END AS m1
+ FROM (SELECT *, CASE WHEN kind=0 THEN list_position(sims1, list_max(sims1)) ELSE old.i END AS i1
+ FROM (SELECT *, CASE WHEN kind=0 THEN {_SIM.format(p='ps1', e='vec')} END AS sims1
+ FROM (SELECT *, list_concat(list_concat(ps[1:slot-1], [entry]), ps[slot+1:]) AS ps1
+ FROM (SELECT *, CASE WHEN kind=1 THEN struct_pack(c:=p.c, n:=p.n, w:=0.84*p.w+0.16*reward, k:=0.84*p.k+0.16*least(1.0,greatest(0.0,old.k+CASE WHEN good1 THEN 0.10 ELSE -0.04 END)),
+     v:=0.84*p.v+0.16*least(1.0,greatest(0.0,old.v*CASE WHEN good1 THEN 0.65 ELSE 1.10 END)), s:=now, q:=0.84*p.q+0.16*least(1.0,greatest(0.0,rate)))
+   WHEN found THEN struct_pack(c:=vec, n:=1.0, w:=greatest(0.45,coalesce(p0.w,0.5)), k:=greatest(0.30,k0), v:=v0, s:=now, q:=0.5)
+   ELSE struct_pack(c:=list_transform(mixed, lambda x: x/sqrt(list_dot_product(mixed,mixed))), n:=p.n+1, w:=p.w, k:=0.84*p.k+0.16*k0, v:=0.84*p.v+0.16*v0, s:=now, q:=p.q) END AS entry
+ FROM (SELECT *, ps[slot] AS p, list_transform(list_zip(coalesce(ps[slot].c, vec), vec), lambda z: 0.82*z[1]+0.18*z[2]) AS mixed
+ FROM (SELECT *, CASE WHEN kind=1 THEN old.i WHEN NOT found THEN b0 WHEN len(ps)<12 THEN len(ps)+1 ELSE list_position(worth, list_min(worth)) END AS slot
+ FROM (SELECT *, CASE WHEN p0 IS NULL THEN 1.0 ELSE {_NOVELTY.format(m='m0', k='k0', q='p0')} END AS v0, kind=0 AND (p0 IS NULL OR m0<0.88) AS found,
+   CASE WHEN kind=0 THEN list_transform(ps, lambda x: x.w+0.18*x.k+0.10*least(1.0,x.n/4)+0.06*greatest(0.0,1-(now-x.s)/16.0)-0.10*x.v) END AS worth
+ FROM (SELECT *, CASE WHEN p0 IS NULL THEN 0.0 ELSE {_CONFIDENCE.format(m='m0', q='p0')} END AS k0
+ FROM (SELECT *, ps[b0] AS p0, CASE WHEN kind=0 THEN list_dot_product(ps[b0].c, vec) END AS m0, kind=1 AND acc>=ac1 AS good1
+ FROM (SELECT e.*, r.ps, r.wait, CASE WHEN e.kind=0 THEN e.step ELSE r.now END AS now, CASE WHEN e.kind=1 THEN 0.82*r.ac+0.18*e.acc ELSE r.ac END AS ac1,
+   list_filter(r.wait, lambda x: x.st=e.step)[1] AS old, CASE WHEN e.kind=0 THEN list_position({_SIM.format(p='r.ps', e='e.vec')}, list_max({_SIM.format(p='r.ps', e='e.vec')})) END AS b0
+   FROM rg r JOIN ev e ON e.stream_id=r.stream_id AND e.o=r.o+1)))))))))))))
+)"""
+_REGIMES = C.event_sql(_EMB, VISIBLE_SQL, _EVENT_SQL, _REGIME_SQL)
+
+
+@query("regime_assignment", _REGIMES + """SELECT stream_id, step, CAST(i-1 AS INTEGER) AS prototype, round(sim,6) AS similarity, round(conf,6) AS confidence, round(novel,6) AS novelty,
+sim>=0.93 OR conf>=0.58 AS familiar, (sim>=0.93 OR conf>=0.58) AND conf>=0.64 AND novel<=0.28 AS reuse_ready, CAST(len(ps) AS INTEGER) AS prototypes FROM rg WHERE o>0 AND kind=0""")
 def regime_assignment(spark, folder):
-    r = regimes(spark, folder)
+    r = regimes(spark, folder).where("kind = 0")
     return r.select("stream_id", "step", "prototype", r6("similarity"), r6("confidence"), r6("novelty"), "familiar", "reuse_ready", "prototypes")
 
 
-@query("regime_diagnostics")
+@query("regime_feedback", _REGIMES + """SELECT stream_id, step, CAST(i-1 AS INTEGER) AS prototype, good AS successful, round(ps[i].w,6) AS reward, round(conf,6) AS confidence,
+round(novel,6) AS novelty FROM rg WHERE o>0 AND kind=1""")
+def regime_feedback(spark, folder):
+    """What each reveal made of the prototype that its decision named."""
+    r = regimes(spark, folder).where("kind = 1")
+    return r.select("stream_id", "step", "prototype", "successful", r6("prototype_reward", "reward"), r6("confidence"), r6("novelty"))
+
+
+@query("regime_diagnostics", _REGIMES.rstrip() + """, last AS (SELECT stream_id, max_by(ps, o) AS ps FROM rg GROUP BY 1),
+one AS (SELECT stream_id, unnest(ps) AS p FROM last)
+SELECT stream_id, count(*) AS prototype_count, round(avg(p.w),6) AS mean_reward, round(avg(p.k),6) AS mean_confidence, round(avg(p.v),6) AS mean_novelty FROM one GROUP BY 1""")
 def regime_diagnostics(spark, folder):
-    r = regimes(spark, folder)
-    last = r.groupBy("stream_id", "prototype").agg(F.max_by("prototype_reward", "step").alias("reward"),
-                                                   F.max_by("confidence", "step").alias("confidence"), F.max_by("novelty", "step").alias("novelty"))
+    """Means over the prototypes as they stand after the last event."""
+    last = G.last_prototypes(_regime_events(spark, folder), WIDTH)
     d = G.regime_diagnostics(last)
     return d.select("stream_id", "prototype_count", r6("mean_reward"), r6("mean_confidence"), r6("mean_novelty"))
 
@@ -296,7 +352,7 @@ def residual_learning(spark, folder):
     sig = R.drift_surface(stats, 2, rows, ready=True)
     risk = R.risk_capital(sig)
     j = sig.join(risk, ["stream_id", "step"]).withColumn("x", M.bandit_context())
-    reg = regimes(spark, folder).select("stream_id", "step", "prototype", "similarity", "novelty",
+    reg = regimes(spark, folder).where("kind = 0").select("stream_id", "step", "prototype", "similarity", "novelty",
                                         F.col("confidence").alias("recurrence"), F.col("prototype_reward").alias("reward"))
     b = C.event_batches(spark, folder)
     ref = B.reference_profile(B.reference_window(stats), 2)

@@ -108,13 +108,39 @@ def test_support_passes_over_copies(spark):
     assert len(got) == 5 and got["picked"].all() and (got["id"] < 100).sum() == 1
 
 
+def regime_events(spark, vectors, reveals):
+    d = spark.createDataFrame([("s", i, v) for i, v in enumerate(vectors)], "stream_id string, step long, e array<double>")
+    r = spark.createDataFrame([("s", *x) for x in reveals], "stream_id string, step long, reveal_step long, reward double, batch_accuracy double, label_rate double")
+    return G.feedback_events(d, r, "e")
+
+
 def test_regimes_come_back(spark):
-    rows = [("s", i, [1.0, 0.0] if (i // 5) % 2 == 0 else [0.0, 1.0]) for i in range(20)]
-    got = G.assign_regimes(spark.createDataFrame(rows, "stream_id string, step long, e array<double>"), "e", 2, rows=20)
-    pdf = got.orderBy("step").toPandas()
+    events = regime_events(spark, [[1.0, 0.0] if (i // 5) % 2 == 0 else [0.0, 1.0] for i in range(20)], [])
+    pdf = G.assign_regimes(events, 2).orderBy("step").toPandas()
     assert pdf["prototype"].tolist() == ([0] * 5 + [1] * 5) * 2 and pdf["prototypes"].max() == 2
 
 
+def test_a_reveal_reaches_the_prototype_of_its_decision(spark):
+    # Step 1 founds prototype 1; its labels come at step 4, while prototype 0 is at work.
+    events = regime_events(spark, [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0]], [(1, 4, 0.9, 0.95, 0.2), (0, 4, 0.1, 0.3, 0.2)])
+    out = G.assign_regimes(events, 2).toPandas()
+    first, second = (out[(out["kind"] == 1) & (out["step"] == s)].iloc[0] for s in (0, 1))
+    # Step 0 is told first: 0.3 is below 0.82 * 0.5 + 0.18 * 0.3; then 0.95 is above its running mean.
+    assert (first["prototype"], first["successful"], second["prototype"], second["successful"]) == (0, False, 1, True)
+    assert abs(second["prototype_reward"] - (0.84 * 0.5 + 0.16 * 0.9)) < 1e-12 and abs(first["prototype_reward"] - (0.84 * 0.5 + 0.16 * 0.1)) < 1e-12
+    later = out[(out["kind"] == 0) & (out["step"] == 5)].iloc[0]
+    assert later["prototype"] == 1 and abs(later["prototype_reward"] - second["prototype_reward"]) < 1e-12
+    last = {r["prototype"]: r for r in G.last_prototypes(events, 2).collect()}
+    assert last[1]["last_seen_step"] == 5 and last[1]["count"] == 2 and abs(last[1]["reward"] - second["prototype_reward"]) < 1e-12
+
+
+def test_the_weakest_prototype_gives_way(spark):
+    axes = np.eye(4)
+    events = regime_events(spark, [axes[0].tolist(), axes[1].tolist(), axes[2].tolist()], [(0, 1, 1.0, 0.9, 0.5)])
+    out = G.assign_regimes(events, 4, limit=2).toPandas()
+    assert out[(out["kind"] == 0) & (out["step"] == 2)].iloc[0]["prototype"] == 1
+
+
 def test_unrevealed_decisions_come_out_after_the_watermark(spark, tmp_path):
     ts = pd.date_range("2024-01-01", periods=40, freq="h")
     far = pd.Timestamp("2024-02-01")
@@ -159,3 +185,49 @@ def test_inputs_of_residual_learning_are_those_of_the_reveal(spark):
         weight = 1 / (1 + 0.06 * max(0, t - i - 1) + 0.03 * max(0, len(ages) - 1) + 0.35 * stale)
         want = (score[t] - (score[t - 1] if t else 0), running[t], known, stale, weight)
         assert all(abs(a - b) < 1e-9 for a, b in zip(got[i][2:], want)), (i, got[i], want)
+
+
+def test_residual_learning_step_by_step(spark):
+    rng = np.random.default_rng(9)
+    n, width, rank = 60, 3, 2
+    rows = []
+    for i in range(n):
+        rows.append(("s", i, rng.normal(size=width).tolist(), float(rng.uniform(-1, 1)), float(rng.random()), float(rng.random()), float(rng.uniform(0.2, 1.2)),
+                     float(rng.random()), int(rng.integers(-1, 3)), float(rng.random()), float(rng.random()), float(rng.random()), (rng.random(3) * rng.integers(0, 2, 3)).tolist(),
+                     (5 * rng.normal(size=rank)).tolist(), float(5 * rng.normal()), bool(i % 3)))
+    df = spark.createDataFrame(rows, "stream_id string, step long, x array<double>, mean_residual double, label_rate double, mean_p double, delay_weight double, stale_share double, "
+                               "prototype int, recurrence double, similarity double, reward double, gates array<double>, rank_gradient array<double>, rank_bias_gradient double, learn_ranks boolean")
+    got = M.residual_path(df, width, rank).orderBy("step").collect()
+
+    def clip(v, b):
+        return float(np.clip(v, -b, b))
+
+    gw, gb, gr, gt = np.zeros(width), 0.0, 0.0, 0.0
+    ew, eb, et = np.zeros((3, width)), np.zeros(3), np.zeros(3)
+    protos, rw, rb = {}, np.zeros(rank), 0.0
+    for out, (_, _, x, res, rate, p, weight, stale, k, rec, sim, reward, gates, grad, bgrad, ranks) in zip(got, rows):
+        x, grad, w = np.array(x), np.array(grad), min(max(weight, 0.35), 1)
+        lr, tlr = 0.12 * w, 0.04 * w
+        gap = clip(rate - p, 1)
+        short, push = clip(0.65 * res + 0.35 * gap, 1), clip(-gap, 0.5)
+        gw += lr * res * x
+        gb, gr, gt = clip(gb + lr * res, 0.75), clip(0.82 * gr + 0.18 * short, 0.75), clip(gt + tlr * push, 0.15)
+        if ranks:
+            step = 0.035 * w * min(max(1 - 0.25 * stale, 0.6), 1)
+            rw, rb = np.clip(rw + step * grad, -0.45, 0.45), clip(rb + step * bgrad, 0.35)
+        for e, g in enumerate(gates):
+            if g > 0.05:
+                ew[e] = np.clip(ew[e] + lr * g * short * x, -0.6, 0.6)
+                eb[e], et[e] = clip(eb[e] + lr * g * short, 0.75), clip(et[e] + tlr * g * push, 0.15)
+        delta, shift = gw @ x + gb + gr, gt
+        if k >= 0:
+            pw, pb, pr, pt = protos.get(k, (np.zeros(width), 0.0, 0.0, 0.0))
+            local = lr * min(max(0.5 + 0.35 * rec + 0.15 * sim, 0.4), 1.15)
+            protos[k] = pw, pb, pr, pt = (np.clip(pw + local * short * x, -0.5, 0.5), clip(pb + lr * gap, 0.75), clip(0.78 * pr + 0.22 * short, 0.75),
+                                          clip(pt + 1.15 * tlr * push, 0.15))
+            trust = min(max(0.55 * rec + 0.3 * sim + 0.15 * max(0, reward - 0.5), 0), 1)
+            delta, shift = delta + trust * (pw @ x + pb) + pr, shift + pt
+        delta += sum(g * (ew[e] @ x + eb[e]) for e, g in enumerate(gates))
+        shift += sum(g * et[e] for e, g in enumerate(gates))
+        assert abs(out["delta"] - clip(delta, 0.95)) < 1e-9 and abs(out["threshold"] - min(max(0.5 + clip(shift, 0.2), 0.05), 0.95)) < 1e-9
+        assert np.allclose(out["rank_weights"], rw) and abs(out["rank_bias"] - rb) < 1e-9
