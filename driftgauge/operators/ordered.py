@@ -23,8 +23,8 @@ from driftgauge.session import settled, single_task_rows
 
 SLOT = "_slot"
 ALL = "_all"
-#: Steps of a chunk in a composed scan.
-SCAN_ROWS = 8192
+#: Steps of a chunk in a composed scan, and chunks of a run.
+SCAN_ROWS = 512
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -192,6 +192,25 @@ def ordered_fold(
     return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, step).mapInPandas(run, schema)
 
 
+def _stepped(x: Column, y: Column, low: Column, high: Column, v: Column) -> Column:
+    """min(high, max(low, x * v + y)); a slope of 0 forgets an infinite v."""
+    return F.least(high, F.greatest(low, F.when(x == 0, y).otherwise(x * v + y)))
+
+
+def _then(first: Column, second: Column, names: Sequence[str]) -> Column:
+    """The maps (a, b, low, high) of `first` followed by those of `second`, by name."""
+    def one(n: str) -> Column:
+        f, g = first[n], second[n]
+        past = lambda v: _stepped(g["a"], g["b"], g["low"], g["high"], v)
+        return F.struct((g["a"] * f["a"]).alias("a"), (g["a"] * f["b"] + g["b"]).alias("b"), past(f["low"]).alias("low"), past(f["high"]).alias("high")).alias(n)
+
+    return F.struct(*[one(n) for n in names])
+
+
+def _applied(maps: Column, values: Column, names: Sequence[str]) -> Column:
+    return F.struct(*[_stepped(maps[n]["a"], maps[n]["b"], maps[n]["low"], maps[n]["high"], values[n]).alias(n) for n in names])
+
+
 def clamped_scan(
     df: DataFrame,
     keys: Sequence[str],
@@ -202,49 +221,39 @@ def clamped_scan(
 ) -> DataFrame:
     """Running values `v = min(high, max(low, slope * v + shift))` along `step` of each key, for keys of any length.
 
-    maps: name -> (slope >= 0, shift, low, high, start). Such maps compose to one of their kind, so every chunk of steps is first
-    reduced to one map, the few chunk rows of a key give each chunk's exact start, and all chunks are then evaluated at once. Every row is read twice.
+    maps: name -> (slope >= 0, shift, low, high, start). Such maps compose to one of their kind, so steps are gathered into chunks of `chunk` steps and each
+    is reduced to one map; up to `chunk` chunks form a run, inside which the maps of earlier chunks are composed by a window; the
+    few runs of a key give each run its exact start. All of it stays in the JVM, with one shuffle of the rows, by run; no task holds more than a run.
     """
     keys, keep, names = list(keys), list(keep), list(maps)
-    coefficients = [c for n in names for c in (f"_a_{n}", f"_b_{n}")]
-    bounds = [(float(maps[n][2]), float(maps[n][3])) for n in names]
-    base = df.select(*keys, step, *keep, *[c.cast("double").alias(f"_{k}_{n}") for n in names for k, c in zip("ab", maps[n][:2])],
-                     F.floor(F.col(step) / chunk).cast("long").alias("_chunk"))
-    composed = T.StructType([*(base.schema[c] for c in [*keys, "_chunk"]),
-                             *(T.StructField(f"_{x}_{n}", T.DoubleType()) for n in names for x in "abcd")])
-
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step, kind="stable")
-        out = pdf[[*keys, "_chunk"]].iloc[:1].reset_index(drop=True)
-        for n, (low, high) in zip(names, bounds):
-            a, b, c, d = 1.0, 0.0, -np.inf, np.inf
-            for x, y in zip(pdf[f"_a_{n}"].to_numpy(), pdf[f"_b_{n}"].to_numpy()):
-                c, d = (min(high, max(low, (x * v if x else 0.0) + y)) for v in (c, d))
-                a, b = x * a, x * b + y
-            out[f"_a_{n}"], out[f"_b_{n}"], out[f"_c_{n}"], out[f"_d_{n}"] = a, b, c, d
-        return out[[f.name for f in composed]]
-
-    def follow(state: np.ndarray, pdf: pd.DataFrame) -> tuple[np.ndarray, pd.DataFrame]:
-        rows = []
-        for r in pdf[[f"_{x}_{n}" for n in names for x in "abcd"]].to_numpy().reshape(len(pdf), len(names), 4):
-            rows.append(state)
-            state = np.minimum(r[:, 3], np.maximum(r[:, 2], r[:, 0] * state + r[:, 1]))
-        return state, pd.DataFrame(np.array(rows), columns=[f"_s_{n}" for n in names])
-
-    starts = ordered_fold(base.groupBy(*keys, "_chunk").applyInPandas(reduce, composed), keys, "_chunk", [maps[n][4] for n in names], follow,
-                          [T.StructField(f"_s_{n}", T.DoubleType()) for n in names])
-    result = T.StructType([*(base.schema[c] for c in [*keys, step, *keep]), *(T.StructField(n, T.DoubleType()) for n in names)])
-
-    def evaluate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step, kind="stable")
-        for n, (low, high) in zip(names, bounds):
-            v, out = float(pdf[f"_s_{n}"].iloc[0]), np.empty(len(pdf))
-            for i, (x, y) in enumerate(zip(pdf[f"_a_{n}"].to_numpy(), pdf[f"_b_{n}"].to_numpy())):
-                out[i] = v = min(high, max(low, x * v + y))
-            pdf[n] = out
-        return pdf[[f.name for f in result]]
-
-    return base.join(starts, [*keys, "_chunk"]).groupBy(*keys, "_chunk").applyInPandas(evaluate, result)
+    free = float("inf")
+    low, high, start = ({n: float(maps[n][i]) for n in names} for i in (2, 3, 4))
+    maps_of = F.struct(*[F.struct(maps[n][0].cast("double").alias("a"), maps[n][1].cast("double").alias("b"), F.lit(low[n]).alias("low"), F.lit(high[n]).alias("high")).alias(n)
+                         for n in names])
+    nothing = F.struct(*[F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(-free).alias("low"), F.lit(free).alias("high")).alias(n) for n in names])
+    initial = F.struct(*[F.lit(start[n]).alias(n) for n in names])
+    place = F.floor(F.col(step) / chunk).cast("long")
+    rows = df.select(*keys, F.floor(place / chunk).cast("long").alias("_run"), place.alias("_chunk"), F.struct(step, *keep, maps_of.alias("_maps")).alias("_row"))
+    # One shuffle serves the chunks and the window over them.
+    chunks = rows.repartition(*keys, "_run").groupBy(*keys, "_run", "_chunk").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
+    own = chunks.withColumn("_own", F.aggregate("_rows", nothing, lambda m, r: _then(m, r["_maps"], names)))
+    before = Window.partitionBy(*keys, "_run").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    led = own.withColumn("_led", F.aggregate(F.collect_list("_own").over(before), nothing, lambda m, c: _then(m, c, names)))
+    runs = led.groupBy(*keys, "_run").agg(F.max_by(_then(F.col("_led"), F.col("_own"), names), "_chunk").alias("_all")) \
+        .groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_run", "_all"))).alias("_runs"))
+    ahead = F.aggregate("_runs", F.struct(initial.alias("v"), F.array().cast(f"array<struct<_run:bigint,_first:struct<{','.join(f'`{n}`:double' for n in names)}>>>").alias("out")),
+                        lambda s, r: F.struct(_applied(r["_all"], s["v"], names).alias("v"), F.array_append(s["out"], F.struct(r["_run"].alias("_run"), s["v"].alias("_first"))).alias("out")))
+    starts = runs.select(*keys, F.explode(ahead["out"]).alias("_s")).select(*keys, "_s.*")
+    both = led.join(starts, [*keys, "_run"])
+    values = F.aggregate("_rows", F.struct(_applied(F.col("_led"), F.col("_first"), names).alias("v"), F.array().cast(
+        f"array<struct<{','.join(f'`{n}`:double' for n in names)}>>").alias("out")), lambda s, r: _follow(s, r, names), lambda s: s["out"])
+    each = both.select(*keys, F.explode(F.arrays_zip(F.col("_rows").alias("r"), values.alias("v"))).alias("_z"))
+    return each.select(*keys, *[F.col(f"_z.r.{c}").alias(c) for c in [step, *keep]], *[F.col(f"_z.v.{n}").alias(n) for n in names])
+
+
+def _follow(s: Column, r: Column, names: Sequence[str]) -> Column:
+    v = _applied(r["_maps"], s["v"], names)
+    return F.struct(v.alias("v"), F.array_append(s["out"], v).alias("out"))
 
 
 def bounded_windows(

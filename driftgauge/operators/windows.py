@@ -172,6 +172,39 @@ def adaptive_window(df: DataFrame, value: str, delta: float = 0.002) -> DataFram
     return ordered_fold(df.select("stream_id", "step", value), ["stream_id"], "step", [], block, fields)
 
 
+def bucketed_window(df: DataFrame, value: str, delta: float = 0.002, most: int = 5) -> DataFrame:
+    """Adaptive windowing over an exponential histogram: splits are tried between buckets only, so a value costs O(log n) work and a stream O(log n) state.
+
+    Buckets hold 1, 2, 4, ... values, at most `most` of each size, the oldest first; the two oldest of a size that has too many become one of
+    the next size. The window is cut at the first split whose two means differ too much. For short streams `adaptive_window` tries every split.
+    """
+    def block(state, pdf):
+        levels, sums = list(state[0]), list(state[1])
+        out = []
+        for x in pdf[value].to_numpy(float):
+            levels.append(0)
+            sums.append(x)
+            level = 0
+            while levels.count(level) > most:
+                i = levels.index(level)
+                levels[i:i + 2], sums[i:i + 2] = [level + 1], [sums[i] + sums[i + 1]]
+                level += 1
+            sizes = np.exp2(levels)
+            n, cut = sizes.sum(), False
+            if n >= 8:
+                n0, head = np.cumsum(sizes)[:-1], np.cumsum(sums)
+                n1 = n - n0
+                wide = np.abs(head[:-1] / n0 - (head[-1] - head[:-1]) / n1) >= np.sqrt(0.5 * (1 / n0 + 1 / n1) * np.log(2 * n / delta))
+                if wide.any():
+                    cut, first = True, int(np.argmax(wide)) + 1
+                    levels, sums = levels[first:], sums[first:]
+            out.append((int(np.exp2(levels).sum()), len(levels), cut))
+        return (levels, sums), pd.DataFrame(out, columns=["window_size", "buckets", "drift"])
+
+    fields = [T.StructField("window_size", T.LongType()), T.StructField("buckets", T.LongType()), T.StructField("drift", T.BooleanType())]
+    return ordered_fold(df.select("stream_id", "step", value), ["stream_id"], "step", lambda: ([], []), block, fields)
+
+
 def score_histograms(batched: DataFrame, value: str = "p", bins: int = 10) -> DataFrame:
     b = F.least(F.floor(F.col(value) * bins), F.lit(bins - 1))
     got = batched.groupBy("stream_id", "step").agg(*[F.count_if(b == i).cast("double").alias(f"_b{i}")
@@ -243,22 +276,24 @@ def temporal_context(rows_df: DataFrame, key: str, time: str, features: Sequence
     base = base.withColumn("gap", gap)
     mid = exact_quantiles(base.where(F.col("gap") > 0).select(key, "gap"), [key], "gap", {"_median": 0.5}, rows)
 
-    def block(state, pdf):
-        x = pdf[list(features)].to_numpy(float)
-        short0, long0 = (state[1:1 + k], state[1 + k:]) if state[0] else (x[0], x[0])
-        after = [np.column_stack([ewm(x[:, j], d, s[j]) for j in range(k)])
-                 for d, s in ((0.85, short0), (0.97, long0))]
-        before = [np.vstack([s, a[:-1]]) for s, a in zip((short0, long0), after)]
-        ds, dl = x - before[0], x - before[1]
-        out = pd.DataFrame({
-            "short_abs": np.abs(ds).mean(axis=1), "long_abs": np.abs(dl).mean(axis=1),
-            "short_rms": np.sqrt((ds ** 2).mean(axis=1)), "trend": (before[0] - before[1]).mean(axis=1)})
-        return np.concatenate([[1.0], after[0][-1], after[1][-1]]), out
-
-    fields = [T.StructField(n, DOUBLE) for n in ("short_abs", "long_abs", "short_rms", "trend")]
-    need = base.select(key, "idx", *features)
-    ctx = ordered_fold(need, [key], "idx", [0.0] * (1 + 2 * k), block, fields)
-    joined = base.join(mid, key, "left").join(ctx, [key, "idx"])
+    # Running means start at the first row; the mean before a row follows from the mean after it.
+    first, free = F.col("idx") == 0, float("inf")
+    decays = {"_short": 0.85, "_long": 0.97}
+    scan = {f"{n}{j}": (F.when(first, 0.0).otherwise(d), F.when(first, F.col(f)).otherwise((1 - d) * F.col(f)), -free, free, 0.0)
+            for n, d in decays.items() for j, f in enumerate(features)}
+    joined = clamped_scan(base, [key], "idx", scan, [c for c in base.columns if c not in (key, "idx")]).join(mid, key, "left")
+
+    def before(n: str, j: int) -> Column:
+        x, d = F.col(features[j]).cast("double"), decays[n]
+        return F.when(first, x).otherwise((F.col(f"{n}{j}") - (1 - d) * x) / d)
+
+    def over(make) -> Column:
+        return sum((make(j) for j in range(k)), F.lit(0.0)) / k
+
+    off = lambda n: lambda j: F.col(features[j]) - before(n, j)
+    joined = joined.withColumns({
+        "short_abs": over(lambda j: F.abs(off("_short")(j))), "long_abs": over(lambda j: F.abs(off("_long")(j))),
+        "short_rms": F.sqrt(over(lambda j: off("_short")(j) * off("_short")(j))), "trend": over(lambda j: before("_short", j) - before("_long", j))})
     mean = sum((F.col(f) for f in features), F.lit(0.0)) / k
     var = sum(((F.col(f) - mean) * (F.col(f) - mean) for f in features), F.lit(0.0)) / k
     return joined.select(

@@ -111,12 +111,41 @@ def page_hinkley(spark, folder):
     return p.select("stream_id", "step", r6("statistic"), "drift")
 
 
-@query("adaptive_window")
+_ERRORS = C.line_sql("er AS (SELECT stream_id, step, (1-batch_accuracy)::DOUBLE AS x FROM stats)", upto="stats")
+
+
+# c holds the running sums of the window.
+@query("adaptive_window", _ERRORS.rstrip() + """, aw(stream_id, step, c, drift) AS (SELECT stream_id, -1::BIGINT, CAST([] AS DOUBLE[]), false FROM er WHERE step=0
+ UNION ALL SELECT stream_id, step, CASE WHEN hit IS NULL THEN c1 ELSE list_transform(c1[hit+1:n], lambda v: v-c1[hit]) END, hit IS NOT NULL
+ FROM (SELECT *, CASE WHEN n>=8 THEN list_filter(range(1, n), lambda i: abs(c1[i]/i-(c1[n]-c1[i])/(n-i))>=sqrt(0.5*(1.0/i+1.0/(n-i))*ln(2.0*n/0.002)))[1] END AS hit
+  FROM (SELECT *, len(c1) AS n FROM (SELECT e.stream_id, e.step, list_append(a.c, coalesce(a.c[-1],0)+e.x) AS c1 FROM aw a JOIN er e ON e.stream_id=a.stream_id AND e.step=a.step+1))))
+SELECT stream_id, step, len(c) AS window_size, drift FROM aw WHERE step>=0""")
 def adaptive_window(spark, folder):
     s = C.line_stats(spark, folder).withColumn("error", 1 - F.col("batch_accuracy"))
     return W.adaptive_window(s, "error")
 
 
+# Merging runs over the levels: each element of the reduced list after the first only names a level.
+_MERGED = """list_reduce(list_concat([list_append(b.w, struct_pack(k:=0::BIGINT, s:=e.x))], list_transform(range(0, 24), lambda l: [struct_pack(k:=l, s:=0.0::DOUBLE)])),
+ lambda a, d: CASE WHEN len(list_filter(a, lambda z: z.k=d[1].k))<=5 THEN a ELSE list_concat(list_concat(a[1:list_position(list_transform(a, lambda z: z.k), d[1].k)-1],
+  [struct_pack(k:=d[1].k+1, s:=a[list_position(list_transform(a, lambda z: z.k), d[1].k)].s+a[list_position(list_transform(a, lambda z: z.k), d[1].k)+1].s)]),
+  a[list_position(list_transform(a, lambda z: z.k), d[1].k)+2:]) END)"""
+_N0 = "list_sum(list_transform(w1[1:i], lambda z: pow(2.0,z.k)))"
+_S0 = "list_sum(list_transform(w1[1:i], lambda z: z.s))"
+
+
+@query("bucketed_window", _ERRORS.rstrip() + f""", bw(stream_id, step, w, drift) AS (SELECT stream_id, -1::BIGINT, CAST([] AS STRUCT(k BIGINT, s DOUBLE)[]), false FROM er WHERE step=0
+ UNION ALL SELECT stream_id, step, CASE WHEN hit IS NULL THEN w1 ELSE w1[hit+1:] END, hit IS NOT NULL
+ FROM (SELECT *, CASE WHEN n>=8 THEN list_filter(range(1, len(w1)), lambda i: abs({_S0}/{_N0}-(t-{_S0})/(n-{_N0}))>=sqrt(0.5*(1.0/{_N0}+1.0/(n-{_N0}))*ln(2.0*n/0.002)))[1] END AS hit
+  FROM (SELECT *, list_sum(list_transform(w1, lambda z: pow(2.0,z.k))) AS n, list_sum(list_transform(w1, lambda z: z.s)) AS t
+   FROM (SELECT e.stream_id, e.step, {_MERGED} AS w1 FROM bw b JOIN er e ON e.stream_id=b.stream_id AND e.step=b.step+1))))
+SELECT stream_id, step, CAST(list_sum(list_transform(w, lambda z: pow(2.0,z.k))) AS BIGINT) AS window_size, len(w) AS buckets, drift FROM bw WHERE step>=0""")
+def bucketed_window(spark, folder):
+    """The adaptive window with logarithmic state."""
+    s = C.line_stats(spark, folder).withColumn("error", 1 - F.col("batch_accuracy"))
+    return W.bucketed_window(s, "error")
+
+
 _PSI = "+".join(f"(greatest(c{i}/240.0,1e-4)-r{i})*ln(greatest(c{i}/240.0,1e-4)/r{i})" for i in range(10))
 _HIST = ", ".join(f"count(*) FILTER (WHERE least(floor(p*10),9)={i}) AS b{i}" for i in range(10))
 

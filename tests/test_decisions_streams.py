@@ -82,6 +82,15 @@ def test_adaptive_window_finds_a_jump(spark):
     assert 200 <= first < 240 and not got[got["step"] < 200]["drift"].any()
 
 
+def test_bucketed_window_of_a_long_stream(spark):
+    n = 100_000
+    df = spark.range(n).select(F.lit("s").alias("stream_id"), F.col("id").alias("step"), F.when(F.col("id") < 60_000, 0.1).otherwise(0.3).alias("e"))
+    got = W.bucketed_window(df, "e").toPandas().sort_values("step")
+    first = got[got["drift"]]["step"].min()
+    assert 60_000 <= first < 60_400 and got["buckets"].max() <= 5 * 17 and got["window_size"].iloc[-1] < 41_000
+    assert not got[got["step"] < 60_000]["drift"].any()
+
+
 def test_rolling_index_restarts(spark):
     h = [[48.0] + [0.0] * 9] * 5 + [[0.0] * 9 + [48.0]] * 12
     df = spark.createDataFrame([("s", i, x) for i, x in enumerate(h)], "stream_id string, step long, counts array<double>")
