@@ -2,73 +2,116 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.mllib.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgauge.operators.ordered import row_index
 from driftgauge.operators.prepare import StandardScale
+from driftgauge.session import settled
 
 WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
 
 def terms(texts: DataFrame, key: str, text: str, stop_words: Sequence[str] = (), pairs: bool = True) -> DataFrame:
-    """(key, terms): words of two and more characters without stop words, and pairs of neighbours."""
+    """(key, term, tf): the words of two and more characters without stop words, and pairs of neighbours, with their counts; written once.
+
+    Texts are dealt by key and split once, so that occurrences are counted where they lie: no occurrence is shuffled.
+    """
     words = F.filter(F.split(F.lower(F.col(text)), WORD_BREAK), lambda w: F.length(w) >= 2)
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(*stop_words))
-    out = texts.select(key, words.alias("_w"))
+    # Written, so that each step reads the words of a text as they are.
+    out = settled(texts.select(key, text).repartition(key).select(key, words.alias("_w"))).repartition(key)
     both = F.col("_w")
     if pairs:
-        n = F.size("_w")
-        after = F.slice("_w", 2, F.greatest(n - 1, F.lit(0)))
-        before = F.slice("_w", 1, F.greatest(n - 1, F.lit(0)))
-        both = F.concat("_w", F.zip_with(before, after, lambda a, b: F.concat_ws(" ", a, b)))
-    return out.select(key, both.alias("terms"))
+        n = F.greatest(F.size("_w") - 1, F.lit(0))
+        both = F.concat("_w", F.zip_with(F.slice("_w", 1, n), F.slice("_w", 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return settled(out.select(key, F.explode(both).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
 def vocabulary(found: DataFrame, documents: int, least_df: int = 2, most: int = 4000) -> DataFrame:
     """The most frequent terms found in enough texts, with smoothed inverse frequency and a dense index.
 
-    Occurrences and texts of a term are summed in one shuffle by term, after partial sums.
+    A term of a text is one row; occurrences and texts of a term are summed in one shuffle by term, after partial sums.
     """
-    marks = F.concat(
-        F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("occurs"), F.lit(0).alias("holds"))),
-        F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("occurs"), F.lit(1).alias("holds"))))
-    df = found.select(F.explode(marks).alias("m")).groupBy("m.term").agg(
-        F.sum("m.holds").alias("df"), F.sum("m.occurs").alias("total")).where(F.col("df") >= least_df)
+    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= least_df)
     top = df.orderBy(F.desc("total"), "term").limit(most)
     top = row_index(top, [], [F.col("term")], most, index="term_id")
     return top.withColumn("idf", F.log((1.0 + documents) / (1.0 + F.col("df"))) + 1.0)
 
 
 def weighted_terms(found: DataFrame, vocab: DataFrame, key: str) -> DataFrame:
-    """tf * idf at unit length per text. Terms outside the vocabulary go before anything is shuffled by text."""
-    known = found.select(key, F.explode("terms").alias("term")).join(vocab.select("term", "term_id", "idf"), "term")
-    w = known.groupBy(key, "term", "term_id", "idf").agg(F.count(F.lit(1)).alias("tf")).withColumn("_x", F.col("tf") * F.col("idf"))
+    """tf * idf at unit length per text. The vocabulary, `most` rows at most, goes to the terms; only terms it knows are shuffled, by text."""
+    known = found.join(F.broadcast(vocab.select("term", "term_id", "idf")), "term")
+    w = known.withColumn("_x", F.col("tf") * F.col("idf"))
     size = F.sqrt(F.sum(F.col("_x") * F.col("_x")).over(Window.partitionBy(key)))
     return w.select(key, "term", "term_id", (F.col("_x") / size).alias("weight"))
 
 
-def reduced(weights: DataFrame, key: str, width: int, dims: int) -> DataFrame:
-    """Truncated singular value decomposition of the weights, then scaling to unit deviation.
+def _blocks(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
+    """W^T (W B) for the sparse rows W of all texts: one sum per task, added by row of the result."""
+    width, k = basis.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, k))
+        for batch in batches:
+            ids, weights = (batch.column(i) for i in (0, 1))
+            at, x = ids.flatten().to_numpy(), weights.flatten().to_numpy()
+            row = np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy())
+            y = np.zeros((len(ids), k))
+            np.add.at(y, row, x[:, None] * basis[at])
+            np.add.at(total, at, x[:, None] * y[row])
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(width), pa.int64()), "row": pa.array(list(total), pa.list_(pa.float64()))})
+
+    sums = rows.mapInArrow(run, "i long, row array<double>").groupBy("i").agg(*[F.sum(F.col("row")[j]).alias(f"s{j}") for j in range(k)]).collect()
+    made = np.zeros((width, k))
+    for r in sums:
+        made[r["i"]] = r[1:]
+    return made
 
-    A text has at most `width` weights, so its row of the matrix is bounded. One iterative solver serves every width.
+
+def axes_of(weights: DataFrame, key: str, width: int, dims: int, tolerance: float = 1e-7, rounds: int = 30, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The leading right singular vectors of the weights (width x dims), their squared singular values, and their residuals |W^T W v - s v| / s.
+
+    Randomised range finder by blocks: a few random directions are multiplied by W^T W, one pass over the rows in Arrow blocks, and each product, made
+    orthogonal to all before it, is the next block, so the space grows by what the last pass found. It ends when the residuals, of real products, are within
+    `tolerance`, and raises an error if they are not after `rounds` passes. The driver holds width x (rounds + 1) (dims + 4) numbers at most.
     """
-    rows = weights.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("v"))
-    vectors = rows.rdd.map(lambda r: Vectors.sparse(width, [(int(x[0]), float(x[1])) for x in r["v"]]))
-    vectors = vectors.cache()
-    axes = RowMatrix(vectors).computeSVD(dims).V.toArray()
-    vectors.unpersist()
+    k = min(width, dims + 4)
+    rows = settled(weights.groupBy(key).agg(F.collect_list(F.struct("term_id", "weight")).alias("v")).select(
+        F.transform("v", lambda x: x["term_id"].cast("long")).alias("i"), F.transform("v", lambda x: x["weight"]).alias("x")))
+    block = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, k)))[0]
+    space, images = np.zeros((width, 0)), np.zeros((width, 0))
+    for _ in range(rounds):
+        moved = _blocks(rows, block)
+        space, images = np.hstack([space, block]), np.hstack([images, moved])
+        values, turn = np.linalg.eigh(space.T @ images + images.T @ space)
+        values, turn = values[::-1][:dims] / 2, turn[:, ::-1][:, :dims]
+        vectors = space @ turn
+        residual = np.linalg.norm(images @ turn - vectors * values, axis=0) / np.maximum(values, 1e-300)
+        live = values > 1e-12 * max(values[0], 1e-300)
+        if not live.any() or residual[live].max() <= tolerance or space.shape[1] >= width:
+            return vectors, values, np.where(live, residual, 0.0)
+        for _ in range(2):  # twice, as once leaves rounding along the space
+            moved = moved - space @ (space.T @ moved)
+        block = np.linalg.qr(moved)[0]
+        block = block - space @ (space.T @ block)
+        block = np.linalg.qr(block)[0][:, :width - space.shape[1]]
+    raise RuntimeError(f"axes of the terms are not converged after {rounds} passes: residual {residual.max():.3g}")
+
+
+def reduced(weights: DataFrame, key: str, width: int, dims: int) -> DataFrame:
+    """Truncated singular value decomposition of the weights, then scaling to unit deviation."""
+    axes, _, _ = axes_of(weights, key, width, dims)
     # An axis may point either way; its largest entry is made positive.
     axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), range(axes.shape[1])])
     basis = weights.sparkSession.createDataFrame(
         [(i, [float(x) for x in row]) for i, row in enumerate(axes)], "term_id long, axis array<double>")
     names = [f"d{i}" for i in range(axes.shape[1])]
-    out = weights.join(basis, "term_id").groupBy(key).agg(
+    out = weights.join(F.broadcast(basis), "term_id").groupBy(key).agg(
         *[F.sum(F.col("weight") * F.col("axis")[i]).alias(n) for i, n in enumerate(names)])
     return StandardScale.fit(out, names).apply(out)
