@@ -72,11 +72,20 @@ def with_fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFr
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp.view(np.uint16).reshape(-1, 4)).astype(np.int16)
+    return np.bitwise_count(np.ascontiguousarray(fp).view(np.uint16).reshape(len(fp), -1)).astype(np.int16)
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of all pairs; a fingerprint is a row of one or more words."""
+    total = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0])
+    for i in range(1, a.shape[1]):
+        total = total + np.bitwise_count(a[:, None, i] ^ b[None, :, i])
+    return total
 
 
 def near(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs with at most `radius` differing bits, one pair of strips at a time."""
+    """All index pairs with at most `radius` differing bits, one pair of strips at a time. a, b: one number or one row of numbers each."""
+    a, b = (x.reshape(len(x), -1) for x in (a, b))
     qa, qb = _quarters(a), _quarters(b)
     oa, ob = (np.lexsort(q.T) for q in (qa, qb))
     a, b, qa, qb = a[oa], b[ob], qa[oa], qb[ob]
@@ -86,14 +95,15 @@ def near(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray
         la, ha = qa[i:i + STRIP].min(0), qa[i:i + STRIP].max(0)
         gap = np.maximum(0, np.maximum(low - ha, la - high)).sum(1)
         for j in cuts[gap <= radius]:
-            x, y = np.nonzero(np.bitwise_count(a[i:i + STRIP, None] ^ b[None, j:j + STRIP]) <= radius)
+            x, y = np.nonzero(_apart(a[i:i + STRIP], b[j:j + STRIP]) <= radius)
             if len(x):
                 yield oa[x + i], ob[y + j]
 
 
-def _tile_links(radius: int):
+def _tile_links(radius: int, parts: list[str], name: str):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        fp, second = table.column("fp").to_numpy().view(np.uint64), table.column("second").to_numpy()
+        fp, second = np.column_stack([table.column(c).to_numpy().view(np.uint64) for c in parts]), table.column("second").to_numpy()
+        ids = table.column(name).to_numpy()
         a = np.flatnonzero(~second)
         b = a if key[0].as_py() == key[1].as_py() else np.flatnonzero(second)
         root, held, n_held = np.arange(len(fp)), [], 0
@@ -105,7 +115,7 @@ def _tile_links(radius: int):
                     root, held, n_held = _fold(root, held), [], 0
         root = _fold(root, held)
         child = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.table({"a": pa.array(fp[child].view(np.int64)), "b": pa.array(fp[root[child]].view(np.int64))})
+        return pa.table({"a": pa.array(ids[child]), "b": pa.array(ids[root[child]])})
 
     return run
 
@@ -116,12 +126,12 @@ def _fold(root: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> np.nda
     return forest(len(root), x, y)
 
 
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Distinct fingerprints (fp long) -> spanning links (a, b) of all pairs within the radius."""
-    counted = fps.withColumn("pop", F.bit_count("fp").cast("int"))
-    counts = {r["pop"]: r["n"] for r in counted.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
+def links(fps: DataFrame, radius: int = 4, parts: tuple[str, ...] = ("fp",), name: str = "fp") -> DataFrame:
+    """Vertices (`name`, a long, and the words of their fingerprints, `parts`) -> spanning links (a, b) of all pairs within the radius."""
+    counted = fps.withColumn("pop", sum((F.bit_count(c).cast("int") for c in parts), F.lit(0)))
+    counts = {r["pop"]: r["n"] for r in counted.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # a row per possible count at most
     if not counts:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+        return fps.select(F.col(name).alias("a"), F.col(name).alias("b"))
     tile = min(TILE_MOST, max(STRIP, sum(counts.values()) // TILES_LEAST))
     blocks = {p: -(-n // tile) for p, n in counts.items()}
     # Tiles are numbered in the order of their population count.
@@ -132,16 +142,17 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     bottoms = {p: min(first[x] for x in blocks if p - radius <= x <= p) for p in blocks}
 
     def lookup(d: dict[int, int]):
-        return F.element_at(F.array(*[F.lit(d.get(p, 0)) for p in range(65)]), F.col("pop") + 1)
+        return F.element_at(F.array(*[F.lit(d.get(p, 0)) for p in range(64 * len(parts) + 1)]), F.col("pop") + 1)
 
-    tiled = counted.withColumn("tile", lookup(first) + F.pmod(F.xxhash64("fp"), F.greatest(lookup(blocks), F.lit(1))).cast("int"))
+    tiled = counted.withColumn("tile", lookup(first) + F.pmod(F.xxhash64(name), F.greatest(lookup(blocks), F.lit(1))).cast("int"))
     # A tile meets itself, the later tiles of its own count, and all tiles of counts up to the radius above.
-    as_first = tiled.select("fp", F.explode(F.sequence("tile", lookup({p: s[1] for p, s in spans.items()}) - 1)).alias("t2"), F.col("tile").alias("t1"),
+    kept = list(dict.fromkeys([name, *parts]))
+    as_first = tiled.select(*kept, F.explode(F.sequence("tile", lookup({p: s[1] for p, s in spans.items()}) - 1)).alias("t2"), F.col("tile").alias("t1"),
                             F.lit(False).alias("second"))
-    as_second = tiled.select("fp", F.col("tile").alias("t2"), F.explode(F.sequence(lookup(bottoms), "tile")).alias("t1"), F.lit(True).alias("second")) \
+    as_second = tiled.select(*kept, F.col("tile").alias("t2"), F.explode(F.sequence(lookup(bottoms), "tile")).alias("t1"), F.lit(True).alias("second")) \
         .filter("t1 < t2")
-    pairs = as_first.select("t1", "t2", "fp", "second").unionByName(as_second)
-    return pairs.groupBy("t1", "t2").applyInArrow(_tile_links(radius), "a long, b long")
+    pairs = as_first.select("t1", "t2", *kept, "second").unionByName(as_second)
+    return pairs.groupBy("t1", "t2").applyInArrow(_tile_links(radius, list(parts), name), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = 4, with_text: bool = True) -> DataFrame:
