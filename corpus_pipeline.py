@@ -1,6 +1,8 @@
 """Corpus pipeline: toxic documents go, one document of each near-duplicate group stays, repeated passages are cut, sources are mixed, texts become tokens.
 
-Every stage takes all rows its predecessor kept. Null or empty texts pass through; empty tables give empty tables; extra columns are kept until the last stage.
+Every stage takes all rows its predecessor kept. Null or empty texts are copies of each other, so one of them stays, and pass through otherwise; rows that repeat
+doc_id are rows of their own until the near-copy stage, where equal texts become one row; ties go to the smaller doc_id, a null one last; empty tables give
+empty tables; extra columns are kept until the last stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -8,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgauge.llm import bpe, mixing, queries, simhash, suffix, toxicity
+from driftgauge.llm import bpe, mixing, nearcopies, queries, suffix, toxicity
 from driftgauge.llm.common import written
 
 
@@ -19,8 +21,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays."""
-    return simhash.near_duplicates(docs).filter("keeper").select(*docs.columns)
+    """Of documents with a Jaccard of 0.8 or more over five-word shingles, found by wide SimHash fingerprints, the one with the smallest doc_id stays."""
+    return nearcopies.near_copies(docs).filter("keeper").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
