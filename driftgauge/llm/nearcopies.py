@@ -169,7 +169,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, least: float = LEAST, radiu
     vertices = marked.groupBy(F.col(same).alias("code")).agg(F.min(first).alias("first"), F.first(low).alias("low"), F.first(high).alias("high")) \
         .withColumn("vertex", F.col("first.row"))
     vertices = written(vertices)
-    groups = components(links(vertices.select("vertex", "low", "high"), radius, ("low", "high"), "vertex"))
+    groups = components(links(vertices.select("vertex", "low", "high"), radius, ("low", "high"), "vertex", twice=True))
     # Vertices with candidates, with the text of one of their rows, and their order by doc_id.
     placed = vertices.join(groups.select(F.col("id").alias("vertex"), F.col("component_id").alias("group")), "vertex").select("vertex", "group", F.col("first").alias("place"))
     texts = marked.select(F.col(row).alias("vertex"), "text").join(placed, "vertex")

@@ -100,13 +100,17 @@ def near(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray
                 yield oa[x + i], ob[y + j]
 
 
-def _tile_links(radius: int, parts: list[str], name: str):
+def _tile_links(radius: int, parts: list[str], name: str, rooted: bool = False):
+    """Links of a pair of tiles. rooted: vertices stand for the smallest one that their own tile links them to, so a pair links few of them."""
     def run(key: tuple, table: pa.Table) -> pa.Table:
         fp, second = np.column_stack([table.column(c).to_numpy().view(np.uint64) for c in parts]), table.column("second").to_numpy()
         ids = table.column(name).to_numpy()
         a = np.flatnonzero(~second)
         b = a if key[0].as_py() == key[1].as_py() else np.flatnonzero(second)
         root, held, n_held = np.arange(len(fp)), [], 0
+        if rooted:  # rows of one tile with one root are linked already
+            _, first, group = np.unique(np.column_stack([table.column("root").to_numpy(), second]), axis=0, return_index=True, return_inverse=True)
+            root = first[group.ravel()]
         if len(a) and len(b):
             for x, y in near(fp[a], fp[b], radius):
                 held.append((a[x], b[y]))
@@ -114,6 +118,11 @@ def _tile_links(radius: int, parts: list[str], name: str):
                 if n_held > LINKS_HELD:
                     root, held, n_held = _fold(root, held), [], 0
         root = _fold(root, held)
+        if rooted:
+            known = table.column("root").to_numpy()
+            found = np.unique(np.column_stack([known, known[root]]), axis=0)
+            found = found[found[:, 0] != found[:, 1]]
+            return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
         child = np.flatnonzero(root != np.arange(len(fp)))
         return pa.table({"a": pa.array(ids[child]), "b": pa.array(ids[root[child]])})
 
@@ -126,8 +135,12 @@ def _fold(root: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> np.nda
     return forest(len(root), x, y)
 
 
-def links(fps: DataFrame, radius: int = 4, parts: tuple[str, ...] = ("fp",), name: str = "fp") -> DataFrame:
-    """Vertices (`name`, a long, and the words of their fingerprints, `parts`) -> spanning links (a, b) of all pairs within the radius."""
+def links(fps: DataFrame, radius: int = 4, parts: tuple[str, ...] = ("fp",), name: str = "fp", twice: bool = False) -> DataFrame:
+    """Vertices (`name`, a long, and the words of their fingerprints, `parts`) -> spanning links (a, b) of all pairs within the radius.
+
+    twice: tiles are first linked inside, and pairs of tiles then link what is left of them. A large group of near fingerprints lies in all tiles; its links
+    are then as many as its vertices, and not as many for each tile.
+    """
     counted = fps.withColumn("pop", sum((F.bit_count(c).cast("int") for c in parts), F.lit(0)))
     counts = {r["pop"]: r["n"] for r in counted.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # a row per possible count at most
     if not counts:
@@ -145,14 +158,23 @@ def links(fps: DataFrame, radius: int = 4, parts: tuple[str, ...] = ("fp",), nam
         return F.element_at(F.array(*[F.lit(d.get(p, 0)) for p in range(64 * len(parts) + 1)]), F.col("pop") + 1)
 
     tiled = counted.withColumn("tile", lookup(first) + F.pmod(F.xxhash64(name), F.greatest(lookup(blocks), F.lit(1))).cast("int"))
+    inside = None
+    if twice:
+        tiled = written(tiled)
+        alone = tiled.select(*dict.fromkeys([name, *parts]), F.col("tile").alias("t1"), F.col("tile").alias("t2"), F.lit(False).alias("second"))
+        inside = written(alone.groupBy("t1", "t2").applyInArrow(_tile_links(radius, list(parts), name), "a long, b long"))
+        tiled = tiled.join(inside.withColumnRenamed("a", name), name, "left").withColumn("root", F.coalesce("b", name)).drop("b")
     # A tile meets itself, the later tiles of its own count, and all tiles of counts up to the radius above.
-    kept = list(dict.fromkeys([name, *parts]))
+    kept = list(dict.fromkeys([name, *parts, *(["root"] if twice else [])]))
     as_first = tiled.select(*kept, F.explode(F.sequence("tile", lookup({p: s[1] for p, s in spans.items()}) - 1)).alias("t2"), F.col("tile").alias("t1"),
                             F.lit(False).alias("second"))
     as_second = tiled.select(*kept, F.col("tile").alias("t2"), F.explode(F.sequence(lookup(bottoms), "tile")).alias("t1"), F.lit(True).alias("second")) \
         .filter("t1 < t2")
     pairs = as_first.select("t1", "t2", *kept, "second").unionByName(as_second)
-    return pairs.groupBy("t1", "t2").applyInArrow(_tile_links(radius, list(parts), name), "a long, b long")
+    if twice:
+        pairs = pairs.filter("t1 < t2")
+    between = pairs.groupBy("t1", "t2").applyInArrow(_tile_links(radius, list(parts), name, twice), "a long, b long")
+    return inside.unionByName(between) if twice else between
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = 4, with_text: bool = True) -> DataFrame:

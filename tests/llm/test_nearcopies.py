@@ -77,3 +77,18 @@ def test_recall_on_the_given_documents(spark):
 def test_sets_in_order_of_leaders():
     a = np.arange(10, dtype=np.int64)
     assert N.led([a, a[:9], a[:2], np.empty(0, np.int64), a[:3], np.empty(0, np.int64)], 0.8) == [0, 0, 2, 3, 4, 3]
+
+
+@pytest.mark.parametrize("strip", [256, 8])
+def test_tiles_linked_twice_give_the_same_components(spark, monkeypatch, strip):
+    from driftgauge.llm import simhash
+    from driftgauge.llm.components import components
+
+    monkeypatch.setattr(simhash, "STRIP", strip)
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2 ** 63, 6)
+    rows = [(i, int(base[i % 6]) ^ (1 << int(rng.integers(63))) ^ (1 << int(rng.integers(63))), int(base[(i + 1) % 6])) for i in range(400)]
+    df = spark.createDataFrame([*rows, (1000, 5, 6)], "v long, low long, high long")
+    once, twice = (simhash.links(df, 6, ("low", "high"), "v", twice=t).collect() for t in (False, True))
+    found = [sorted(map(tuple, components(spark.createDataFrame(x, "a long, b long")).collect())) for x in (once, twice)]
+    assert found[0] == found[1] and len(found[0]) == 400 and len(twice) < 400 + 60 * 60
