@@ -6,7 +6,7 @@ so 27 keep 98 of 100, while two unrelated texts differ by 64 with a deviation of
 Components of these candidates hold all candidate pairs; nothing is dropped on the word of a fingerprint.
 
 Inside a component, leaders are chosen in the order of doc_id and compared by exact Jaccard of shingle hashes (64 bits): a document at `least` or more of a
-leader is its copy and goes; the others go on. A component of at most `FEW` vertices is finished in one task; a larger one passes
+leader is its copy and goes; the others go on. A component of at most `FEW` shingles is finished in one task; a larger one passes
 rounds in which its first `LEADERS` vertices lead and meet all the others, so the one list that is sent to a component's members is bounded. Every document that goes is
 a copy of one that stays, and no two that stay and were candidates are copies.
 
@@ -33,8 +33,8 @@ from driftgauge.session import settled
 
 WORDS, LEAST, RADIUS = 5, 0.8, 27
 SEEDS = (42, 43)
-#: Vertices of a component that one task finishes, and leaders of a round.
-FEW, LEADERS = 64, 32
+#: Shingles of a component that one task finishes (32 MB of hashes), and leaders of a round.
+FEW, LEADERS = 4_000_000, 32
 
 
 def shingle_hashes(text: bytes, words: int = WORDS, seed: int = SEEDS[0]) -> np.ndarray:
@@ -105,13 +105,29 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def led(sets: list[np.ndarray], least: float) -> list[int]:
-    """For sets in order: the leader of each, itself if it leads."""
-    leaders, out = [], []
+    """For sets in order: the first leader at `least` or more of each, or itself, which then leads.
+
+    Two sets this alike share one of their rarest few members (all but ceil(least * size) - 1 of them), so only leaders with one of a set's rarest in common are compared.
+    """
+    _, place, count = np.unique(np.concatenate([np.empty(0, np.int64), *sets]), return_inverse=True, return_counts=True)
+    rarity = np.empty(len(count), np.int64)
+    rarity[np.argsort(count, kind="stable")] = np.arange(len(count))
+    ends = np.cumsum([0, *(len(s) for s in sets)])
+    sets = [np.sort(rarity[place[a:b]]) for a, b in zip(ends, ends[1:])]
+    holders: dict[int, list[int]] = {}
+    empty, out = None, []
     for i, s in enumerate(sets):
+        if not len(s):
+            empty = i if empty is None else empty
+            out.append(empty)
+            continue
+        rare = s[:len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1].tolist()
+        near = sorted({j for x in rare for j in holders.get(x, ())})
         # Sizes alone bound the Jaccard.
-        found = next((j for j in leaders if min(len(s), len(sets[j])) >= least * max(len(s), len(sets[j])) and jaccard(s, sets[j]) >= least), i)
+        found = next((j for j in near if min(len(s), len(sets[j])) >= least * max(len(s), len(sets[j])) and jaccard(s, sets[j]) >= least), i)
         if found == i:
-            leaders.append(i)
+            for x in rare:
+                holders.setdefault(x, []).append(i)
         out.append(found)
     return out
 
@@ -131,7 +147,7 @@ def _copies(members: DataFrame, least: float, few: int, leaders: int) -> DataFra
     done = None
     small = Window.partitionBy("group")
     while True:
-        sizes = settled(members.groupBy("group").agg(F.count("*").alias("n")))
+        sizes = settled(members.groupBy("group").agg(F.sum(F.size("set") + 1).alias("n")))
         last = members.join(sizes.filter(F.col("n") <= few), "group").drop("n").groupBy("group").applyInArrow(_finish(least), "vertex long, leader long")
         done = last if done is None else done.unionByName(last)
         large = sizes.filter(F.col("n") > few)

@@ -44,7 +44,7 @@ def checked(texts, out):
     return len(pairs), sum(not (kept[i] and kept[j]) for i, j in pairs) / max(1, len(pairs))
 
 
-@pytest.mark.parametrize("few,leaders", [(64, 32), (3, 2)])
+@pytest.mark.parametrize("few,leaders", [(4_000_000, 32), (600, 8)])
 def test_near_copies_against_brute_force(spark, few, leaders):
     texts = corpus(1, 40, 160, [1, 2, 3, 5, 9]) + corpus(2, 1, 200, [1] * 60) + ["", None, "  ", "one two", "One  two", "one two three"]
     df = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in enumerate(texts)], "doc_id long, text string, same_ string, row_ int, keeper string")
@@ -92,3 +92,20 @@ def test_tiles_linked_twice_give_the_same_components(spark, monkeypatch, strip):
     once, twice = (simhash.links(df, 6, ("low", "high"), "v", twice=t).collect() for t in (False, True))
     found = [sorted(map(tuple, components(spark.createDataFrame(x, "a long, b long")).collect())) for x in (once, twice)]
     assert found[0] == found[1] and len(found[0]) == 400 and len(twice) < 400 + 60 * 60
+
+
+def test_leaders_against_all_pairs():
+    rng = np.random.default_rng(11)
+    base = [rng.choice(10_000, 60, replace=False) for _ in range(5)]
+    sets = []
+    for _ in range(300):
+        s = base[rng.integers(5)].copy()
+        k = rng.integers(0, 12)
+        s[rng.choice(60, k, replace=False)] = rng.choice(10_000, k) + 20_000
+        sets.append(np.unique(s[:rng.integers(40, 61)]).astype(np.int64))
+    want, leaders = [], []
+    for i, s in enumerate(sets):
+        j = next((j for j in leaders if N.jaccard(s, sets[j]) >= 0.8), i)
+        leaders += [i] if j == i else []
+        want.append(j)
+    assert N.led(sets, 0.8) == want and 5 < len(leaders) < 300
