@@ -8,7 +8,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from driftgauge.session import checkpoint_folder
 
@@ -25,6 +26,17 @@ def unused(name: str, columns: Iterable[str]) -> str:
     return name
 
 
+def shielded(df: DataFrame, needed: Iterable[str], replaced: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """The frame with its other columns under names that no operator uses, and the columns that give all of them their own names back.
+
+    Columns named like the results (`replaced`) are left out.
+    """
+    needed, replaced = set(needed), {c.lower() for c in replaced}
+    kept = [c for c in df.columns if c.lower() not in replaced]
+    inside = {c: c if c in needed else f"shielded{i}__" for i, c in enumerate(kept)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in inside.items()]), [F.col(n).alias(c) for c, n in inside.items()]
+
+
 def written(df: DataFrame) -> DataFrame:
     """The frame as a Parquet table in the shared checkpoint folder: cuts lineage, survives lost executors."""
     path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"

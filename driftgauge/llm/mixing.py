@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftgauge.llm.common import WORD
+from driftgauge.llm.common import WORD, shielded
 from driftgauge.session import settled
 
 #: Most sources whose plan is sent to every task; with more, documents are joined by a shuffle.
@@ -67,7 +67,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
 
     whole: the document at the target is taken as a whole or not, whichever is nearer, so mix_taken is a multiple of mix_size.
     """
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_copies")
+    docs, own = shielded(docs, ("doc_id", "text", "source"), [c for c in docs.columns if c.lower().startswith("mix_")])
     keyed = docs.withColumns({"mix_source": F.col("source"), "mix_key": digest(seed)})
     sums = settled(keyed.select("mix_source", bucket(F.col("mix_key")).alias("mix_bucket"), words("text").alias("mix_size"))
                    .groupBy("mix_source", "mix_bucket").agg(F.sum("mix_size").alias("words")))
@@ -103,4 +103,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
     once_more = F.when((F.col("mix_key") < F.col("at_key")) | ((F.col("mix_key") == F.col("at_key")) & (part > 0)), 1).otherwise(0)
     return rows.withColumns({"mix_taken": (F.col("mix_times") * F.col("mix_size") + extra).cast("long"),
                              "mix_copies": (F.col("mix_times") + once_more).cast("int")}) \
-        .select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_copies")
+        .select(*own, "mix_size", "mix_source_size", "mix_target", "mix_taken", "mix_copies")

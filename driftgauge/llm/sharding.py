@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftgauge.llm.common import written
+from driftgauge.llm.common import shielded, written
 
 Probe = tuple[int, int]
 LOW: Probe = (-(1 << 63), -(1 << 63))
@@ -79,10 +79,11 @@ def _between(lo: Probe, hi: Probe, n: int) -> list[Probe]:
     return sorted(p for p in out | {(hi[0], LOW[1])} if lo < p < hi)
 
 
-def splitters(keys: DataFrame, parts: int, tolerance: float = 0.02, probes_each: int = 24, rounds: int = 40) -> tuple[list[Probe], list[int]]:
+def splitters(keys: DataFrame, parts: int, tolerance: float = 0.02, probes_each: int = 24, rounds: int = 40, border: int = 1) -> tuple[list[Probe], list[int]]:
     """parts - 1 splitters with near-equal bytes between them, and the rows of every part.
 
-    tolerance: of one part's bytes; the rounds end earlier when nothing is left to refine.
+    tolerance: of one part's bytes; the rounds end earlier when nothing is left to refine. Every `border`-th splitter parts groups of equal first halves only where a
+    group is larger than the tolerance of `border` parts; the others lie between these.
     """
     probes = _between(LOW, HIGH, 8 * parts)
     known: dict[Probe, tuple[int, int]] = {LOW: (0, 0)}  # bytes and rows below a probe
@@ -100,7 +101,21 @@ def splitters(keys: DataFrame, parts: int, tolerance: float = 0.02, probes_each:
         bytes_ = np.array([known[p][0] for p in places])
         chosen, probes, most = [], [], tolerance * below_b / parts
         keep = {LOW, HIGH}
-        for t in targets:
+        ends = [p for p in places if p[1] == LOW[1] or p == HIGH]  # probes between groups
+        end_bytes = np.array([known[p][0] for p in ends])
+        for i, t in enumerate(targets):
+            if (i + 1) % border == 0:
+                hi = int(np.searchsorted(end_bytes, t, side="left"))
+                lo = max(0, hi - 1)
+                best = min((lo, hi), key=lambda k: abs(end_bytes[k] - t))
+                keep |= {ends[lo], ends[hi]}
+                if abs(end_bytes[best] - t) <= most * border:
+                    chosen.append(ends[best])
+                    continue
+                if ends[hi][0] - ends[lo][0] > 1:
+                    chosen.append(ends[best])
+                    probes += _between(ends[lo], ends[hi], probes_each)
+                    continue
             hi = int(np.searchsorted(bytes_, t, side="left"))
             lo = max(0, hi - 1)
             best = min((lo, hi), key=lambda i: abs(bytes_[i] - t))
@@ -111,15 +126,24 @@ def splitters(keys: DataFrame, parts: int, tolerance: float = 0.02, probes_each:
         known = {p: known[p] for p in keep | set(chosen)}
         if not probes:
             break
+    for i in range(len(chosen)):  # parts stay inside their borders
+        if (i + 1) % border:
+            low = chosen[i - (i + 1) % border] if i >= border - 1 and i - (i + 1) % border >= 0 else LOW
+            top = i + border - (i + 1) % border
+            chosen[i] = max(low, min(chosen[i], chosen[top] if top < len(chosen) else HIGH))
     chosen = sorted(chosen)
     edges = [known[p][1] for p in chosen] + [known[HIGH][1]]
     return chosen, [b - a for a, b in zip([0, *edges], edges)]
 
 
 def shard(docs: DataFrame, shards: int = 40, parts: int = 16, tolerance: float = 0.02) -> DataFrame:
-    """docs with size, shard and slot (gapless from 0 in each shard, in the order of the key)."""
+    """docs with size, shard and slot (gapless from 0 in each shard, in the order of the key). Columns of these names are replaced, others pass through.
+
+    Rows of one text stay in one shard unless they outweigh the tolerance of a shard's bytes together.
+    """
+    docs, own = shielded(docs, ("doc_id", "text"), ("size", "shard", "slot"))
     keys = written(keyed(docs).select("_a", "_b", "size"))
-    cuts, rows = splitters(keys, shards * parts, tolerance)
+    cuts, rows = splitters(keys, shards * parts, tolerance, border=parts)
     first = [sum(rows[i // parts * parts:i]) for i in range(len(rows))]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,4 +156,4 @@ def shard(docs: DataFrame, shards: int = 40, parts: int = 16, tolerance: float =
     order = Window.partitionBy("_part").orderBy("_a", "_b", "size")
     starts = F.array(*[F.lit(x).cast("long") for x in first])
     return (placed.withColumn("slot", F.row_number().over(order) - 1 + F.element_at(starts, F.col("_part") + 1))
-            .withColumn("shard", F.floor(F.col("_part") / parts).cast("int")).drop("_a", "_b", "_part"))
+            .withColumn("shard", F.floor(F.col("_part") / parts).cast("int")).select(*own, "size", "slot", "shard"))

@@ -149,6 +149,25 @@ def test_document_counts(spark):
 
 # ---- sharding ----------------------------------------------------------------------------------
 
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1"])
+def test_equal_texts_stay_together(spark, folder):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet").select("doc_id", "text")
+    out = sharding.shard(docs).groupBy("text").agg(F.sum("size").alias("b"), F.countDistinct("shard").alias("k")).cache()
+    total = out.agg(F.sum("b")).first()[0]
+    assert out.filter(F.col("k") > 1).agg(F.min("b")).first()[0] is None or out.filter(F.col("k") > 1).agg(F.min("b")).first()[0] > 0.02 * total / 40
+    sizes = [r[0] for r in sharding.shard(docs).groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+    longest = docs.agg(F.max(F.octet_length("text"))).first()[0] + 16
+    assert len(sizes) == 40 and max(abs(x - total / 40) for x in sizes) <= max(longest, 0.05 * total / 40)
+
+
+def test_names_that_operators_use_inside_pass_through(spark):
+    names = ["at_left", "mix_times", "_part", "_a", "_b", "at_key", "plan", "upto"]
+    df = spark.createDataFrame([(i, f"a b {i % 7}", "s", *names) for i in range(50)], "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for out, gone in ((mixing.mix(df), {"mix_times"}), (sharding.shard(df, shards=3), set())):
+        row = out.first().asDict()
+        assert all(row.get(n) == n for n in names if n not in gone) and out.count() == 50
+
+
 def test_histogram_sort_shards(spark):
     texts = ["hot text"] * 300 + [None] * 5 + [""] * 5 + ["w" * R.randint(1, 300) for _ in range(400)]
     df = spark.createDataFrame([(i, t, "keep") for i, t in enumerate(texts)] + [(0, "hot text", "keep")], "doc_id long, text string, slot string")
