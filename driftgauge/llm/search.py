@@ -1,15 +1,18 @@
-"""Exact top-k BM25 search: an inverted index per shard, block-max pruning, exact merge.
+"""Exact top-k BM25 search: an inverted index per shard, block-max WAND, exact merge.
 
-Statistics (documents, mean length, document frequencies) are global, so a score is the same in every shard. A shard is a bounded number of documents; its postings are in
-term order with the impact of each posting, and for each term and block of documents the largest impact is kept. For a query, block maxima
-give a bound for every block. Blocks are scored from the highest bound down and the search ends when the next bound is below the
-k-th best score, so skipped blocks cannot hold a result. Shards return k results each; the merge takes the k best of all.
+Statistics (documents, mean length, document frequencies) are global, so a score is the same in every shard. A shard is a bounded number of documents and of postings. Its
+postings lie in term order, cut into blocks of documents; every (term, block) has the largest impact inside and the place of its postings. For a query, the sums of these
+maxima bound every block. The blocks with the highest bounds are scored first and give a threshold, the k-th best score. Then pivots are taken in document order: the
+next pivot is the next block whose bound reaches the threshold, and the postings of every term before it are skipped unread. The threshold rises after each run of pivots,
+so later blocks fall away. A skipped block cannot hold a result. Shards return k results each; the merge takes the k best of all.
+
+A task reads the rows of its shard, builds the index once, and answers the queries as they stream in behind it.
 
 Scores are compared rounded to nine decimals, then by the order of the row keys, so that results do not depend on the order of sums or on the sharding.
 
 Defined cases: a null or empty text has no terms: it is found by no query and finds nothing; a document needs one term of the query to be found; equal rows
 are each found; a query finds itself if it is in the index; queries with fewer than k matches have fewer results; empty tables give no rows; null keys come
-last.
+last; extra columns are not returned, and keys may have any names.
 """
 
 from __future__ import annotations
@@ -30,13 +33,13 @@ from driftgauge.llm.common import written
 from driftgauge.session import settled
 
 K1, B = 1.2, 0.75
-#: Documents of a shard, documents of a block, queries that meet a shard in one group.
+#: Documents and postings of a shard (on average), documents of a block, queries that meet a shard in one task.
 SHARD = 32_768
+POSTINGS = 2_000_000
 BLOCK = 128
-QUERIES = 4096
-#: Blocks that are scored before the threshold is looked at; blocks at most so far apart are one stretch.
-STRIDE = 16
-GAP = 48
+QUERIES = 65_536
+#: Blocks that give the first threshold; the first run of pivots has as many, each later one twice as many.
+STRIDE = 32
 #: A term in at least one of so many documents of a shard is frequent.
 DENSE = 12
 #: A term is a run of ASCII letters and digits and of other characters beyond ASCII, in lower case.
@@ -98,13 +101,14 @@ class Shard:
         self.dense = np.full(len(names), -1)
         frequent = np.flatnonzero(df * DENSE >= n)
         self.dense[frequent] = np.arange(len(frequent))
-        self.row = np.zeros((len(frequent), self.blocks * BLOCK))
+        self.row = np.zeros((len(frequent), self.blocks, BLOCK))
         inside = self.dense[at] >= 0
-        self.row[self.dense[at[inside]], self.doc[inside]] = self.impact[inside]
-        self.row_most = self.row.reshape(len(frequent), self.blocks, BLOCK).max(2) if len(frequent) else np.zeros((0, self.blocks))
+        self.row[self.dense[at[inside]], self.doc[inside] // BLOCK, self.doc[inside] % BLOCK] = self.impact[inside]
+        self.row_most = self.row.max(2)
         block = self.doc // BLOCK
         cut = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (block[1:] != block[:-1]))) if len(at) else np.empty(0, np.int64)
         self.block, self.most = block[cut], np.maximum.reduceat(self.impact, cut) if len(cut) else np.empty(0)
+        self.cut = np.append(cut, len(at))
         self.first = np.append(np.searchsorted(at[cut], np.arange(len(names))), len(cut))
 
     def top(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,49 +117,47 @@ class Shard:
         known = self.names[at] == terms if len(self.names) else np.zeros(len(terms), bool)
         at, weights = at[known], weights[known]
         row = self.dense[at]
-        rows, row_weights = row[row >= 0], weights[row >= 0]
-        at, weights = at[row < 0], weights[row < 0]
-        entries, weight = _ranges(self.first[at], self.first[at + 1], weights)
-        bound = row_weights @ self.row_most[rows] + np.bincount(self.block[entries], weights=weight * self.most[entries], minlength=self.blocks)
-        postings, weight = _ranges(self.start[at], self.start[at + 1], weights)
-        score = np.bincount(self.doc[postings], weights=weight * self.impact[postings], minlength=self.blocks * BLOCK).astype(np.float64)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        # First the blocks with the highest bounds, then all whose bound reaches the k-th best score so far.
-        best, found = self._scored(np.sort(order[:STRIDE]), score, rows, row_weights, -np.inf, k)
-        floor = found[-1] if len(found) == k else -np.inf
-        rest = order[STRIDE:]
-        more = self._scored(np.sort(rest[bound[rest] >= floor - 1e-8]), score, rows, row_weights, floor, k)
-        fresh = ~np.isin(more[0], best)  # a stretch may hold blocks of the first step
-        return self._best(np.concatenate([best, more[0][fresh]]), np.concatenate([found, more[1][fresh]]), k)
+        frequent = row[row >= 0], weights[row >= 0]
+        entries, weight = _ranges(self.first[at[row < 0]], self.first[at[row < 0] + 1], weights[row < 0])
+        listed = entries, weight, self.block[entries]
+        bound = frequent[1] @ self.row_most[frequent[0]] + np.bincount(listed[2], weights=weight * self.most[entries], minlength=self.blocks)
+        high = np.argpartition(-bound, STRIDE)[:STRIDE] if self.blocks > STRIDE else np.arange(self.blocks)
+        best, found = self._scored(np.sort(high[bound[high] > 0]), frequent, listed, -np.inf, k)
+        ahead = bound > 0
+        ahead[high] = False
+        ahead, size = np.flatnonzero(ahead), STRIDE
+        while True:
+            floor = found[-1] if len(found) == k else -np.inf
+            ahead = ahead[bound[ahead] >= floor - 1e-8]
+            if not len(ahead):
+                return best, found
+            more = self._scored(ahead[:size], frequent, listed, floor, k)
+            best, found = self._best(np.concatenate([best, more[0]]), np.concatenate([found, more[1]]), k)
+            ahead, size = ahead[size:], size * 2
 
     def _best(self, places: np.ndarray, values: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         keep = np.lexsort((self.rank[places], -values))[:k]
         return places[keep], values[keep]
 
-    def _scored(self, blocks: np.ndarray, score: np.ndarray, rows: np.ndarray, weights: np.ndarray, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best of some blocks, in ascending order. Few blocks are gathered; many are scored as stretches, small gaps included."""
-        places, values = [np.empty(0, np.int64)], [np.empty(0)]
-        if len(blocks) <= STRIDE:
-            cells = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            parts = [(cells, score[cells] + weights @ self.row[rows[:, None], cells])]
-        else:
-            parts = []
-            for run in np.split(blocks, np.flatnonzero(np.diff(blocks) > GAP) + 1):
-                a, b = run[0] * BLOCK, (run[-1] + 1) * BLOCK
-                part, room = score[a:b], np.empty(b - a)
-                for r, w in zip(rows.tolist(), weights.tolist()):
-                    np.multiply(self.row[r, a:b], w, out=room)
-                    part += room
-                parts.append((np.arange(a, b), part))
-        for cells, part in parts:
-            high = np.flatnonzero(part > max(0.0, floor - 1e-8))
-            if len(high) > 8 * k:
-                at = part[high]
-                high = high[at >= np.partition(at, len(at) - k)[len(at) - k] - 1e-8]
-            places.append(cells[high])
-            values.append(part[high])
-        return self._best(np.concatenate(places), np.round(np.concatenate(values), 9), k)
+    def _scored(self, pivots: np.ndarray, frequent: tuple, listed: tuple, floor: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of some blocks, in ascending order: only postings inside them are read."""
+        entries, weight, block = listed
+        at = np.full(self.blocks, -1)
+        at[pivots] = np.arange(len(pivots))
+        inside = at[block] >= 0
+        postings, weight = _ranges(self.cut[entries[inside]], self.cut[entries[inside] + 1], weight[inside])
+        doc = self.doc[postings]
+        score = np.bincount(at[doc // BLOCK] * BLOCK + doc % BLOCK, weights=weight * self.impact[postings], minlength=len(pivots) * BLOCK).astype(np.float64)
+        part, room = score.reshape(-1, BLOCK), np.empty((len(pivots), BLOCK))
+        for r, w in zip(frequent[0].tolist(), frequent[1].tolist()):
+            np.take(self.row[r], pivots, axis=0, out=room, mode="clip")
+            room *= w
+            part += room
+        high = np.flatnonzero(score > max(0.0, floor - 1e-8))
+        if len(high) > 8 * k:
+            reached = score[high]
+            high = high[reached >= np.partition(reached, len(high) - k)[len(high) - k] - 1e-8]
+        return self._best(pivots[high // BLOCK] * BLOCK + high % BLOCK, np.round(score[high], 9), k)
 
 
 def _ranges(start: np.ndarray, end: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,17 +166,30 @@ def _ranges(start: np.ndarray, end: np.ndarray, weights: np.ndarray) -> tuple[np
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size), np.repeat(weights, size)
 
 
-def _search(k: int, mean: float, keys: list[str]):
-    def run(key: tuple, index: pa.Table, queries: pa.Table) -> pa.Table:
-        found: list[list[np.ndarray]] = [[], [], []]
-        if index.num_rows and queries.num_rows:
-            shard = Shard(index.sort_by([(c, "ascending") for c in [*keys, "row"]]), mean)
-            for q, terms, weights in zip(queries.column("query").to_pylist(), queries.column("terms"), queries.column("weights")):
-                places, scores = shard.top(terms.values.to_numpy(), weights.values.to_numpy(), k)
-                for column, x in zip(found, (np.full(len(places), q, np.int64), shard.id[places], scores)):
-                    column.append(x)
-        whole = [np.concatenate(x) if x else np.empty(0, np.int64) for x in found]
-        return pa.table({"query": pa.array(whole[0], pa.int64()), "row": pa.array(whole[1], pa.int64()), "score": pa.array(whole[2], pa.float64())})
+def _answers(k: int, mean: float, keys: list[str]):
+    """Rows come sorted by (shard, group), the documents of a shard before the queries (query is null for a document)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, parts, shard = None, [], None
+        for batch in batches:
+            asks = batch.column("query").is_valid().to_numpy(zero_copy_only=False)
+            names = np.array([batch.column("shard").to_numpy(), batch.column("group").to_numpy(), asks])
+            cuts = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+                if a == b:
+                    continue
+                if tuple(names[:2, a].tolist()) != current:
+                    current, parts, shard = tuple(names[:2, a].tolist()), [], None
+                rows = batch.slice(a, b - a)
+                if not asks[a]:
+                    parts.append(rows.select([*keys, "row", "terms", "tf", "dl"]))
+                    continue
+                if shard is None:
+                    if not parts:  # no documents here
+                        continue
+                    shard, parts = Shard(pa.Table.from_batches(parts).sort_by([(c, "ascending") for c in [*keys, "row"]]), mean), []
+                for query, terms, weights in zip(rows.column("query").to_pylist(), rows.column("terms"), rows.column("weights")):
+                    places, scores = shard.top(terms.values.to_numpy(), weights.values.to_numpy(), k)
+                    yield pa.RecordBatch.from_pydict({"query": pa.array(np.full(len(places), query)), "row": pa.array(shard.id[places]), "score": pa.array(scores)})
 
     return run
 
@@ -184,9 +199,12 @@ def top_k(rows: DataFrame, is_query, keys: list[str], k: int = 10, shard: int =
 
     rows: keys (numbers) and text. Queries weigh a term by how often they hold it.
     """
-    rows = written(with_terms(rows.select(*keys, "text", F.coalesce(is_query, F.lit(False)).alias("asks")).withColumn("row", F.monotonically_increasing_id())).drop("text"))
-    total = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), F.count(F.when(F.col("asks"), 1)).alias("asks")).first()
-    n, shards, groups = total["n"], max(1, -(-total["n"] // shard)), max(1, -(-total["asks"] // block))
+    inner = [f"key{i}" for i in range(len(keys))]
+    named = rows.select(*[F.col(f"`{c}`").alias(i) for c, i in zip(keys, inner)], "text", F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = written(with_terms(named.withColumn("row", F.monotonically_increasing_id())).drop("text"))
+    total = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"), F.count(F.when(F.col("asks"), 1)).alias("asks"), F.sum(F.size("terms")).alias("postings")).first()
+    n, groups = total["n"], max(1, -(-total["asks"] // block))
+    shards = max(1, -(-n // shard), -(-(total["postings"] or 0) // POSTINGS))
     frequency = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     queries = rows.filter("asks").select(F.col("row").alias("query"), F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("tf").alias("tf"))).alias("x")) \
@@ -195,12 +213,14 @@ def top_k(rows: DataFrame, is_query, keys: list[str], k: int = 10, shard: int =
         .select("query", F.col("x.term").alias("terms"), F.col("x.weight").alias("weights"))
     asked = settled(queries).withColumn("group", F.pmod(F.xxhash64("query"), F.lit(groups)).cast("int")) \
         .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    index = rows.select(*keys, "row", "terms", "tf", "dl", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")) \
+    # A copy of a shard serves 65,536 queries, so the copies together are fewer rows than the queries that are sent.
+    index = rows.select(*inner, "row", "terms", "tf", "dl", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")) \
         .withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    found = index.groupBy("shard", "group").cogroup(asked.groupBy("shard", "group")) \
-        .applyInArrow(_search(k, total["mean"] or 1.0, keys), "query long, row long, score double")
-    names = rows.select("row", *keys)
-    order = Window.partitionBy("query").orderBy(F.col("score").desc(), *[F.col(c).asc_nulls_last() for c in keys], "row")
+    streamed = index.unionByName(asked, allowMissingColumns=True).repartition(2 * shards * groups, "shard", "group") \
+        .sortWithinPartitions("shard", "group", F.col("query").asc_nulls_first())
+    found = streamed.mapInArrow(_answers(k, total["mean"] or 1.0, inner), "query long, row long, score double")
+    names = rows.select("row", *inner)
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), *[F.col(c).asc_nulls_last() for c in inner], "row")
     return found.join(names, "row").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k) \
-        .join(names.select(F.col("row").alias("query"), *[F.col(c).alias(f"q_{c}") for c in keys]), "query") \
-        .select(*[f"q_{c}" for c in keys], "rank", *keys, "score")
+        .join(names.select(F.col("row").alias("query"), *[F.col(c).alias(f"q_{c}") for c in inner]), "query") \
+        .select(*[F.col(f"q_{i}").alias(f"q_{c}") for c, i in zip(keys, inner)], "rank", *[F.col(i).alias(c) for c, i in zip(keys, inner)], "score")

@@ -257,3 +257,31 @@ def test_search_is_exact(spark, sizes, monkeypatch):
             assert np.allclose([m[2] for m in mine], [-w[0] for w in want])
     assert {r["q_id"] for r in got} <= {d[0] for d in docs if d[0] % 20 == 0}
     assert search.top_k(df.filter("id < 0"), F.col("id") % 20 == 0, ["id"]).collect() == []
+
+
+def test_search_reads_only_blocks_that_can_matter():
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    n = 4000
+    texts = [sorted(set(rng.integers(0, 40, 6).tolist())) + ([1000] if i % 900 == 0 else []) for i in range(n)]
+    rows = pa.table({"row": pa.array(range(n)), "terms": pa.array(texts, pa.list_(pa.int64())), "tf": pa.array([[1] * len(t) for t in texts], pa.list_(pa.int32())),
+                     "dl": pa.array([len(t) for t in texts], pa.int32())})
+    shard = search.Shard(rows, 6.0)
+    read, scored = [], shard._scored
+
+    def counted(pivots, *rest):
+        read.append(len(pivots))
+        return scored(pivots, *rest)
+
+    shard._scored = counted
+    places, scores = shard.top(np.array([1000, 3]), np.array([8.0, 0.1]), 3)
+    want = sorted(((-round(sum(w * 2.2 / (1 + 1.2 * (0.25 + 0.75 * len(t) / 6.0)) for x, w in ((1000, 8.0), (3, 0.1)) if x in t), 9), i) for i, t in enumerate(texts)))[:3]
+    assert [(-s, i) for i, s in zip(shard.id[places].tolist(), scores.tolist())] == [(w, i) for w, i in want] and sum(read) <= search.STRIDE
+
+
+def test_search_takes_keys_of_any_name_and_bounds_postings(spark, monkeypatch):
+    docs = [(i, f"a{i % 3} b{i % 5} same", "x") for i in range(60)]
+    df = spark.createDataFrame(docs, "row long, text string, terms string")
+    whole = search.top_k(df, F.col("row") % 20 == 0, ["row"]).collect()
+    monkeypatch.setattr(search, "POSTINGS", 20)
+    assert sorted(search.top_k(df, F.col("row") % 20 == 0, ["row"]).collect()) == sorted(whole) and len(whole) == 30
