@@ -187,9 +187,10 @@ def _answers(k: int, mean: float, keys: list[str]):
                     if not parts:  # no documents here
                         continue
                     shard, parts = Shard(pa.Table.from_batches(parts).sort_by([(c, "ascending") for c in [*keys, "row"]]), mean), []
-                for query, terms, weights in zip(rows.column("query").to_pylist(), rows.column("terms"), rows.column("weights")):
-                    places, scores = shard.top(terms.values.to_numpy(), weights.values.to_numpy(), k)
-                    yield pa.RecordBatch.from_pydict({"query": pa.array(np.full(len(places), query)), "row": pa.array(shard.id[places]), "score": pa.array(scores)})
+                found = [shard.top(t.values.to_numpy(), w.values.to_numpy(), k) for t, w in zip(rows.column("terms"), rows.column("weights"))]
+                asked = np.repeat(rows.column("query").to_numpy(), [len(places) for places, _ in found])
+                yield pa.RecordBatch.from_pydict({"query": pa.array(asked), "row": pa.array(shard.id[np.concatenate([places for places, _ in found])]),
+                                                  "score": pa.array(np.concatenate([scores for _, scores in found]))})
 
     return run
 
