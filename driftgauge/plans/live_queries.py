@@ -78,9 +78,9 @@ def shuffled(rows, n=3):
     return [rows.where(F.pmod(F.xxhash64("step"), F.lit(n)) == i) for i in range(n)]
 
 
-def finished(spark, stream, name, checkpoint=None):
+def finished(spark, stream, name, checkpoint=None, keyed=False):
     path = sinks.scratch(spark, name)
-    live.run_available(stream, path, checkpoint or sinks.scratch(spark, f"{name}-checkpoint"))
+    live.run_available(stream, path, checkpoint or sinks.scratch(spark, f"{name}-checkpoint"), keyed=keyed)
     return spark.read.parquet(path)
 
 
@@ -104,7 +104,7 @@ def stream_signals(spark, folder):
 def stream_decisions(spark, folder):
     """Rows in, decisions out: closed batches, signals, state and one decision per step in one streaming query."""
     inputs = G.live_inputs(live_signals(spark, folder, "decision-rows"), F.lit("general"))
-    out = finished(spark, G.governed(inputs), "decided")
+    out = finished(spark, G.governed(inputs), "decided", keyed=True)
     return _out(out.where("status = 'decided'"))
 
 
@@ -136,7 +136,7 @@ def stream_out_of_order(spark, folder):
     here = steps.where(f"NOT ({_MISSING})")
     again = here.where(_TWICE).withColumn("closed_at", F.date_add(F.lit(FAR).cast("date"), 1).cast("timestamp"))
     stream = in_files([*shuffled(here), heartbeat(here), again], spark, "mixed-steps").withWatermark("closed_at", LATE)
-    out = finished(spark, G.governed(stream, limit=1_000_000, remember=_REMEMBER), "held")
+    out = finished(spark, G.governed(stream, limit=1_000_000, remember=_REMEMBER), "held", keyed=True)
     return out.select("stream_id", "step", "status", "skipped", "action_taken", r6("capital"), r6("alpha"))
 
 
@@ -149,10 +149,10 @@ def stream_resumed(spark, folder):
     early = (F.col("step") <= F.col("half")) | ((F.col("step") > F.col("half") + 3) & (F.col("step") <= F.col("half") + 6))
     first, rest = rows.where(early).drop("half"), rows.where(~early).drop("half")
     checkpoint, store = sinks.scratch(spark, "first-run"), sinks.scratch(spark, "state")
-    one = finished(spark, G.governed(in_files(shuffled(first), spark, "first-steps").withWatermark("closed_at", LATE), limit=1_000_000), "first-half", checkpoint)
+    one = finished(spark, G.governed(in_files(shuffled(first), spark, "first-steps").withWatermark("closed_at", LATE), limit=1_000_000), "first-half", checkpoint, keyed=True)
     G.save_state(G.saved_state(spark, checkpoint), store, 1)
     stream = in_files(shuffled(rest), spark, "other-steps").withWatermark("closed_at", LATE)
-    two = finished(spark, G.governed(stream, limit=1_000_000, initial=G.load_state(spark, store)), "second-half")
+    two = finished(spark, G.governed(stream, limit=1_000_000, initial=G.load_state(spark, store)), "second-half", keyed=True)
     return _out(one.unionByName(two).where("status = 'decided'"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -175,10 +176,25 @@ def topic_writer(servers: str, topic: str, fields: Sequence[str]) -> Writer:
         "kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
-    """Process everything there is now into a table, and stop."""
-    q = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
-         .outputMode(mode).trigger(availableNow=True).start())
+@contextmanager
+def keyed_store(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which `transformWithState` needs; the session's own store is set again after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", keyed: bool = False) -> StreamingQuery:
+    """Process everything there is now into a table, and stop. `keyed`: the stream has a keyed processor such as `governed`."""
+    writer = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+              .outputMode(mode).trigger(availableNow=True))
+    # A started stream has its own copy of the settings.
+    with keyed_store(stream.sparkSession) if keyed else nullcontext():
+        q = writer.start()
     q.awaitTermination()
     return q
 

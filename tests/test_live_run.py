@@ -77,6 +77,22 @@ def test_state_is_saved_and_taken_over(spark, tmp_path):
         G.load_state(spark, str(tmp_path / "store"), 7)
 
 
+def test_governed_runs_in_a_session_with_the_default_store(spark, tmp_path):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(name, default)
+    try:
+        steps(spark, [0, 1, 2]).coalesce(1).write.parquet(f"{tmp_path}/in")
+        stream = live.table_stream(spark, str(tmp_path), "in").withWatermark("closed_at", "1 hour")
+        live.run_available(G.governed(stream), f"{tmp_path}/out", f"{tmp_path}/ck", keyed=True)
+        assert spark.conf.get(name) == default
+        assert G.saved_state(spark, f"{tmp_path}/ck").first()["position"] == 3
+        assert spark.read.parquet(f"{tmp_path}/out").where("status = 'decided'").count() == 3
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_state_of_long_budget_windows(spark, tmp_path):
     rules = D.Rules(window=100, max_actions=2)
     shift = [steps(spark, range(i, i + 26)).withColumns({"score": F.lit(1.3), "feature_score": F.lit(1.2), "alert": F.lit(True), "e_value": F.lit(0.6)}) for i in (0, 26, 52, 78, 104)]
