@@ -84,6 +84,26 @@ def test_graph_measures_with_copies(spark, monkeypatch):
     assert np.isclose(s["spectral_gap"], e[0] - e[1]) and np.isclose(s["fiedler"], low)
 
 
+def test_measures_by_tiles_write_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(G, "TILE", 6)
+    monkeypatch.setattr(G, "CORNER_TILE", 6)
+    monkeypatch.setattr(G, "ROWS", 2)
+    n, adj, rows = copies(spark)
+    n = n.unionByName(n.limit(1).withColumns({"id": F.lit(99).cast("long"), "u": F.lit(None).cast("array<double>"), "vid": F.lit(1).cast("long")}))
+    v, size, deg = G.settled(G.vertices(n)), len(rows) + 1, np.append(adj.sum(axis=1), 0)
+    edges = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if adj[i, j]]
+    assert sorted((r["src"], r["dst"]) for r in G.node_edges(n, G.similar_pairs(v, 0.3)).collect()) == edges
+    monkeypatch.setattr(G, "both_ways", None)
+    d = G.degree_statistics(v, 0.3).first()
+    assert d["n"] == size and np.isclose(d["mean_degree"], deg.mean()) and np.isclose(d["degree_std"], deg.std())
+    local = [0.0 if deg[i] < 2 else adj[np.ix_(adj[i] > 0, adj[i] > 0)].sum() / deg[i] / (deg[i] - 1) for i in range(len(rows))]
+    assert np.isclose(G.clustering(v, 0.3).first()["clustering"], sum(local) / size)
+    h, p = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    assert np.isclose(G.homophily(n, 0.3, "yhat").first()["homophily"], np.mean([h[i] == h[j] for i, j in edges]))
+    near = {r["id"]: r["near_p"] for r in G.neighbour_means(n.where("u IS NOT NULL"), 0.3, ["p"]).collect()}
+    assert np.allclose([near[i] for i in range(len(rows))], adj @ p / (deg[:-1] + 1e-6))
+
+
 def test_iterated_spectra(spark):
     rows = [(0, i, [math.cos(a), math.sin(a)]) for i, a in enumerate((0.0, 0.5, 1.0, 1.0, 1.6))] + [(1, 9, [1.0, 1.0])]
     v = G.settled(G.vertices(G.unit_vectors(spark.createDataFrame(rows, "step long, id long, v array<double>"), "v", 2)))
