@@ -17,20 +17,20 @@ WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
 
 def terms(texts: DataFrame, key: str, text: str, stop_words: Sequence[str] = (), pairs: bool = True) -> DataFrame:
-    """(key, term, tf): the words of two and more characters without stop words, and pairs of neighbours, with their counts; written once.
+    """(key, term, tf): the words of two and more characters without stop words, and pairs of neighbours, with their counts.
 
-    Texts are dealt by key and split once, so that occurrences are counted where they lie: no occurrence is shuffled.
+    Texts are dealt by key, so that occurrences are counted where they lie: no occurrence is shuffled. The terms are many times as large
+    as the texts, so they are not written; each reader splits the texts again.
     """
     words = F.filter(F.split(F.lower(F.col(text)), WORD_BREAK), lambda w: F.length(w) >= 2)
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(*stop_words))
-    # Written, so that each step reads the words of a text as they are.
-    out = settled(texts.select(key, text).repartition(key).select(key, words.alias("_w"))).repartition(key)
+    out = texts.select(key, text).repartition(key).select(key, words.alias("_w"))
     both = F.col("_w")
     if pairs:
         n = F.greatest(F.size("_w") - 1, F.lit(0))
         both = F.concat("_w", F.zip_with(F.slice("_w", 1, n), F.slice("_w", 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
-    return settled(out.select(key, F.explode(both).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+    return out.select(key, F.explode(both).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(found: DataFrame, documents: int, least_df: int = 2, most: int = 4000) -> DataFrame:
@@ -61,10 +61,13 @@ def _blocks(rows: DataFrame, basis: np.ndarray) -> np.ndarray:
         for batch in batches:
             ids, weights = (batch.column(i) for i in (0, 1))
             at, x = ids.flatten().to_numpy(), weights.flatten().to_numpy()
-            row = np.repeat(np.arange(len(ids)), ids.value_lengths().to_numpy())
-            y = np.zeros((len(ids), k))
-            np.add.at(y, row, x[:, None] * basis[at])
-            np.add.at(total, at, x[:, None] * y[row])
+            sizes = ids.value_lengths().to_numpy()
+            sizes = sizes[sizes > 0]
+            if len(sizes):
+                y = np.add.reduceat(x[:, None] * basis[at], np.cumsum(sizes) - sizes)
+                order = np.argsort(at, kind="stable")
+                terms_at, starts = np.unique(at[order], return_index=True)
+                total[terms_at] += np.add.reduceat((x[:, None] * np.repeat(y, sizes, axis=0))[order], starts)
         yield pa.RecordBatch.from_pydict({"i": pa.array(range(width), pa.int64()), "row": pa.array(list(total), pa.list_(pa.float64()))})
 
     sums = rows.mapInArrow(run, "i long, row array<double>").groupBy("i").agg(*[F.sum(F.col("row")[j]).alias(f"s{j}") for j in range(k)]).collect()

@@ -35,6 +35,22 @@ def test_terms_and_weights(spark):
         assert abs(r["weight"] - want[r["doc_id"], r["term"]] * idf[r["term"]] / size) < 1e-12
 
 
+def test_terms_are_not_written_and_keys_may_repeat(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(X, "settled", lambda df, real=X.settled: written.append(df.columns) or real(df))
+    df = spark.createDataFrame([(1, "red blue"), (1, "red"), (None, "red red")], "doc_id long, text string")
+    found = X.terms(df, "doc_id", "text")
+    assert {(r["doc_id"], r["term"]): r["tf"] for r in found.collect()} == {(1, "red"): 2, (1, "blue"): 1, (1, "red blue"): 1, (None, "red"): 2, (None, "red red"): 1}
+    assert not written
+
+
+def test_products_of_blocks(spark):
+    rng = np.random.default_rng(4)
+    w, basis = rng.random((60, 9)) * (rng.random((60, 9)) < 0.3), rng.normal(size=(9, 3))
+    rows = spark.createDataFrame([([int(j) for j in np.flatnonzero(r)], [float(r[j]) for j in np.flatnonzero(r)]) for r in w], "i array<long>, x array<double>")
+    assert np.allclose(X._blocks(rows, basis), w.T @ (w @ basis))
+
+
 def test_axes_are_those_of_the_whole_matrix(spark):
     rng = np.random.default_rng(1)
     w = rng.random((200, 40)) * (rng.random((200, 40)) < 0.2)
