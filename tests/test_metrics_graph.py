@@ -116,3 +116,25 @@ def test_iterated_spectra(spark):
     assert got.keys() == want.keys()
     for k, r in got.items():
         assert np.allclose(r[2:], want[k][2:], atol=1e-6)
+
+
+def test_large_steps_converge_in_few_rounds_without_pairs(spark, monkeypatch):
+    """Steps above the limit are iterated in blocks by tiles, small ones beside them solved densely; no list of pairs is made for the large ones."""
+    monkeypatch.setattr(G, "SMALL_GRAPH", 500)
+    monkeypatch.setattr(G, "SPECTRUM_TILE", 500)
+    u = np.random.default_rng(5).normal(size=(840, 8))
+    rows = [(int(i >= 800), i, [float(x) for x in v]) for i, v in enumerate(u)]
+    n = G.unit_vectors(spark.createDataFrame(rows, "step long, id long, v array<double>"), "v")
+    v = G.settled(G.vertices(n))
+    got = n.select("step", "id", "vid").join(G.spectra(v, 0.5, rounds=60), ["step", "vid"]).toPandas().sort_values("id")
+    unit = u / (np.linalg.norm(u, axis=1)[:, None] + 1e-8)
+    for step, part in got.groupby("step"):
+        x = unit[part["id"]]
+        adj = (x @ x.T > 0.5).astype(float)
+        np.fill_diagonal(adj, 0)
+        values, vectors = np.linalg.eigh(adj)
+        low = np.linalg.eigvalsh(np.diag(adj.sum(axis=1)) - adj)[1]
+        main = np.abs(vectors[:, -1])
+        assert len(x) == (800, 40)[step]
+        assert np.allclose(part["spectral_gap"], values[-1] - values[-2], atol=1e-6) and np.allclose(part["fiedler"], low, atol=1e-6)
+        assert np.allclose(part["weight"], main / (main.max() + 1e-8), atol=1e-5)
