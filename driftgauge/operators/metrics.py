@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftgauge.operators.ordered import running_totals
+from driftgauge.session import stored
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -69,7 +70,7 @@ def recall_at_precision(outcomes: DataFrame, keys: Sequence[str], order: Sequenc
     """
     keys = list(keys)
     walk = running_totals(
-        outcomes, keys, [F.col("p").desc(), *[F.col(c) for c in order]],
+        outcomes.select(*dict.fromkeys([*keys, "p", *order, "y"])), keys, [F.col("p").desc(), *[F.col(c) for c in order]],
         {"rank": F.lit(1).cast("long"), "tp": (F.col("y") == 1).cast("long")}, rows)
     good = F.col("tp") / F.col("rank") >= least
     groups = walk.groupBy(*keys, "p").agg(
@@ -90,7 +91,8 @@ def recall_at_precision(outcomes: DataFrame, keys: Sequence[str], order: Sequenc
 
 def with_halves(outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mark each row first or second by the middle step of its key."""
-    mid = outcomes.groupBy(*keys).agg(F.floor((F.min("step") + F.max("step") + 1) / 2).alias("_mid"))
+    # Stored, so that the few rows are broadcast and the outcomes are not dealt by key.
+    mid = stored(outcomes.groupBy(*keys).agg(F.floor((F.min("step") + F.max("step") + 1) / 2).alias("_mid")))
     out = outcomes.join(mid, list(keys))
     return out.withColumn("half", F.when(F.col("step") < F.col("_mid"), "first").otherwise("second")).drop("_mid")
 

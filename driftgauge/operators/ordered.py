@@ -1,8 +1,9 @@
 """Ordered work per key that stays distributed when one key holds most of the rows.
 
 Every operator here has two plans with the same result. When the largest key group is known to
-fit one task, a plain window per key is used. Otherwise rows are range-partitioned by
-(key, order), each partition is summed, and the sums of earlier partitions are added back.
+fit one task, a plain window per key is used. Otherwise rows are range-partitioned and sorted by
+(key, order), written once with their place or sum inside the partition, and what the earlier partitions
+hold is added to each row from a small table: rows are shuffled once.
 Folds with feedback are one sorted pass with a carried state; states whose steps compose are an
 exact prefix over chunks.
 """
@@ -14,12 +15,13 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
-from driftgauge.session import settled, single_task_rows
+from driftgauge.session import settled, single_task_rows, stored
 
 SLOT = "_slot"
 ALL = "_all"
@@ -64,12 +66,64 @@ def running_totals(
     return _ranged_totals(df, keys, list(order), values).drop(ALL)
 
 
+def _ranged_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows range-partitioned and sorted by (key, order), with their partition `_slot` and their place `_pos` in it."""
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The tie breaker spreads rows that are copies of each other over several partitions.
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tied.repartitionByRange(slots, *[F.col(k) for k in keys], *order, F.col("_tie")).sortWithinPartitions(*keys, *order, "_tie")
+    # The lower 33 bits count the rows of a partition.
+    return ranged.drop("_tie").withColumns({SLOT: F.spark_partition_id(), "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+
+
+def _with_heads(ranged: DataFrame, heads: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what is known of their key and partition: at most one row for each, written first, so that it is seen to be small."""
+    heads = stored(heads).withColumnsRenamed({k: f"_h{i}" for i, k in enumerate(keys)} | {SLOT: "_hs"})
+    on = F.col(SLOT) == F.col("_hs")
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_h{i}"))
+    return ranged.join(heads, on).drop("_hs", *[f"_h{i}" for i in range(len(keys))])
+
+
+def _summed(names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Running sums of whole numbers over all rows of a partition, in the columns `_w_`."""
+    def run(batches):
+        so_far = dict.fromkeys(names, 0)
+        for batch in batches:
+            for n in names:
+                sums = np.cumsum(batch.column(f"_v_{n}").to_numpy(zero_copy_only=False)) + so_far[n]
+                so_far[n] = sums[-1] if len(sums) else so_far[n]
+                batch = batch.append_column(f"_w_{n}", pa.array(sums, pa.int64()))
+            yield batch
+
+    return run
+
+
 def _ranged_totals(df: DataFrame, keys: list[str], order: list[Column],
                    values: Mapping[str, Column]) -> DataFrame:
+    kinds = df.select(*[v.alias(n) for n, v in values.items()]).schema
+    if not all(isinstance(f.dataType, T.IntegralType) for f in kinds):
+        return _window_totals(df, keys, order, values)
+    # A running sum is null until its first value.
+    counted = {n: f"{n}_known" for n in values if kinds[n].nullable}
+    wide = {n: F.coalesce(v.cast("long"), F.lit(0).cast("long")) for n, v in values.items()} | {c: values[n].isNotNull().cast("long") for n, c in counted.items()}
+    rows = _ranged_rows(df.select("*", *[v.alias(f"_v_{n}") for n, v in wide.items()]), keys, order)
+    schema = T.StructType([*rows.schema, *[T.StructField(f"_w_{n}", T.LongType()) for n in wide]])
+    ranged = stored(rows.mapInArrow(_summed(list(wide)), schema))
+    sums = ranged.groupBy(*keys, SLOT).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in wide], *[F.min_by(F.col(f"_w_{n}") - F.col(f"_v_{n}"), "_pos").alias(f"_b_{n}") for n in wide])
+    before = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    heads = sums.select(*keys, SLOT, *[(F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)) - F.col(f"_b_{n}")).alias(f"_h_{n}") for n in wide])
+    out = _with_heads(ranged, heads, keys)
+    total = lambda n: F.col(f"_w_{n}") + F.col(f"_h_{n}")
+    return out.select(*df.columns, *[(F.when(total(counted[n]) > 0, total(n)) if n in counted else total(n)).alias(n) for n in values])
+
+
+def _window_totals(df: DataFrame, keys: list[str], order: list[Column],
+                   values: Mapping[str, Column]) -> DataFrame:
+    """Sums of fractions, each in the order of the rows."""
     slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for name, value in values.items():
         df = df.withColumn(f"_v_{name}", value)
-    # The tie breaker spreads rows that are copies of each other over several partitions.
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
     ranged = tied.repartitionByRange(slots, *[F.col(k) for k in keys], *order, F.col("_tie"))
     ranged = settled(ranged.withColumn(SLOT, F.spark_partition_id()))
@@ -105,12 +159,13 @@ def row_index(
         out = df.withColumn(index, F.row_number().over(part.orderBy(*order)).cast("long") - 1)
         out = out.withColumn(total, F.count(F.lit(1)).over(part)) if total else out
         return out.drop(ALL)
-    out = _ranged_totals(df, keys, order, {index: F.lit(1).cast("long")})
-    out = out.withColumn(index, F.col(index) - 1)
-    if total:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total))
-        out = out.join(sizes, keys)
-    return out.drop(ALL)
+    ranged = stored(_ranged_rows(df, keys, order))
+    part = Window.partitionBy(*keys)
+    before = part.orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
+    per = ranged.groupBy(*keys, SLOT).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    heads = per.select(*keys, SLOT, (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_ahead"), F.sum("_rows").over(part).alias("_all_rows"))
+    size = [F.col("_all_rows").alias(total)] if total else []
+    return _with_heads(ranged, heads, keys).select(*df.columns, (F.col("_pos") + F.col("_ahead")).alias(index), *size).drop(ALL)
 
 
 def exact_quantiles(

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from driftgauge.functions import scalar as S
 from driftgauge.operators.evidence import top_k
 from driftgauge.operators.ordered import ordered_fold, row_index
+from driftgauge.session import stored
 
 # Fixed values of the prototype encoder.
 MAX_PROTOTYPES, UPDATE_RATE, EMA, HORIZON = 12, 0.18, 0.84, 16
@@ -231,7 +232,7 @@ def pulled(own: DataFrame, registry: DataFrame, family: Column, vector: str) ->
 
 def support_scores(rows_df: DataFrame, key: str, features: Sequence[str], worth: Column) -> DataFrame:
     """Score of each row: its worth plus 0.15 of its distance from the mean of its regime."""
-    mean = rows_df.groupBy(key).agg(*[F.avg(f).alias(f"_m_{f}") for f in features])
+    mean = stored(rows_df.groupBy(key).agg(*[F.avg(f).alias(f"_m_{f}") for f in features]))
     d = sum(((F.col(f) - F.col(f"_m_{f}")) * (F.col(f) - F.col(f"_m_{f}")) for f in features), F.lit(0.0))
     return rows_df.join(mean, key).withColumn("support_score", worth + 0.15 * F.sqrt(d)).drop(
         *[f"_m_{f}" for f in features])

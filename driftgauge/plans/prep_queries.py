@@ -9,6 +9,7 @@ from driftgauge.operators import batches as B
 from driftgauge.operators import prepare as P
 from driftgauge.plans import canon as C
 from driftgauge.plans.registry import query, r6, table
+from driftgauge.session import stored
 from driftgauge.sources import resolve as R
 
 ORDER_TIME = ("o_orderdate", "o_orderkey")
@@ -417,7 +418,7 @@ def segments_and_corrections(spark, folder):
     """Risk segment, rank vector, row delta, corrected and calibrated score of every row."""
     b = C.line_batches(spark, folder, keep_tail=True)
     ref = B.reference_profile(B.reference_window(B.batch_stats(b, C.LINE_FEATURES)), 4)
-    j = b.join(ref.select("stream_id", "ref_mean", "ref_var"), "stream_id")
+    j = b.join(stored(ref.select("stream_id", "ref_mean", "ref_var")), "stream_id")
     p, lit = F.col("p"), F.lit
     j = j.withColumn("z", S.standardized([F.col(c) for c in C.LINE_FEATURES], F.col("ref_mean"), F.col("ref_var")))
     j = j.withColumn("segment", S.segment_of(p, F.col("z")))

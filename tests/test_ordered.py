@@ -33,6 +33,24 @@ def test_row_index_without_keys(spread):
     assert (got["idx"] == 99 - got["o"]).all() and set(got["n"]) == {100}
 
 
+def test_ranged_plan_keeps_null_keys_and_deals_rows_once(spread):
+    df = spread.range(300).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("k"), F.col("id").alias("o"), F.when(F.col("id") > 30, F.col("id")).alias("v"))
+    got = O.row_index(df, ["k"], [F.col("o").desc()], total="n")
+    rows = got.toPandas()
+    for key, part in rows.groupby("k", dropna=False):
+        assert sorted(part["idx"]) == list(range(len(part))) and set(part["n"]) == {len(part)}
+        assert part.sort_values("o")["idx"].is_monotonic_decreasing
+    assert len(rows) == 300
+    sums = O.running_totals(df, ["k"], [F.col("o")], {"s": F.col("v")})
+    rows = sums.toPandas().sort_values("o")
+    for key, part in rows.groupby("k", dropna=False):
+        want = part["v"].cumsum()
+        assert part["s"].isna().equals(want.isna()) and part["s"].dropna().tolist() == want.dropna().tolist()
+    for plan in (got, sums):
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in text and "Repartition" not in text
+
+
 def test_exact_quantiles(spread):
     pdf = skewed(spread)
     got = O.exact_quantiles(spread.createDataFrame(pdf), ["k"], "o", {"q": 0.3, "m": 0.5}).toPandas().set_index("k")
