@@ -182,7 +182,7 @@ def exact_quantiles(
     df, keys = _keyed(df, keys)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     cum = running_totals(counts, keys, [F.col(value)], {"_cum": F.col("_n")}, rows)
-    size = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+    size = stored(counts.groupBy(*keys).agg(F.sum("_n").alias("_size")))
     joined = cum.join(size, keys)
     aggs = []
     for name, q in quantiles.items():

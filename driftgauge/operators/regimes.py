@@ -265,7 +265,8 @@ def diverse_support(rows_df: DataFrame, key: str, features: Sequence[str], label
 
     flags = ordered_fold(ranked.select(key, "rank", label, *features), [key], "rank", [0.0] * (2 + size * k), block,
                          [T.StructField("picked", T.BooleanType())])
-    out = ranked.join(flags, [key, "rank"])
+    # Those picked and the first `size` hold every row that may be returned.
+    out = ranked.join(stored(flags.where(F.col("picked") | (F.col("rank") < size))), [key, "rank"])
     return top_k(out, [key], [F.desc("picked"), F.col("rank")], size)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgauge.operators.ordered import (bounded_windows, clamped_scan, exact_quantiles, islands, ordered_fold, row_index)
+from driftgauge.session import stored
 
 DOUBLE = T.DoubleType()
 # Spans and decays of the three competing averages.
@@ -350,7 +351,8 @@ def temporal_context(rows_df: DataFrame, key: str, time: str, features: Sequence
     base = bounded_windows(base, [key], "idx", 1, lagged, rows)
     gap = F.coalesce(F.col(time) - F.col("_prev"), F.lit(0)).cast("double")
     base = base.withColumn("gap", gap)
-    mid = exact_quantiles(base.where(F.col("gap") > 0).select(key, "gap"), [key], "gap", {"_median": 0.5}, rows)
+    # Stored, so that the few rows are broadcast and the rows are not dealt by key.
+    mid = stored(exact_quantiles(base.where(F.col("gap") > 0).select(key, "gap"), [key], "gap", {"_median": 0.5}, rows))
 
     # Running means start at the first row; the mean before a row follows from the mean after it.
     first, free = F.col("idx") == 0, float("inf")
