@@ -60,35 +60,68 @@ def ranking(outcomes: DataFrame, keys: Sequence[str], rows: int | None = None) -
                        F.when(both, F.col("_ap") / F.col("n_pos")).alias("pr_auc"))
 
 
-def recall_at_precision(outcomes: DataFrame, keys: Sequence[str], order: Sequence[str], least: float = 0.80,
-                        rows: int | None = None) -> DataFrame:
+def recall_at_precision(outcomes: DataFrame, keys: Sequence[str], order: Sequence[str], least: float = 0.80) -> DataFrame:
     """Best recall at a minimum precision, walking down the scores.
 
     The walk ends, after a first hit, at the first lower score whose row falls under the precision.
-    Rows of one score are taken in `order`. Only score groups can end the walk, so rows are reduced to
-    groups before the end is looked for.
+    Rows of one score are taken in `order`. Rows are reduced to score groups in one pass: running counts of the groups tell
+    the first and the last row of each and bound those between, so only groups that the bounds leave open are walked by row.
     """
-    keys = list(keys)
-    walk = running_totals(
-        outcomes.select(*dict.fromkeys([*keys, "p", *order, "y"])), keys, [F.col("p").desc(), *[F.col(c) for c in order]],
-        {"rank": F.lit(1).cast("long"), "tp": (F.col("y") == 1).cast("long")}, rows)
-    good = F.col("tp") / F.col("rank") >= least
-    groups = walk.groupBy(*keys, "p").agg(
-        F.min("rank").alias("first"), F.min_by(good, "rank").alias("first_good"),
-        F.min(F.when(good, F.col("rank"))).alias("hit"), F.max(F.when(good, F.col("tp"))).alias("best"))
-    start = groups.groupBy(*keys).agg(F.min("hit").alias("_hit"))
+    keys, order = list(keys), list(order)
+    hit = F.coalesce(F.col("y") == 1, F.lit(False))
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    counts = outcomes.groupBy(*keys, "p").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") == 0).alias("neg"),
+        F.min_by(hit.cast("long"), at).alias("lead"))
+    # Stored, so that the rows are read once.
+    counts = stored(counts)
+    groups = running_totals(counts, keys, [F.col("p").desc()], {"rank": F.col("n"), "tp": F.col("pos")})
+    above, found = F.col("rank") - F.col("n"), F.col("tp") - F.col("pos")
+    # No row of a group is more precise than its last positive would be if the positives came first.
+    groups = groups.select(
+        *keys, "p", "n", (above + 1).alias("first"), above.alias("above"), found.alias("found"), "tp",
+        ((found + F.col("lead")) / (above + 1) >= least).alias("first_good"), (F.col("tp") / F.col("rank") >= least).alias("last_good"),
+        F.coalesce(F.col("tp") / F.nullif(above + F.col("pos"), F.lit(0)) >= least, F.lit(False)).alias("may"))
+    groups = stored(groups)
+    known = groups.groupBy(*keys).agg(F.min(F.when(F.col("first_good") | F.col("last_good"), F.col("first"))).alias("_known"))
+    # A group that begins under the precision after a known hit ends the walk, or an earlier one does.
+    lower = ~F.col("first_good") & (F.col("first") > F.col("_known"))
+    ends = groups.join(known, keys).groupBy(*keys).agg(F.min(F.when(lower, F.col("first"))).alias("_end"))
+    unsure = groups.join(ends, keys).where(
+        F.col("may") & ~F.col("last_good") & (F.col("_end").isNull() | (F.col("first") < F.col("_end"))))
+    walked = _walked(outcomes, unsure, keys, order, least)
+    same = [groups[k] == walked[k] for k in keys] + [groups["p"].eqNullSafe(walked["p"])]
+    groups = groups.join(walked, same, "left").select(
+        *[groups[k] for k in keys], "first", "first_good", F.when(F.col("last_good"), F.col("tp")).otherwise(F.col("_best")).alias("best"))
+    start = groups.groupBy(*keys).agg(F.min(F.when(F.col("first_good") | F.col("best").isNotNull(), F.col("first"))).alias("_hit"))
     groups = groups.join(start, keys)
     stop = groups.groupBy(*keys).agg(
         F.min(F.when(~F.col("first_good") & (F.col("first") > F.col("_hit")), F.col("first"))).alias("_stop"))
     kept = groups.join(stop, keys).where(F.col("_stop").isNull() | (F.col("first") < F.col("_stop")))
     best = kept.groupBy(*keys).agg(F.max("best").alias("_tp"))
-    totals = outcomes.groupBy(*keys).agg(
-        F.count_if(F.col("y") == 1).alias("_p"), F.count_if(F.col("y") == 0).alias("_n"))
+    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     value = F.when((F.col("_p") == 0) | (F.col("_n") == 0), F.lit(None)).otherwise(
         F.coalesce(F.col("_tp") / F.col("_p"), F.lit(0.0)))
     return totals.join(best, keys, "left").select(*keys, value.alias("recall_at_precision"))
 
 
+def _walked(outcomes: DataFrame, groups: DataFrame, keys: list[str], order: list[str], least: float) -> DataFrame:
+    """Most positives seen at a row that reaches the precision, in each of the given score groups that has such a row."""
+    # Stored, so that few groups are broadcast and the outcomes are not dealt by score.
+    few = stored(groups.select(*keys, "p", "above", "found", "n"))
+    longest = few.agg(F.max("n").alias("m")).first()["m"]
+    if longest is None:
+        return few.select(*keys, "p", F.lit(None).cast("long").alias("_best"))
+    few = few.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("p").alias("_p"), "above", "found")
+    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(keys)] + [F.col("p").eqNullSafe(F.col("_p"))]
+    inner = outcomes.select(*dict.fromkeys([*keys, "p", *order, "y"])).join(few, same)
+    walk = running_totals(
+        inner.select(*dict.fromkeys([*keys, "p", *order, "y", "above", "found"])), [*keys, "p"], [F.col(c) for c in order],
+        {"_rank": F.lit(1).cast("long"), "_tp": F.coalesce(F.col("y") == 1, F.lit(False)).cast("long")}, longest)
+    tp = F.col("found") + F.col("_tp")
+    return stored(walk.where(tp / (F.col("above") + F.col("_rank")) >= least).groupBy(*keys, "p").agg(F.max(tp).alias("_best")))
+
+
 def with_halves(outcomes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Mark each row first or second by the middle step of its key."""
     # Stored, so that the few rows are broadcast and the outcomes are not dealt by key.

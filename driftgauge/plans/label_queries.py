@@ -208,8 +208,7 @@ tot AS (SELECT stream_id, strategy, sum(y) AS np, sum(1-y) AS nn FROM outcomes G
 SELECT t.stream_id, t.strategy, CASE WHEN np>0 AND nn>0 THEN round(coalesce(tp/np,0.0),6) END AS recall_at_precision FROM tot t
 LEFT JOIN best b ON t.stream_id=b.stream_id AND t.strategy=b.strategy""")
 def recall_at_precision(spark, folder):
-    rows = C.stream_rows(spark, folder, "lineitem")
-    m = M.recall_at_precision(outcomes(spark, folder), KEY, ["rid"], 0.36, rows)
+    m = M.recall_at_precision(outcomes(spark, folder), KEY, ["rid"], 0.36)
     return m.select(*KEY, r6("recall_at_precision"))
 
 

@@ -138,3 +138,34 @@ def test_large_steps_converge_in_few_rounds_without_pairs(spark, monkeypatch):
         assert len(x) == (800, 40)[step]
         assert np.allclose(part["spectral_gap"], values[-1] - values[-2], atol=1e-6) and np.allclose(part["fiedler"], low, atol=1e-6)
         assert np.allclose(part["weight"], main / (main.max() + 1e-8), atol=1e-5)
+
+
+def test_recall_at_precision_walks_open_groups_only(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for k, shift in (("a", 0.0), ("b", 0.35), ("c", -0.3), ("d", 0.15)):
+        p = np.round(rng.random(300), 1)
+        y = (rng.random(300) < np.clip(p + shift, 0, 1)).astype(int)
+        score = [None if i % 37 == 0 else float(v) for i, v in enumerate(p)]
+        rows += [(k, s, int(b), i) for i, (s, b) in enumerate(zip(score, y))]
+        walk = sorted(range(300), key=lambda i: (score[i] is None, -(score[i] or 0.0), i))
+        best, found, tp = 0.0, False, 0
+        for n, i in enumerate(walk):
+            tp += y[i]
+            if tp / (n + 1) >= 0.6:
+                best, found = max(best, tp / y.sum()), True
+            elif found and score[i] != score[walk[n - 1]]:
+                break
+        want[k] = best
+    walked = []
+    totals = M.running_totals
+
+    def counted(df, *args):
+        walked.append(df.count())
+        return totals(df, *args)
+
+    monkeypatch.setattr(M, "running_totals", counted)
+    df = spark.createDataFrame(rows, "k string, p double, y int, rid long")
+    got = {r["k"]: r["recall_at_precision"] for r in M.recall_at_precision(df, ["k"], ["rid"], 0.6).collect()}
+    assert got == pytest.approx(want)
+    assert sum(walked) < len(rows) / 2
