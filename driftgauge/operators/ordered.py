@@ -16,7 +16,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
@@ -27,6 +27,10 @@ SLOT = "_slot"
 ALL = "_all"
 #: Steps of a chunk in a composed scan, and chunks of a run.
 SCAN_ROWS = 512
+#: Most rows of the largest key that one range of a spread key should hold.
+SLOT_ROWS = 500_000
+#: Rows of a chunk of a long key under a finite window, unless the frames reach far.
+WINDOW_ROWS = 32_768
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -63,12 +67,17 @@ def running_totals(
     if _fits(df, keys, rows):
         frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(v).over(frame).alias(n) for n, v in values.items()]).drop(ALL)
-    return _ranged_totals(df, keys, list(order), values).drop(ALL)
+    return _ranged_totals(df, keys, list(order), values, rows).drop(ALL)
 
 
-def _ranged_rows(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def _slots(spark: SparkSession, rows: int) -> int:
+    """Partitions for a key of so many rows: the session's number, more if these would grow large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // SLOT_ROWS))
+
+
+def _ranged_rows(df: DataFrame, keys: list[str], order: list[Column], rows: int | None) -> DataFrame:
     """Rows range-partitioned and sorted by (key, order), with their partition `_slot` and their place `_pos` in it."""
-    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = _slots(df.sparkSession, rows or 0)
     # The tie breaker spreads rows that are copies of each other over several partitions.
     tied = df.withColumn("_tie", F.monotonically_increasing_id())
     ranged = tied.repartitionByRange(slots, *[F.col(k) for k in keys], *order, F.col("_tie")).sortWithinPartitions(*keys, *order, "_tie")
@@ -100,14 +109,14 @@ def _summed(names: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def _ranged_totals(df: DataFrame, keys: list[str], order: list[Column],
-                   values: Mapping[str, Column]) -> DataFrame:
+                   values: Mapping[str, Column], most: int | None) -> DataFrame:
     kinds = df.select(*[v.alias(n) for n, v in values.items()]).schema
     if not all(isinstance(f.dataType, T.IntegralType) for f in kinds):
         return _window_totals(df, keys, order, values)
     # A running sum is null until its first value.
     counted = {n: f"{n}_known" for n in values if kinds[n].nullable}
     wide = {n: F.coalesce(v.cast("long"), F.lit(0).cast("long")) for n, v in values.items()} | {c: values[n].isNotNull().cast("long") for n, c in counted.items()}
-    rows = _ranged_rows(df.select("*", *[v.alias(f"_v_{n}") for n, v in wide.items()]), keys, order)
+    rows = _ranged_rows(df.select("*", *[v.alias(f"_v_{n}") for n, v in wide.items()]), keys, order, most)
     schema = T.StructType([*rows.schema, *[T.StructField(f"_w_{n}", T.LongType()) for n in wide]])
     ranged = stored(rows.mapInArrow(_summed(list(wide)), schema))
     sums = ranged.groupBy(*keys, SLOT).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in wide], *[F.min_by(F.col(f"_w_{n}") - F.col(f"_v_{n}"), "_pos").alias(f"_b_{n}") for n in wide])
@@ -159,7 +168,7 @@ def row_index(
         out = df.withColumn(index, F.row_number().over(part.orderBy(*order)).cast("long") - 1)
         out = out.withColumn(total, F.count(F.lit(1)).over(part)) if total else out
         return out.drop(ALL)
-    ranged = stored(_ranged_rows(df, keys, order))
+    ranged = stored(_ranged_rows(df, keys, order, rows))
     part = Window.partitionBy(*keys)
     before = part.orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
     per = ranged.groupBy(*keys, SLOT).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_rows"))
@@ -283,15 +292,19 @@ def clamped_scan(
     keys, keep, names = list(keys), list(keep), list(maps)
     free = float("inf")
     low, high, start = ({n: float(maps[n][i]) for n in names} for i in (2, 3, 4))
-    maps_of = F.struct(*[F.struct(maps[n][0].cast("double").alias("a"), maps[n][1].cast("double").alias("b"), F.lit(low[n]).alias("low"), F.lit(high[n]).alias("high")).alias(n)
-                         for n in names])
+    # A row carries slope and shift only; the bounds are the same in all rows.
+    maps_of = [c.cast("double").alias(f"_{ab}{i}") for i, n in enumerate(names) for ab, c in zip("ab", maps[n])]
+
+    def map_of(r: Column) -> Column:
+        return F.struct(*[F.struct(r[f"_a{i}"].alias("a"), r[f"_b{i}"].alias("b"), F.lit(low[n]).alias("low"), F.lit(high[n]).alias("high")).alias(n) for i, n in enumerate(names)])
+
     nothing = F.struct(*[F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(-free).alias("low"), F.lit(free).alias("high")).alias(n) for n in names])
     initial = F.struct(*[F.lit(start[n]).alias(n) for n in names])
     place = F.floor(F.col(step) / chunk).cast("long")
-    rows = df.select(*keys, F.floor(place / chunk).cast("long").alias("_run"), place.alias("_chunk"), F.struct(step, *keep, maps_of.alias("_maps")).alias("_row"))
+    rows = df.select(*keys, F.floor(place / chunk).cast("long").alias("_run"), place.alias("_chunk"), F.struct(step, *keep, *maps_of).alias("_row"))
     # One shuffle serves the chunks and the window over them.
     chunks = rows.repartition(*keys, "_run").groupBy(*keys, "_run", "_chunk").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
-    own = chunks.withColumn("_own", F.aggregate("_rows", nothing, lambda m, r: _then(m, r["_maps"], names)))
+    own = chunks.withColumn("_own", F.aggregate("_rows", nothing, lambda m, r: _then(m, map_of(r), names)))
     before = Window.partitionBy(*keys, "_run").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     led = own.withColumn("_led", F.aggregate(F.collect_list("_own").over(before), nothing, lambda m, c: _then(m, c, names)))
     runs = led.groupBy(*keys, "_run").agg(F.max_by(_then(F.col("_led"), F.col("_own"), names), "_chunk").alias("_all")) \
@@ -301,13 +314,13 @@ def clamped_scan(
     starts = runs.select(*keys, F.explode(ahead["out"]).alias("_s")).select(*keys, "_s.*")
     both = led.join(starts, [*keys, "_run"])
     values = F.aggregate("_rows", F.struct(_applied(F.col("_led"), F.col("_first"), names).alias("v"), F.array().cast(
-        f"array<struct<{','.join(f'`{n}`:double' for n in names)}>>").alias("out")), lambda s, r: _follow(s, r, names), lambda s: s["out"])
+        f"array<struct<{','.join(f'`{n}`:double' for n in names)}>>").alias("out")), lambda s, r: _follow(s, map_of(r), names), lambda s: s["out"])
     each = both.select(*keys, F.explode(F.arrays_zip(F.col("_rows").alias("r"), values.alias("v"))).alias("_z"))
     return each.select(*keys, *[F.col(f"_z.r.{c}").alias(c) for c in [step, *keep]], *[F.col(f"_z.v.{n}").alias(n) for n in names])
 
 
-def _follow(s: Column, r: Column, names: Sequence[str]) -> Column:
-    v = _applied(r["_maps"], s["v"], names)
+def _follow(s: Column, maps: Column, names: Sequence[str]) -> Column:
+    v = _applied(maps, s["v"], names)
     return F.struct(v.alias("v"), F.array_append(s["out"], v).alias("out"))
 
 
@@ -326,10 +339,10 @@ def bounded_windows(
     each chunk also gets the neighbouring rows its frames can see.
     """
     keys = list(keys)
-    if _fits(df, keys, rows):
+    size = max(min(single_task_rows(df.sparkSession), WINDOW_ROWS), 4 * (reach + ahead + 1))
+    if (largest_group(df, keys) if rows is None else rows) <= size:
         over = Window.partitionBy(*keys).orderBy(step)
         return df.select("*", *[c.alias(n) for n, c in columns(over).items()])
-    size = max(single_task_rows(df.sparkSession), 4 * (reach + ahead + 1))
     s = F.col(step)
     seen = F.array_distinct(F.array(
         F.floor(F.greatest(s - ahead, F.lit(0)) / size), F.floor(s / size), F.floor((s + reach) / size)))

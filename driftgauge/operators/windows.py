@@ -350,7 +350,8 @@ def temporal_context(rows_df: DataFrame, key: str, time: str, features: Sequence
 
     base = bounded_windows(base, [key], "idx", 1, lagged, rows)
     gap = F.coalesce(F.col(time) - F.col("_prev"), F.lit(0)).cast("double")
-    base = base.withColumn("gap", gap)
+    # Stored, so that the quantiles and both passes of the scan read it and do not order the rows again.
+    base = stored(base.withColumn("gap", gap).drop("_prev"))
     # Stored, so that the few rows are broadcast and the rows are not dealt by key.
     mid = stored(exact_quantiles(base.where(F.col("gap") > 0).select(key, "gap"), [key], "gap", {"_median": 0.5}, rows))
 

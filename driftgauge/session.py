@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SINGLE_TASK_ROWS = "spark.driftgauge.singleTaskRows"
-DEFAULT_SINGLE_TASK_ROWS = 2_000_000
+DEFAULT_SINGLE_TASK_ROWS = 500_000
 
 
 def local_session(cores: str = "*", app: str = "driftgauge") -> SparkSession:

@@ -123,3 +123,14 @@ def test_context_does_not_depend_on_batches(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     b = temporal_context(df, "k", "t", ["a", "b"], order, rows=900).orderBy("id").toPandas()
     pd.testing.assert_frame_equal(a, b, rtol=1e-12)
+
+
+def test_long_keys_are_cut_for_finite_windows_and_ranges(spark):
+    from driftgauge.operators import ordered as O
+
+    df = spark.range(100_000).select(F.lit("s").alias("k"), F.col("id").alias("step"))
+    cut = O.bounded_windows(df, ["k"], "step", 1, lambda w: {"before": F.lag("step").over(w)}, 100_000)
+    assert "_chunk" in cut._jdf.queryExecution().analyzed().toString()
+    assert cut.where("before = step - 1").count() == 99_999 and cut.count() == 100_000
+    ranged = O._ranged_rows(df, ["k"], [F.col("step")], 20 * O.SLOT_ROWS)
+    assert ranged.select("_slot").distinct().count() == 20
