@@ -25,8 +25,9 @@ from driftgauge.session import settled, single_task_rows, stored
 
 SLOT = "_slot"
 ALL = "_all"
-#: Steps of a chunk in a composed scan, and chunks of a run.
+#: Steps of a chunk in a composed scan, and most chunks of a run, which is one group of one task.
 SCAN_ROWS = 512
+RUN_CHUNKS = 64
 #: Most rows of the largest key that one range of a spread key should hold.
 SLOT_ROWS = 500_000
 #: Rows of a chunk of a long key under a finite window, unless the frames reach far.
@@ -286,7 +287,7 @@ def clamped_scan(
     """Running values `v = min(high, max(low, slope * v + shift))` along `step` of each key, for keys of any length.
 
     maps: name -> (slope >= 0, shift, low, high, start). Such maps compose to one of their kind, so steps are gathered into chunks of `chunk` steps and each
-    is reduced to one map; up to `chunk` chunks form a run, inside which the maps of earlier chunks are composed by a window; the
+    is reduced to one map; up to `RUN_CHUNKS` chunks form a run, inside which the maps of earlier chunks are composed by a window; the
     few runs of a key give each run its exact start. All of it stays in the JVM, with one shuffle of the rows, by run; no task holds more than a run.
     """
     keys, keep, names = list(keys), list(keep), list(maps)
@@ -301,7 +302,7 @@ def clamped_scan(
     nothing = F.struct(*[F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(-free).alias("low"), F.lit(free).alias("high")).alias(n) for n in names])
     initial = F.struct(*[F.lit(start[n]).alias(n) for n in names])
     place = F.floor(F.col(step) / chunk).cast("long")
-    rows = df.select(*keys, F.floor(place / chunk).cast("long").alias("_run"), place.alias("_chunk"), F.struct(step, *keep, *maps_of).alias("_row"))
+    rows = df.select(*keys, F.floor(place / min(chunk, RUN_CHUNKS)).cast("long").alias("_run"), place.alias("_chunk"), F.struct(step, *keep, *maps_of).alias("_row"))
     # One shuffle serves the chunks and the window over them.
     chunks = rows.repartition(*keys, "_run").groupBy(*keys, "_run", "_chunk").agg(F.sort_array(F.collect_list("_row")).alias("_rows"))
     own = chunks.withColumn("_own", F.aggregate("_rows", nothing, lambda m, r: _then(m, map_of(r), names)))

@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from driftgauge.operators import drift as D
 from driftgauge.operators import ordered as O
 
 
@@ -134,3 +135,31 @@ def test_long_keys_are_cut_for_finite_windows_and_ranges(spark):
     assert cut.where("before = step - 1").count() == 99_999 and cut.count() == 100_000
     ranged = O._ranged_rows(df, ["k"], [F.col("step")], 20 * O.SLOT_ROWS)
     assert ranged.select("_slot").distinct().count() == 20
+
+
+def test_long_runs_of_a_scan_are_shared_by_tasks(spark):
+    n = O.SCAN_ROWS * O.RUN_CHUNKS * 3
+    df = spark.range(n).select(F.lit("a").alias("stream_id"), F.col("id").alias("step"), (F.col("id") % 7).cast("double").alias("x"))
+    got = O.clamped_scan(df, ["stream_id"], "step", {"v": (F.lit(0.9), F.col("x"), -1.0, 40.0, 0.5)})
+    text = got._jdf.queryExecution().analyzed().toString()
+    assert f"cast({O.RUN_CHUNKS} as double)" in text
+    v, want = 0.5, []
+    for i in range(n):
+        v = min(40.0, max(-1.0, 0.9 * v + i % 7))
+        want.append(v)
+    assert np.allclose(got.toPandas().sort_values("step")["v"].to_numpy(), want, atol=1e-9)
+
+
+def test_long_reference_windows_are_ranked_and_keep_batches_without_score(spark):
+    n = 2000
+    risk = [None if i in (3, 700, 1999) else float(i * 37 % 101) for i in range(n)]
+    rows = [("a", i, n, n // 4, risk[i]) for i in range(n)]
+    df = spark.createDataFrame(rows, "stream_id string, step long, n_steps long, ref_batches long, raw_risk double")
+    got = D.tail_counts(df, n)
+    assert "ref_scores" not in got._jdf.queryExecution().logical().toString()
+    ref = [r for r in risk[:n // 4] if r is not None]
+    want = [0 if r is None else sum(s >= r for s in ref) for r in risk]
+    assert got.orderBy("step").toPandas()["tail_count"].tolist() == want
+    # No bound given: ranked too, and short windows still compare lists.
+    assert D.tail_counts(df).orderBy("step").toPandas()["tail_count"].tolist() == want
+    assert "ref_scores" in D.tail_counts(df, 800)._jdf.queryExecution().logical().toString()
