@@ -408,7 +408,7 @@ def term_weights(spark, folder):
 @query("text_dimensions")
 def text_dimensions(spark, folder):
     w, _ = text_weights(spark, folder)
-    return X.reduced(settled(w), "doc_id", VOCABULARY, 8).select("doc_id", *[F.round(f"d{i}", 6).alias(f"d{i}") for i in range(8)])
+    return X.reduced(w, "doc_id", VOCABULARY, 8).select("doc_id", *[F.round(f"d{i}", 6).alias(f"d{i}") for i in range(8)])
 
 
 @query("logistic_scores")
