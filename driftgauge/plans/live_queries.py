@@ -8,7 +8,7 @@ from driftgauge.operators import batches as B
 from driftgauge.plans import canon as C
 from driftgauge.plans.decision_queries import DECISION_INPUT_SQL, DECISION_SQL, trend_sql
 from driftgauge.plans.registry import query, r6
-from driftgauge.session import settled
+from driftgauge.session import settled, stored
 from driftgauge.sources import sinks
 from driftgauge.streaming import governed as G
 from driftgauge.streaming import live
@@ -65,10 +65,10 @@ def heartbeat(rows, days=0):
 
 
 def in_files(parts, spark, name):
-    """One file per part, in this order; a stream reads one after the other."""
+    """One file per part, in this order; a stream reads one after the other. Parts are computed in many tasks before one task writes the file."""
     path = sinks.scratch(spark, name)
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(path)
+        stored(part).coalesce(1).write.mode("append").parquet(path)
     base, last = path.rsplit("/", 1)
     return live.table_stream(spark, base, last, files_per_trigger=1)
 
@@ -96,7 +96,7 @@ def live_signals(spark, folder, name):
 round(score,6) AS score, alert, severe, round(p_value,6) AS p_value, 1 AS reference_version FROM signals""")
 def stream_signals(spark, folder):
     """Signals of batches that close in the stream, against the version of the reference in force."""
-    out = finished(spark, live_signals(spark, folder, "signal-rows"), "signals")
+    out = finished(spark, live_signals(spark, folder, "signal-rows"), "signals", keyed=True)
     return out.select("stream_id", "step", "n", r6("feature_score"), r6("output_score"), r6("score"), "alert", "severe", r6("p_value"), "reference_version")
 
 

@@ -176,20 +176,29 @@ def topic_writer(servers: str, topic: str, fields: Sequence[str]) -> Writer:
         "kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
+#: Native memory of all keyed state of an executor, whatever the number of its partitions, unless the session bounds it itself.
+STORE_MB = 256
+
+
 @contextmanager
 def keyed_store(spark: SparkSession) -> Iterator[None]:
-    """Streams started inside keep their state in RocksDB, which `transformWithState` needs; the session's own store is set again after."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Streams started inside keep their state in RocksDB, which `transformWithState` needs, in bounded memory; the session's own settings are set again after."""
+    base = "spark.sql.streaming.stateStore."
+    wanted = {f"{base}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    if spark.conf.get(f"{base}rocksdb.boundedMemoryUsage", "false") != "true":
+        wanted |= {f"{base}rocksdb.boundedMemoryUsage": "true", f"{base}rocksdb.maxMemoryUsageMB": str(STORE_MB)}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", keyed: bool = False) -> StreamingQuery:
-    """Process everything there is now into a table, and stop. `keyed`: the stream has a keyed processor such as `governed`."""
+    """Process everything there is now into a table, and stop. `keyed`: the stream has a keyed processor such as `governed`, or more state than the heap holds."""
     writer = (stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
               .outputMode(mode).trigger(availableNow=True))
     # A started stream has its own copy of the settings.

@@ -190,3 +190,30 @@ def test_repair_rewrites_only_the_days_that_late_labels_touch(spark, tmp_path):
     got = {r["step"]: (r["revealed"], r["batch_accuracy"]) for r in spark.read.parquet(str(table)).collect()}
     assert got[2][0] == got[3][0] == got[4][0] == got[5][0] == 5 and got[1][0] == 2 and got[7][0] == 2
     assert got[3][1] == 0.6 and got[0][1] == 0.4
+
+
+def test_ranks_come_from_blocks_of_the_reference(spark):
+    scores = [0.0, 0.4, 0.4, 0.8, 0.8, 0.8, 2.0, 2.8, 2.8, 3.6, 6.0]
+    rows = spark.createDataFrame([("a", n, DAY + timedelta(hours=n), 0.1 + 0.1 * n, n % 2, 1.0 * n, n) for n in range(10)] + [("b", 0, DAY, 0.5, 1, 1.0, 0)],
+                                 "stream_id string, step long, closed_at timestamp, p double, y int, f0 double, event_id long")
+    one = spark.createDataFrame([("a", 4, [1.0], [1.0], 0.5, 0.5, 0.5, 0.5, 1, scores), ("b", 4, [1.0], [1.0], 0.5, 0.5, 0.5, 0.5, 1, [])],
+                                "stream_id string, ref_batches long, ref_mean array<double>, ref_var array<double>, ref_mean_entropy double, ref_mean_p double, ref_positive_rate double, "
+                                "ref_mean_conf double, version int, ref_scores array<double>").withColumns({c: F.lit(None).cast("timestamp") for c in ("valid_from", "valid_to")})
+    out = G.live_signals(rows, ["f0"], one, "1 hour")
+    got = out.collect()
+    assert len(got) == 11 and all(r["tail_count"] == (sum(s >= r["raw_risk"] for s in scores) if r["stream_id"] == "a" else 0) for r in got)
+    assert len({r["tail_count"] for r in got}) > 2 and not [c for c in out.columns if c.startswith("_") or c == "ref_scores"]
+
+
+def test_keyed_state_is_bounded(spark):
+    names = [f"spark.sql.streaming.stateStore.rocksdb.{n}" for n in ("boundedMemoryUsage", "maxMemoryUsageMB")]
+    before = [spark.conf.get(n, None) for n in names]
+    with live.keyed_store(spark):
+        assert spark.conf.get(names[0]) == "true" and int(spark.conf.get(names[1])) == live.STORE_MB
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_answers_come_in_frames_of_bounded_size():
+    run = G.GovernedRun("multi_action", D.Rules(), 0, 10, 10)
+    made = ({"step": n, "status": "late"} for n in range(2 * G.ROWS_AT_ONCE + 1))
+    assert [len(f) for f in run._frames(("s",), made)] == [G.ROWS_AT_ONCE, G.ROWS_AT_ONCE, 1]
