@@ -8,6 +8,9 @@ tiles that is left is one group of a shuffle, compared whole by exclusive-or and
 their four quarters, and strips whose quarter counts differ by more than the radius together are skipped too. A tile pair
 returns a spanning forest of its links, never all pairs.
 
+Large tiles are compared by quarters of 16 bits: two fingerprints within the radius have a quarter within its share of it, so only fingerprints whose values of
+one quarter are that near are compared at all, and every quarter is tried.
+
 Defined cases: a null or empty text, or one of white space only, has fingerprint zero and is linked like any other; fewer words than a
 shingle: the whole sequence; equal rows link; rows with a null doc_id keep their fingerprint and component but are never the smallest doc_id unless
 all are null; extra columns pass through.
@@ -33,6 +36,11 @@ from driftgauge.session import settled
 TILE_MOST = 65_536
 TILES_LEAST = 48
 STRIP = 256
+#: The same for radii that reach over all population counts; pairs of such tiles are split by quarters into tasks, PARTS_LEAST at least.
+WIDE_MOST = 524_288
+PARTS_LEAST = 24
+#: Fingerprints for each value of a quarter that are wanted, and the most pairs compared at once.
+IN_BUCKET, AT_ONCE = 8, 1_000_000
 #: Links that a task holds before it folds them into a spanning forest.
 LINKS_HELD = 1_000_000
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -83,9 +91,76 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def near(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs with at most `radius` differing bits, one pair of strips at a time. a, b: one number or one row of numbers each."""
+def shares(radius: int, quarters: int) -> list[int]:
+    """How far apart each quarter may be: two fingerprints within the radius are within the share of one quarter at least; -1: never needed."""
+    return [(radius + 1) // quarters - 1 + (k < (radius + 1) % quarters) for k in range(quarters)]
+
+
+def _ball(bits: int, share: int) -> np.ndarray:
+    values = np.arange(1 << bits, dtype=np.uint32)
+    return values[np.bitwise_count(values) <= share].astype(np.int64)
+
+
+def _bits(size: int) -> int:
+    """Bits of a quarter that tell fingerprints apart, so that some share a value."""
+    return int(np.clip(np.log2(max(1, size / IN_BUCKET)), 1, 16))
+
+
+def tested(size: int, radius: int, quarters: int) -> float:
+    """Share of all pairs that quarters leave over, if quarters are like random ones."""
+    w = _bits(size)
+    return float(sum(len(_ball(w, t)) for t in shares(radius, quarters) if t >= 0)) / (1 << w)
+
+
+def near(a: np.ndarray, b: np.ndarray, radius: int, same: bool = False, parts: list[tuple[int, int, int]] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs with at most `radius` differing bits, some more than once. a, b: one number or one row of numbers each.
+
+    same: b is a, and a pair may come in one order only. parts: quarters to look at, and which of how many of its values; those of all parts together are all pairs.
+    """
     a, b = (x.reshape(len(x), -1) for x in (a, b))
+    quarters = 4 * a.shape[1]
+    if parts is None and tested(len(b), radius, quarters) < 0.5:
+        parts = [(k, 0, 1) for k in range(quarters)]
+    if parts is None:
+        yield from _near_by_strips(a, b, radius, same)
+    else:
+        for k, part, of in parts:
+            yield from _near_by_quarter(a, b, radius, same, k, part, of)
+
+
+def _near_by_quarter(a: np.ndarray, b: np.ndarray, radius: int, same: bool, k: int, part: int, of: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs whose quarter `k` is within its share of the radius, of the values of `a` that are `part` modulo `of`."""
+    share = shares(radius, 4 * a.shape[1])[k]
+    if share < 0:
+        return
+    w = _bits(len(b))
+    va, vb = ((np.ascontiguousarray(x).view(np.uint16).reshape(len(x), -1)[:, k] >> (16 - w)).astype(np.int64) for x in (a, b))
+    oa, ob = (np.argsort(v, kind="stable") for v in (va, vb))
+    a, b, va = a[oa], b[ob], va[oa]
+    counts = np.bincount(vb, minlength=1 << w)
+    ends = np.cumsum(counts)
+    ball = _ball(w, share)
+    values, first = np.unique(va, return_index=True)
+    for v, low, high in zip(values.tolist(), first.tolist(), [*first[1:].tolist(), len(a)]):
+        if v % of != part:
+            continue
+        by = ball ^ v
+        if same:
+            by = by[by >= v]
+        n = counts[by]
+        by, n = by[n > 0], n[n > 0]
+        at = np.arange(n.sum()) + np.repeat(ends[by] - np.cumsum(n), n)
+        for i in range(low, high, STRIP):
+            rows = a[i:min(high, i + STRIP)]
+            step = max(1, AT_ONCE // len(rows))
+            for j in range(0, len(at), step):
+                some = at[j:j + step]
+                x, y = np.nonzero(_apart(rows, b[some]) <= radius)
+                if len(x):
+                    yield oa[x + i], ob[some[y]]
+
+
+def _near_by_strips(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     qa, qb = _quarters(a), _quarters(b)
     oa, ob = (np.lexsort(q.T) for q in (qa, qb))
     a, b, qa, qb = a[oa], b[ob], qa[oa], qb[ob]
@@ -94,25 +169,30 @@ def near(a: np.ndarray, b: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray
     for i in range(0, len(a), STRIP):
         la, ha = qa[i:i + STRIP].min(0), qa[i:i + STRIP].max(0)
         gap = np.maximum(0, np.maximum(low - ha, la - high)).sum(1)
-        for j in cuts[gap <= radius]:
+        for j in cuts[(gap <= radius) & (cuts >= (i if same else 0))]:
             x, y = np.nonzero(_apart(a[i:i + STRIP], b[j:j + STRIP]) <= radius)
             if len(x):
                 yield oa[x + i], ob[y + j]
 
 
-def _tile_links(radius: int, parts: list[str], name: str, rooted: bool = False):
-    """Links of a pair of tiles. rooted: vertices stand for the smallest one that their own tile links them to, so a pair links few of them."""
+def _tile_links(radius: int, parts: list[str], name: str, rooted: bool = False, slices: int = 0):
+    """Links of a pair of tiles. rooted: vertices stand for the smallest one that their own tile links them to, so a pair links few of them.
+
+    slices: the third key is a quarter times `slices` and a slice of its values, and only these are looked at; 0: all.
+    """
     def run(key: tuple, table: pa.Table) -> pa.Table:
         fp, second = np.column_stack([table.column(c).to_numpy().view(np.uint64) for c in parts]), table.column("second").to_numpy()
         ids = table.column(name).to_numpy()
         a = np.flatnonzero(~second)
-        b = a if key[0].as_py() == key[1].as_py() else np.flatnonzero(second)
+        same = key[0].as_py() == key[1].as_py()
+        b = a if same else np.flatnonzero(second)
+        some = [(*divmod(key[2].as_py(), slices), slices)] if slices else None
         root, held, n_held = np.arange(len(fp)), [], 0
         if rooted:  # rows of one tile with one root are linked already
             _, first, group = np.unique(np.column_stack([table.column("root").to_numpy(), second]), axis=0, return_index=True, return_inverse=True)
             root = first[group.ravel()]
         if len(a) and len(b):
-            for x, y in near(fp[a], fp[b], radius):
+            for x, y in near(fp[a], fp[b], radius, same, some):
                 held.append((a[x], b[y]))
                 n_held += len(x)
                 if n_held > LINKS_HELD:
@@ -135,12 +215,49 @@ def _fold(root: np.ndarray, held: list[tuple[np.ndarray, np.ndarray]]) -> np.nda
     return forest(len(root), x, y)
 
 
+def _joined(key: tuple, table: pa.Table) -> pa.Table:
+    """A spanning forest of the links of a tile that several tasks have found."""
+    ids, at = np.unique(np.concatenate([table.column("a").to_numpy(), table.column("b").to_numpy()]), return_inverse=True)
+    root = forest(len(ids), *np.split(at.ravel(), 2))
+    child = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.table({"a": pa.array(ids[child]), "b": pa.array(ids[root[child]])})
+
+
+def _wide_links(fps: DataFrame, radius: int, parts: tuple[str, ...], name: str) -> DataFrame:
+    """Links for a radius that reaches over all population counts: few tiles, each linked inside first, then every pair of them."""
+    total, quarters = fps.count(), 4 * len(parts)
+    tiles = max(1, -(-total // WIDE_MOST))
+    # Quarters pay where a tile has many fingerprints; their tasks share the work of a pair of tiles.
+    slices = -(-PARTS_LEAST // (quarters * tiles * (tiles + 1) // 2)) if tested(total // tiles, radius, quarters) < 0.5 else 0
+    if not slices:
+        tiles = min(12, max(1, total // (4 * STRIP)))
+    part = F.explode(F.sequence(F.lit(0), F.lit(max(1, quarters * slices) - 1))).alias("part")
+    keys = ["t1", "t2", "part"]
+    tiled = written(fps.select(*dict.fromkeys([name, *parts])).withColumn("tile", F.pmod(F.xxhash64(name), F.lit(tiles)).cast("int")))
+    alone = tiled.select(name, *[p for p in parts if p != name], F.col("tile").alias("t1"), F.col("tile").alias("t2"), F.lit(False).alias("second"), part)
+    inside = alone.groupBy(*keys).applyInArrow(_tile_links(radius, list(parts), name, slices=slices), "a long, b long")
+    if slices:
+        tile = F.pmod(F.xxhash64("a"), F.lit(tiles)).cast("int")
+        inside = inside.groupBy(tile.alias("tile")).applyInArrow(_joined, "a long, b long")
+    inside = written(inside)
+    if tiles == 1:
+        return inside
+    rooted = tiled.join(inside.withColumnRenamed("a", name), name, "left").withColumn("root", F.coalesce("b", name)).drop("b")
+    kept = [*dict.fromkeys([name, *parts]), "root"]
+    first = rooted.where(F.col("tile") < tiles - 1).select(*kept, F.col("tile").alias("t1"), F.explode(F.sequence(F.col("tile") + 1, F.lit(tiles - 1))).alias("t2"), F.lit(False).alias("second"))
+    second = rooted.where("tile > 0").select(*kept, F.explode(F.sequence(F.lit(0), F.col("tile") - 1)).alias("t1"), F.col("tile").alias("t2"), F.lit(True).alias("second"))
+    between = first.unionByName(second).select("*", part).groupBy(*keys).applyInArrow(_tile_links(radius, list(parts), name, True, slices), "a long, b long")
+    return inside.unionByName(between)
+
+
 def links(fps: DataFrame, radius: int = 4, parts: tuple[str, ...] = ("fp",), name: str = "fp", twice: bool = False) -> DataFrame:
     """Vertices (`name`, a long, and the words of their fingerprints, `parts`) -> spanning links (a, b) of all pairs within the radius.
 
-    twice: tiles are first linked inside, and pairs of tiles then link what is left of them. A large group of near fingerprints lies in all tiles; its links
+    twice: for wide radii. Tiles are first linked inside, and pairs of tiles then link what is left of them. A large group of near fingerprints lies in all tiles; its links
     are then as many as its vertices, and not as many for each tile.
     """
+    if twice:
+        return _wide_links(fps, radius, parts, name)
     counted = fps.withColumn("pop", sum((F.bit_count(c).cast("int") for c in parts), F.lit(0)))
     counts = {r["pop"]: r["n"] for r in counted.groupBy("pop").agg(F.count("*").alias("n")).collect()}  # a row per possible count at most
     if not counts:
@@ -158,23 +275,14 @@ def links(fps: DataFrame, radius: int = 4, parts: tuple[str, ...] = ("fp",), nam
         return F.element_at(F.array(*[F.lit(d.get(p, 0)) for p in range(64 * len(parts) + 1)]), F.col("pop") + 1)
 
     tiled = counted.withColumn("tile", lookup(first) + F.pmod(F.xxhash64(name), F.greatest(lookup(blocks), F.lit(1))).cast("int"))
-    inside = None
-    if twice:
-        tiled = written(tiled)
-        alone = tiled.select(*dict.fromkeys([name, *parts]), F.col("tile").alias("t1"), F.col("tile").alias("t2"), F.lit(False).alias("second"))
-        inside = written(alone.groupBy("t1", "t2").applyInArrow(_tile_links(radius, list(parts), name), "a long, b long"))
-        tiled = tiled.join(inside.withColumnRenamed("a", name), name, "left").withColumn("root", F.coalesce("b", name)).drop("b")
     # A tile meets itself, the later tiles of its own count, and all tiles of counts up to the radius above.
-    kept = list(dict.fromkeys([name, *parts, *(["root"] if twice else [])]))
+    kept = list(dict.fromkeys([name, *parts]))
     as_first = tiled.select(*kept, F.explode(F.sequence("tile", lookup({p: s[1] for p, s in spans.items()}) - 1)).alias("t2"), F.col("tile").alias("t1"),
                             F.lit(False).alias("second"))
     as_second = tiled.select(*kept, F.col("tile").alias("t2"), F.explode(F.sequence(lookup(bottoms), "tile")).alias("t1"), F.lit(True).alias("second")) \
         .filter("t1 < t2")
     pairs = as_first.select("t1", "t2", *kept, "second").unionByName(as_second)
-    if twice:
-        pairs = pairs.filter("t1 < t2")
-    between = pairs.groupBy("t1", "t2").applyInArrow(_tile_links(radius, list(parts), name, twice), "a long, b long")
-    return inside.unionByName(between) if twice else between
+    return pairs.groupBy("t1", "t2").applyInArrow(_tile_links(radius, list(parts), name), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, seed: int = 42, radius: int = 4, with_text: bool = True) -> DataFrame:

@@ -109,3 +109,52 @@ def test_leaders_against_all_pairs():
         leaders += [i] if j == i else []
         want.append(j)
     assert N.led(sets, 0.8) == want and 5 < len(leaders) < 300
+
+
+def _fingerprints(n, seed):
+    """Groups of three with up to 15 bits changed in each."""
+    rng = np.random.default_rng(seed)
+    x = np.repeat(rng.integers(0, 2 ** 63, (n // 3, 2), dtype=np.uint64), 3, axis=0)
+    for row in range(len(x)):
+        for bit in rng.choice(128, rng.integers(16), replace=False):
+            x[row, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    return x
+
+
+def test_quarters_find_all_pairs():
+    from driftgauge.llm import simhash
+    x, y = _fingerprints(3000, 1), _fingerprints(900, 2)
+    y[:300] = x[:300]
+
+    def pairs(a, b):
+        return {(i, j) for i in range(len(a)) for j in np.flatnonzero(np.bitwise_count(a[i] ^ b).sum(1) <= 27).tolist()}
+
+    def found(it):
+        return {p for i, j in it for p in zip(i.tolist(), j.tolist())}
+
+    want = pairs(y, x)
+    assert found(simhash.near(y, x, 27, parts=[(k, s, 3) for k in range(8) for s in range(3)])) == want
+    assert found(simhash.near(y, x, 27)) == want
+    own = {p for p in pairs(y, y) if p[0] < p[1]}
+    for parts in (None, [(k, 0, 1) for k in range(8)]):
+        assert {(min(p), max(p)) for p in found(simhash.near(y, y, 27, True, parts)) if p[0] != p[1]} == own
+
+
+def test_quarters_test_few_of_the_pairs(monkeypatch):
+    from driftgauge.llm import simhash
+    x, tested = np.random.default_rng(3).integers(0, 2 ** 63, (60_000, 2), dtype=np.uint64), []
+    monkeypatch.setattr(simhash, "_apart", lambda a, b: tested.append(len(a) * len(b)) or np.full((len(a), len(b)), 99, np.uint8))
+    assert not list(simhash.near(x, x, 27, True)) and sum(tested) < 0.25 * len(x) ** 2
+
+
+@pytest.mark.parametrize("most, bucket", [(200, 1), (10 ** 6, 1), (200, 8)])
+def test_wide_tiles_give_the_same_components(spark, monkeypatch, most, bucket):
+    from driftgauge.llm import simhash
+    from driftgauge.llm.components import components
+    x = _fingerprints(600, 5).view(np.int64)
+    df = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(x)], "v long, low long, high long")
+    want = sorted(map(tuple, components(simhash.links(df, 27, ("low", "high"), "v")).collect()))
+    monkeypatch.setattr(simhash, "WIDE_MOST", most)
+    monkeypatch.setattr(simhash, "IN_BUCKET", bucket)
+    monkeypatch.setattr(simhash, "tested", lambda size, radius, quarters: 0.1 if bucket == 1 else 0.9)
+    assert sorted(map(tuple, components(simhash.links(df, 27, ("low", "high"), "v", twice=True)).collect())) == want and len(want) > 500
