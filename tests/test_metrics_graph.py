@@ -169,3 +169,27 @@ def test_recall_at_precision_walks_open_groups_only(spark, monkeypatch):
     got = {r["k"]: r["recall_at_precision"] for r in M.recall_at_precision(df, ["k"], ["rid"], 0.6).collect()}
     assert got == pytest.approx(want)
     assert sum(walked) < len(rows) / 2
+
+
+def test_links_are_tested_in_blocks_of_a_cache():
+    """The same links as by whole rows, limits included, without products of all columns at once."""
+    import tracemalloc
+
+    import numpy as np
+
+    from driftgauge.operators import graph
+    rng = np.random.default_rng(2)
+    u = rng.normal(size=(4_096, 8))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    u[7], u[4_000] = np.eye(8)[0], 0.7 * np.eye(8)[0] + np.sqrt(1 - 0.49) * np.eye(8)[1]
+    u[9] = np.nan
+    left = u[:graph.ROWS]
+    want = ~(left @ u.T <= 0.7)
+    want[np.arange(len(left)), np.arange(len(left))] = False
+    exact = sum((left[7, d] * u[4_000, d] for d in range(8)), 0.0)
+    want[7, 4_000] = exact > 0.7
+    tracemalloc.start()
+    got = graph._linked(left, u, 0.7, 0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (got == want).all() and most < len(left) * len(u) * 8
